@@ -35,6 +35,7 @@ def local_session(cores: str | int = "*", app: str = "cohortwise", memory: str =
         .appName(app)
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", "8")
     )
     spark = tune(builder.getOrCreate())
@@ -44,14 +45,14 @@ def local_session(cores: str | int = "*", app: str = "cohortwise", memory: str =
 
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder for intermediate tables: the cluster's checkpoint folder, or a local one on local[*]."""
-    root = spark.conf.get(CHECKPOINT_DIR, None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder every executor can reach")
-    root = tempfile.mkdtemp(prefix="cohortwise-")
-    spark.conf.set(CHECKPOINT_DIR, root)
-    return root
+    context = spark.sparkContext
+    root = spark.conf.get(CHECKPOINT_DIR, None) or context.getCheckpointDir()
+    if not root:
+        if not context.master.startswith("local"):
+            raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder every executor can reach")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="cohortwise-"))
+        root = context.getCheckpointDir()
+    return root.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
