@@ -13,7 +13,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortwise.operators.cleaning import union_all
@@ -36,22 +36,29 @@ def logistic(z: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
 
 
-def newton_sums(rows: DataFrame, key: str, features: Sequence[str], label: str, beta: str) -> DataFrame:
-    """Per (key, mu): weighted log loss `loss`, gradient `g_i` and Hessian triangle `h_i_j` at `beta`."""
-    p = len(features)
-    # log(1 + exp(z)) - y * z without overflow
-    loss = F.log1p(F.exp(-F.abs("__z"))) + F.greatest("__z", F.lit(0.0)) - F.col(label) * F.col("__z")
-    prob = logistic(F.col("__z"))
-    at = (
-        rows.withColumn("__z", _linear(features, beta))
-        .withColumn("__r", F.col("__w") * (prob - F.col(label)))
-        .withColumn("__c", F.col("__w") * prob * (1 - prob))
-    )
-    x = [F.col(name) for name in features] + [F.lit(1.0)]
-    aggs = [F.sum(F.col("__w") * loss).alias("loss")]
-    aggs += [F.sum(F.col("__r") * x[i]).alias(f"g_{i}") for i in range(p + 1)]
-    aggs += [F.sum(F.col("__c") * x[i] * x[j]).alias(f"h_{i}_{j}") for i in range(p + 1) for j in range(i, p + 1)]
-    return at.groupBy(key, "mu").agg(*aggs)
+class NewtonSums:
+    """Per (key, mu): weighted log loss `sum_loss`, gradient `g_i` and Hessian triangle `h_i_j`.
+
+    The expressions are built once and applied in every iteration.
+    """
+
+    def __init__(self, key: str, features: Sequence[str], label: str, beta: str):
+        p = len(features)
+        x = [f"`{name}`" for name in features] + ["1.0D"]
+        self.key, self.linear = key, _linear(features, beta)
+        # log(1 + exp(z)) - y * z without overflow
+        loss = f"log1p(exp(-abs(__z))) + greatest(__z, 0.0D) - `{label}` * __z"
+        self.row = {"__r": F.expr(f"__w * (__p - `{label}`)"), "__c": F.expr("__w * __p * (1.0D - __p)")}
+        self.prob = logistic(F.col("__z"))
+        self.sums = [
+            F.expr(f"sum(__w * ({loss})) AS sum_loss"),
+            *[F.expr(f"sum(__r * {x[i]}) AS g_{i}") for i in range(p + 1)],
+            *[F.expr(f"sum(__c * {x[i]} * {x[j]}) AS h_{i}_{j}") for i in range(p + 1) for j in range(i, p + 1)],
+        ]
+
+    def __call__(self, rows: DataFrame) -> DataFrame:
+        at = rows.withColumn("__z", self.linear).withColumn("__p", self.prob).withColumns(self.row)
+        return at.groupBy(self.key, "mu").agg(*self.sums)
 
 
 def _update(p: int, l2: float, tol: float):
@@ -149,20 +156,15 @@ def fit_grouped_lr(
         F.lit(False).alias("converged"),
     )
     schema = state.schema
+    sums = NewtonSums(key, features, label, "trial")
+    update = _update(p, l2, tol)
     solved: list[DataFrame] = []
     for iteration in range(max_iter):
-        here = rows.join(state.select(key, "mu", "trial"), key)
-        sums = newton_sums(here, key, features, label, "trial").withColumnRenamed("loss", "sum_loss")
-        watch = Observation()
-        moved = (
-            state.join(sums, [key, "mu"])
-            .mapInPandas(_update(p, l2, tol), schema)
-            .observe(watch, F.count_if(~F.col("done")).alias("open"))
-        )
-        moved = materialise(moved, f"step_{iteration}")
-        last = iteration == max_iter - 1 or watch.get["open"] == 0
-        solved.append(moved if last else moved.filter("done"))
+        at_trial = sums(rows.join(state.select(key, "mu", "trial"), key))
+        moved = materialise(state.join(at_trial, [key, "mu"]).mapInPandas(update, schema), f"step_{iteration}")
         state = moved.filter(~F.col("done"))
+        last = iteration == max_iter - 1 or state.isEmpty()
+        solved.append(moved if last else moved.filter("done"))
         if last:
             break
     result = union_all(solved).select(key, "mu", "beta", "converged", "n_iter")
@@ -184,8 +186,9 @@ def gradient_at_zero(train: DataFrame, key: str, features: Sequence[str], label:
     rows = with_class_weight(train.withColumn(label, F.col(label).cast("double")), label, [key], name="__w")
     zeros = F.array(*[F.lit(0.0)] * (len(features) + 1))
     rows = rows.select(key, label, "__w", *features, F.lit(0.0).alias("mu"), zeros.alias("__beta"))
-    return newton_sums(rows, key, features, label, "__beta").select(
-        key, "loss", *[f"g_{i}" for i in range(len(features) + 1)]
+    sums = NewtonSums(key, features, label, "__beta")(rows)
+    return sums.select(
+        key, F.col("sum_loss").alias("loss"), *[f"g_{i}" for i in range(len(features) + 1)]
     )
 
 

@@ -1 +1,233 @@
-MODEL_SQL = {}
+"""SQL for the fitted models: Newton steps unrolled over plain 3 x 3 systems, rounds and reports on top."""
+
+from __future__ import annotations
+
+from oracle.fragments import (
+    ACC,
+    F1,
+    MEAN_METRICS,
+    METRICS,
+    P1,
+    ROUNDED_METRICS,
+    SENS,
+    cells,
+    client_eval,
+    r,
+    ranked,
+    split_views,
+)
+from oracle.views import with_views
+
+STEPS = 12
+ROUNDS = 10
+MUS = (0.0, 0.01, 0.1, 1.0)
+
+
+def newton_views(train: str, key: str, mus: tuple[float, ...], name: str) -> dict[str, str]:
+    """Views `<name>_0` .. `<name>_STEPS`: coefficients b0, b1 and intercept b2 per (key, mu)."""
+    values = ", ".join(f"({m}::DOUBLE)" for m in mus)
+    views = {
+        f"{name}_0": f"""SELECT {key}, mu, 0::DOUBLE AS b0, 0::DOUBLE AS b1, 0::DOUBLE AS b2
+            FROM (SELECT DISTINCT {key} FROM {train}), (VALUES {values}) AS m(mu)"""
+    }
+    for k in range(STEPS):
+        views[f"{name}_{k + 1}"] = f"""
+        SELECT {key}, mu,
+          b0 - ((h11*h22 - h12*h12) * g0 + (h02*h12 - h01*h22) * g1 + (h01*h12 - h02*h11) * g2) / det AS b0,
+          b1 - ((h02*h12 - h01*h22) * g0 + (h00*h22 - h02*h02) * g1 + (h01*h02 - h00*h12) * g2) / det AS b1,
+          b2 - ((h01*h12 - h02*h11) * g0 + (h01*h02 - h00*h12) * g1 + (h00*h11 - h01*h01) * g2) / det AS b2
+        FROM (SELECT *, h00*(h11*h22 - h12*h12) - h01*(h01*h22 - h12*h02) + h02*(h01*h12 - h11*h02) AS det FROM (
+          SELECT {key}, mu, ANY_VALUE(b0) AS b0, ANY_VALUE(b1) AS b1, ANY_VALUE(b2) AS b2,
+            SUM(w*(p-label)*x0) + (1+mu)*ANY_VALUE(b0) AS g0, SUM(w*(p-label)*x1) + (1+mu)*ANY_VALUE(b1) AS g1, SUM(w*(p-label)) AS g2,
+            SUM(w*p*(1-p)*x0*x0) + 1 + mu AS h00, SUM(w*p*(1-p)*x0*x1) AS h01, SUM(w*p*(1-p)*x0) AS h02,
+            SUM(w*p*(1-p)*x1*x1) + 1 + mu AS h11, SUM(w*p*(1-p)*x1) AS h12, SUM(w*p*(1-p)) AS h22
+          FROM (SELECT t.*, s.mu, s.b0, s.b1, s.b2, 1 / (1 + EXP(-(b0*x0 + b1*x1 + b2))) AS p
+                FROM {train} t JOIN {name}_{k} s USING ({key})) GROUP BY {key}, mu))"""
+    return views
+
+
+def scaled(col: str, over: str, cond: str) -> str:
+    std = f"STDDEV_POP({col}) {cond} OVER ({over})"
+    return f"({col} - AVG({col}) {cond} OVER ({over})) / CASE WHEN {std} > 0 THEN {std} ELSE 1 END"
+
+
+BY_CLIENT = "PARTITION BY client_id"
+TRAIN = "FILTER (WHERE is_test = 0)"
+CLIENTS: dict[str, str] = {
+    "complete": """SELECT client_id, id_student, label, days_active, avg_score FROM (
+        SELECT *, COUNT(*) OVER (PARTITION BY client_id) AS size FROM feat) WHERE size >= 20 AND avg_score IS NOT NULL""",
+    **split_views("complete", "client_id", "id_student", True),
+    "rows_z": f"""SELECT client_id, id_student, label, is_test, {scaled('days_active', BY_CLIENT, TRAIN)} AS x0,
+        {scaled('avg_score', BY_CLIENT, TRAIN)} AS x1 FROM split""",
+    "train": f"""SELECT client_id, label, x0, x1, COUNT(*) OVER (PARTITION BY client_id)
+        / (2.0::DOUBLE * COUNT(*) OVER (PARTITION BY client_id, label)) AS w FROM rows_z WHERE is_test = 0""",
+    **newton_views("train", "client_id", MUS, "fit"),
+    "sizes": "SELECT client_id, COUNT(*) AS n FROM train GROUP BY client_id",
+    "models": f"SELECT * FROM fit_{STEPS} JOIN sizes USING (client_id)",
+}
+
+
+def _means(fn: str) -> str:
+    return ", ".join(f"{fn.format(c=c)} AS {c}" for c in ("b0", "b1", "b2"))
+
+
+ADAM: dict[str, str] = {
+    "adam_0": """SELECT a.b0 AS t0, a.b1 AS t1, a.b2 AS t2, s.b0 AS x0, s.b1 AS x1, s.b2 AS x2,
+        0::DOUBLE AS m0, 0::DOUBLE AS m1, 0::DOUBLE AS m2, 0::DOUBLE AS v0, 0::DOUBLE AS v1, 0::DOUBLE AS v2
+        FROM mean_models a JOIN start s ON a.mu = 0""",
+}
+for _r in range(1, ROUNDS + 1):
+    _m = ", ".join(f"0.9::DOUBLE*m{i} + 0.1::DOUBLE*(t{i}-x{i}) AS m{i}" for i in range(3))
+    _v = ", ".join(f"0.99::DOUBLE*v{i} + 0.01::DOUBLE*(t{i}-x{i})*(t{i}-x{i}) AS v{i}" for i in range(3))
+    _x = ", ".join(f"x{i} + 0.001::DOUBLE*m{i}/(SQRT(v{i}) + 1e-9::DOUBLE) AS x{i}" for i in range(3))
+    ADAM[f"adam_{_r}"] = f"""SELECT t0, t1, t2, m0, m1, m2, v0, v1, v2, {_x}
+        FROM (SELECT t0, t1, t2, x0, x1, x2, {_m}, {_v} FROM adam_{_r - 1})"""
+
+ADAM_PATH = "\nUNION ALL ".join(
+    f"SELECT 'FedAdam', 0::DOUBLE, {k}, x0, x1, x2 FROM adam_{k}" for k in range(1, ROUNDS + 1)
+)
+# Every client of the test tables has both classes, so means and medians stay as they are after round 1.
+HISTORY: dict[str, str] = {
+    **CLIENTS,
+    "start": "SELECT ARG_MIN(b0, client_id) AS b0, ARG_MIN(b1, client_id) AS b1, ARG_MIN(b2, client_id) AS b2 FROM models WHERE mu = 0",
+    "mean_models": f"SELECT mu, {_means('SUM(n*{c})/SUM(n)')} FROM models GROUP BY mu",
+    "median_model": f"SELECT {_means('MEDIAN({c})')} FROM models WHERE mu = 0",
+    **ADAM,
+    "combined": f"""
+        SELECT CASE WHEN mu = 0 THEN 'FedAvg' ELSE 'FedProx' END AS strategy, mu, CAST(round AS INT) AS round, b0, b1, b2
+          FROM mean_models, RANGE(1, {ROUNDS + 1}) AS g(round)
+        UNION ALL SELECT 'FedMedian', 0, CAST(round AS INT), b0, b1, b2 FROM median_model, RANGE(1, {ROUNDS + 1}) AS g(round)
+        UNION ALL {ADAM_PATH}""",
+    "scored": """SELECT *, CAST(score > 0.5 AS INT) AS pred FROM (
+        SELECT strategy, mu, round, client_id, label, 1 / (1 + EXP(-(b0*x0 + b1*x1 + b2))) AS score
+        FROM (SELECT * FROM rows_z WHERE is_test = 1) CROSS JOIN combined)""",
+    "per_client": client_eval("scored", "strategy, mu, round, client_id"),
+    "history": f"""SELECT strategy, mu, round, COUNT(*) AS n_clients,
+        {', '.join(f'SUM({m} * n_samples) / SUM(n_samples) AS {m}' for m in METRICS)}
+        FROM per_client GROUP BY strategy, mu, round""",
+    "run": "SELECT 'courses' AS dataset, * FROM history WHERE strategy <> 'FedProx' OR mu = 0.1::DOUBLE",
+    "finals": f"SELECT *, COUNT(*) OVER (PARTITION BY strategy) AS n_rounds FROM run QUALIFY round = {ROUNDS}",
+    "sweep": f"""SELECT 'courses' AS dataset, mu, auc FROM history
+        WHERE strategy IN ('FedAvg', 'FedProx') AND round = {ROUNDS}""",
+}
+
+POOLED_ROWS = split_views("pooled_z", "", "client_id, id_student", False)
+POOLED_ROWS = {f"pooled_{k}": v for k, v in POOLED_ROWS.items()}
+for _k in POOLED_ROWS:
+    for _n in ("sized", "counted", "planned", "moded"):
+        POOLED_ROWS[_k] = POOLED_ROWS[_k].replace(f"FROM {_n}", f"FROM pooled_{_n}")
+POOLED: dict[str, str] = {
+    "pooled_z": f"""SELECT 'all' AS grp, client_id, id_student, label, {scaled('days_active', '', '')} AS x0,
+        {scaled('avg_score', '', '')} AS x1 FROM feat WHERE avg_score IS NOT NULL""",
+    **POOLED_ROWS,
+    "pooled_train": """SELECT grp, label, x0, x1, COUNT(*) OVER () / (2.0::DOUBLE * COUNT(*) OVER (PARTITION BY label)) AS w
+        FROM pooled_split WHERE is_test = 0""",
+    **newton_views("pooled_train", "grp", (0.0,), "pooled_fit"),
+    "pooled_scored": f"""SELECT *, CAST(score > 0.5 AS INT) AS pred FROM (
+        SELECT label, 1 / (1 + EXP(-(b0*x0 + b1*x1 + b2))) AS score FROM pooled_split JOIN pooled_fit_{STEPS} USING (grp) WHERE is_test = 1)""",
+    "pooled_lr": f"""SELECT 'courses' AS dataset, 'LR' AS model, a.auc, {ACC} AS accuracy, {F1} AS f1, {P1} AS precision, {SENS} AS recall,
+        tn, fp, fn, tp, (SELECT COUNT(*) FROM pooled_train) AS n_train, tn + fp + fn + tp AS n_test
+        FROM ({cells('', 'pooled_scored')}) JOIN ({ranked('pooled_scored', 'score')}) a ON TRUE""",
+}
+ALL = {**HISTORY, **POOLED}
+BEST = """(SELECT CASE WHEN MAX(auc) > 0 THEN ARG_MAX(strategy, auc * 10 - LIST_POSITION(['FedAvg','FedProx','FedAdam','FedMedian'], strategy) * 1e-9)
+  ELSE 'N/A' END FROM finals)"""
+BEST_MU = "(SELECT ARG_MAX(mu, auc - mu * 1e-9) FROM sweep WHERE mu > 0 AND auc > 0)"
+VERDICT = """CASE WHEN diff > 0.005::DOUBLE THEN 'better' WHEN diff > -0.01::DOUBLE THEN 'comparable' ELSE 'worse' END"""
+
+MODEL_SQL: dict[str, str] = {}
+
+
+def add(name: str, body: str) -> None:
+    MODEL_SQL[name] = with_views(body, ALL)
+
+
+_zero = "w * (0.5::DOUBLE - label)"
+add(
+    "gradient_at_zero",
+    f"""SELECT client_id, {r('SUM(w * LN(2::DOUBLE))', 'loss')}, {r(f'SUM({_zero} * x0)', 'g_0')}, {r(f'SUM({_zero} * x1)', 'g_1')},
+      {r(f'SUM({_zero})', 'g_2')} FROM train GROUP BY client_id""",
+)
+add(
+    "local_logit",
+    f"SELECT client_id, mu, {r('b0', 'w0')}, {r('b1', 'w1')}, {r('b2', 'intercept')}, n AS n_train FROM models WHERE mu IN (0, 0.1::DOUBLE)",
+)
+add(
+    "local_scores",
+    f"""SELECT client_id, id_student, {r('p', 'prob')}, CAST(p > 0.5 AS INT) AS pred FROM (
+      SELECT client_id, id_student, 1 / (1 + EXP(-(b0*x0 + b1*x1 + b2))) AS p FROM rows_z JOIN models USING (client_id)
+      WHERE mu = 0 AND is_test = 1)""",
+)
+add("fed_rounds", f"SELECT strategy, mu, round, n_clients, {ROUNDED_METRICS} FROM run")
+add(
+    "mu_sweep",
+    f"SELECT mu, {ROUNDED_METRICS} FROM history WHERE strategy IN ('FedAvg', 'FedProx') AND round = {ROUNDS}",
+)
+add("pooled_lr", f"SELECT model, {ROUNDED_METRICS}, tn, fp, fn, tp, n_train, n_test FROM pooled_lr")
+add(
+    "round_deltas",
+    f"""SELECT strategy, mu, round, {r('auc', 'auc')}, {r('delta', 'delta')},
+      CASE WHEN delta IS NULL THEN 'first round' WHEN ABS(delta) < 1e-4 THEN 'converged' ELSE FORMAT('{{:+.4f}}', delta) END AS note
+    FROM (SELECT *, auc - LAG(auc) OVER (PARTITION BY strategy, mu ORDER BY round) AS delta FROM run)""",
+)
+add(
+    "round_completeness",
+    f"""SELECT strategy, COUNT(DISTINCT round) AS n_rounds, CASE WHEN COUNT(DISTINCT round) < {ROUNDS} THEN 'incomplete' ELSE 'ok' END AS status
+    FROM run GROUP BY strategy""",
+)
+add(
+    "verdict",
+    f"""SELECT dataset, n_clients, {r('pooled_auc', 'pooled_auc')}, {r('combined_auc', 'combined_auc')}, {r('diff', 'diff')}, {VERDICT} AS verdict
+    FROM (SELECT f.dataset, f.n_clients, p.auc AS pooled_auc, f.auc AS combined_auc, f.auc - p.auc AS diff
+          FROM finals f JOIN pooled_lr p USING (dataset) WHERE strategy = 'FedAvg')""",
+)
+add(
+    "pooled_vs_combined",
+    "\nUNION ALL ".join(
+        f"""SELECT '{m}' AS metric, {r(f'p.{m}', 'pooled')}, {r(f'f.{m}', 'combined')}, {r(f'f.{m} - p.{m}', 'diff')}
+        FROM finals f JOIN pooled_lr p USING (dataset) WHERE strategy = 'FedAvg'"""
+        for m in METRICS
+    ),
+)
+add("best_strategy", f"SELECT dataset, {BEST} AS strategy, {r('MAX(auc)', 'auc')} FROM finals GROUP BY dataset")
+add("best_mu", f"SELECT {BEST_MU} AS mu, {r('MAX(auc)', 'auc')} FROM sweep WHERE mu > 0")
+add(
+    "result_long",
+    f"""
+    SELECT 'pooled' AS kind, dataset, (SELECT MAX(n_clients) FROM finals) AS n_clients, model AS strategy, ROUND(auc, 4) AS auc,
+      ROUND(f1, 4) AS f1, ROUND(precision, 4) AS precision, ROUND(recall, 4) AS recall, CAST(NULL AS BIGINT) AS n_rounds,
+      CAST(NULL AS DOUBLE) AS diff_vs_lr, CAST(NULL AS DOUBLE) AS mu, 'best' AS note FROM pooled_lr
+    UNION ALL SELECT 'combined', dataset, n_clients, strategy, ROUND(auc, 4), ROUND(f1, 4), ROUND(precision, 4), ROUND(recall, 4),
+      n_rounds, CASE WHEN auc <> 0 THEN ROUND(auc - (SELECT auc FROM pooled_lr), 4) END, CASE WHEN strategy = 'FedProx' THEN mu END,
+      CASE WHEN strategy = {BEST} THEN 'best' WHEN auc = 0 THEN 'degenerate' ELSE '' END FROM finals
+    UNION ALL SELECT 'mu_sweep', dataset, NULL, 'FedProx', ROUND(auc, 4), NULL, NULL, NULL, NULL, NULL, mu,
+      CASE WHEN mu = 0 THEN 'reference' ELSE '' END FROM sweep""",
+)
+add(
+    "strategy_table",
+    f"""SELECT strategy, {r('auc', 'auc')}, {r('f1', 'f1')}, {r('precision', 'precision')}, {r('recall', 'recall')},
+      {r('auc - (SELECT auc FROM pooled_lr)', 'diff_vs_lr')},
+      CASE WHEN auc = 0 THEN 'degenerate' WHEN strategy = {BEST} THEN 'best' ELSE '' END AS note FROM finals""",
+)
+add(
+    "mu_table",
+    f"SELECT mu, {r('auc', 'auc')}, CASE WHEN mu = 0 THEN 'reference' WHEN mu = {BEST_MU} THEN 'best' ELSE '' END AS note FROM sweep",
+)
+add(
+    "pooled_table",
+    f"""SELECT dataset, n_train + n_test AS n_samples, {r('auc', 'LR')}, {r('0', 'RF')}, {r('0', 'GBT')}, 'LR' AS best FROM pooled_lr""",
+)
+add(
+    "series_rounds",
+    f"SELECT strategy, round, {r('auc', 'auc')}, {r('(SELECT auc FROM pooled_lr)', 'lr_auc')} FROM run",
+)
+add(
+    "series_bars",
+    f"""SELECT dataset, 'pooled' AS kind, model AS name, {r('auc', 'auc')} FROM pooled_lr
+    UNION ALL SELECT dataset, 'combined', strategy, {r('auc', 'auc')} FROM finals""",
+)
+add(
+    "series_mu",
+    f"SELECT mu, {r('auc', 'auc')}, CAST(mu = (SELECT ARG_MAX(mu, auc - mu * 1e-9) FROM sweep) AS INT) AS is_best FROM sweep",
+)
+add("series_strategies", f"SELECT dataset, strategy, {r('auc', 'auc')} FROM finals")
