@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortwise.operators.cleaning import union_all
-from cohortwise.operators.scaling import with_class_weight
+from cohortwise.operators.scaling import class_weights
 from cohortwise.session import materialise
 
 ACCEPT_SLACK = 1e-12
@@ -48,8 +48,9 @@ class NewtonSums:
         self.key, self.linear = key, _linear(features, beta)
         # log(1 + exp(z)) - y * z without overflow
         loss = f"log1p(exp(-abs(__z))) + greatest(__z, 0.0D) - `{label}` * __z"
-        self.row = {"__r": F.expr(f"__w * (__p - `{label}`)"), "__c": F.expr("__w * __p * (1.0D - __p)")}
+        self.weight = F.expr(f"if(`{label}` = 1, w_pos, w_neg)")
         self.prob = logistic(F.col("__z"))
+        self.row = {"__r": F.expr(f"__w * (__p - `{label}`)"), "__c": F.expr("__w * __p * (1.0D - __p)")}
         self.sums = [
             F.expr(f"sum(__w * ({loss})) AS sum_loss"),
             *[F.expr(f"sum(__r * {x[i]}) AS g_{i}") for i in range(p + 1)],
@@ -57,7 +58,8 @@ class NewtonSums:
         ]
 
     def __call__(self, rows: DataFrame) -> DataFrame:
-        at = rows.withColumn("__z", self.linear).withColumn("__p", self.prob).withColumns(self.row)
+        at = rows.withColumns({"__z": self.linear, "__w": self.weight}).withColumn("__p", self.prob)
+        at = at.withColumns(self.row)
         return at.groupBy(self.key, "mu").agg(*self.sums)
 
 
@@ -97,7 +99,7 @@ def _update(p: int, l2: float, tol: float):
             out_scale = np.where(ok, 1.0, scale / 2.0)
             yield pd.DataFrame(
                 {
-                    **{c: b[c] for c in b.columns[:2]},
+                    **{c: b[c] for c in b.columns[:4]},
                     "beta": list(out_beta),
                     "trial": list(out_beta + out_scale[:, None] * out_move),
                     "move": list(out_move),
@@ -121,31 +123,32 @@ def fit_grouped_lr(
     l2: float = 1.0,
     balanced: bool = True,
     max_iter: int = 50,
-    tol: float = 1e-9,
+    tol: float = 1e-6,
 ) -> DataFrame:
     """Rows (key, mu, coef, intercept, n_train, trainable, converged, n_iter).
 
     Minimises the class-balanced log loss plus l2 * (1 + mu) / 2 * |coef|^2 per group; the intercept
     is free. Groups with one class or fewer than two rows get a zero model and trainable = false.
-    `train` holds scaled, complete rows.
+    A group is solved once a Newton step is shorter than `tol`; that step is still taken, which
+    leaves an error of the order of its square.
+    `train` holds scaled, complete rows and is scanned in every iteration: pass a written or cached table.
     """
     p = len(features)
-    rows = train.select(key, F.col(label).cast("double").alias(label), *[F.col(c).cast("double") for c in features])
-    if balanced:
-        rows = with_class_weight(rows, label, [key], name="__w")
-    else:
-        rows = rows.withColumn("__w", F.lit(1.0))
-    rows = materialise(rows, "train_rows")
-    sizes = rows.groupBy(key).agg(
-        F.count("*").alias("n_train"),
-        ((F.count("*") >= 2) & (F.min(label) < F.max(label))).alias("trainable"),
-    )
+    rows = train.select(key, label, *features)
     zeros = F.array(*[F.lit(0.0)] * (p + 1))
-    start = sizes.select(key, "n_train", "trainable", F.explode(F.array(*[F.lit(float(m)) for m in mus])).alias("mu"))
-    start = materialise(start, "groups")
-    state = start.filter("trainable").select(
+    groups = class_weights(rows, label, [key]).select(
+        key,
+        F.explode(F.array(*[F.lit(float(m)) for m in mus])).alias("mu"),
+        *[F.col(w) if balanced else F.lit(1.0).alias(w) for w in ("w_pos", "w_neg")],
+        F.col("n").alias("n_train"),
+        ((F.col("n_pos") > 0) & (F.col("n_neg") > 0)).alias("trainable"),
+    )
+    groups = materialise(groups, "groups")
+    state = groups.filter("trainable").select(
         key,
         "mu",
+        "w_pos",
+        "w_neg",
         zeros.alias("beta"),
         zeros.alias("trial"),
         zeros.alias("move"),
@@ -160,7 +163,7 @@ def fit_grouped_lr(
     update = _update(p, l2, tol)
     solved: list[DataFrame] = []
     for iteration in range(max_iter):
-        at_trial = sums(rows.join(state.select(key, "mu", "trial"), key))
+        at_trial = sums(rows.join(state.select(key, "mu", "w_pos", "w_neg", "trial"), key))
         moved = materialise(state.join(at_trial, [key, "mu"]).mapInPandas(update, schema), f"step_{iteration}")
         state = moved.filter(~F.col("done"))
         last = iteration == max_iter - 1 or state.isEmpty()
@@ -169,7 +172,7 @@ def fit_grouped_lr(
             break
     result = union_all(solved).select(key, "mu", "beta", "converged", "n_iter")
     beta = F.coalesce("beta", zeros)
-    return start.join(result, [key, "mu"], "left").select(
+    return groups.join(result, [key, "mu"], "left").select(
         key,
         "mu",
         F.slice(beta, 1, p).alias("coef"),
@@ -183,9 +186,9 @@ def fit_grouped_lr(
 
 def gradient_at_zero(train: DataFrame, key: str, features: Sequence[str], label: str = "label") -> DataFrame:
     """Rows (key, loss, g_0.., g_p): balanced loss and gradient at the zero model; g_p is the intercept's."""
-    rows = with_class_weight(train.withColumn(label, F.col(label).cast("double")), label, [key], name="__w")
+    weights = class_weights(train, label, [key]).select(key, "w_pos", "w_neg")
     zeros = F.array(*[F.lit(0.0)] * (len(features) + 1))
-    rows = rows.select(key, label, "__w", *features, F.lit(0.0).alias("mu"), zeros.alias("__beta"))
+    rows = train.select(key, label, *features, F.lit(0.0).alias("mu"), zeros.alias("__beta")).join(weights, key)
     sums = NewtonSums(key, features, label, "__beta")(rows)
     return sums.select(
         key, F.col("sum_loss").alias("loss"), *[f"g_{i}" for i in range(len(features) + 1)]

@@ -10,35 +10,54 @@ from pyspark.sql import functions as F
 METRICS = ("auc", "accuracy", "f1", "precision", "recall")
 
 
-def auc(df: DataFrame, label: str = "label", score: str = "prob", by: Sequence[str] = ()) -> DataFrame:
-    """Rows (by..., n_pos, n_neg, auc): exact area under the ROC curve, ties counting one half.
+def _ranking(df: DataFrame, label: str, score: str, by: list[str], pred: str | None = None) -> DataFrame:
+    """Rows (by..., n_pos, n_neg, tp, fp, auc) in one pass; tp and fp are 0 without `pred`.
 
-    NULL for a group with a single class. Rows collapse to one per distinct score before the first
-    shuffle. A range partitioning on (group, score) spreads even one huge group over all tasks;
-    every slice reports its totals and the pairs within it, and pairs across slices follow from
-    the totals of the earlier slices.
+    Rows collapse to one per distinct score before the first shuffle. A range partitioning on
+    (group, score) spreads even one huge group over all tasks; every slice reports its totals and the
+    pairs within it, and pairs across slices follow from the totals of the earlier slices.
     """
-    by = list(by)
+    hit = F.col(pred) == 1 if pred else F.lit(False)
     counts = df.groupBy(*by, F.col(score).alias("__score")).agg(
-        F.count_if(F.col(label) == 1).alias("__pos"), F.count_if(F.col(label) == 0).alias("__neg")
+        F.count_if(F.col(label) == 1).alias("__pos"),
+        F.count_if(F.col(label) == 0).alias("__neg"),
+        F.count_if((F.col(label) == 1) & hit).alias("__tp"),
+        F.count_if((F.col(label) == 0) & hit).alias("__fp"),
     )
     sliced = counts.repartitionByRange(*by, "__score").withColumn("__slice", F.spark_partition_id())
     before = Window.partitionBy("__slice", *by).orderBy("__score").rowsBetween(Window.unboundedPreceding, -1)
     below = F.coalesce(F.sum("__neg").over(before), F.lit(0))
+    totals = ["__pos", "__neg", "__tp", "__fp"]
     slices = (
         sliced.withColumn("__pairs", F.col("__pos") * (below.cast("double") + F.col("__neg") / F.lit(2.0)))
         .groupBy(*by, "__slice")
-        .agg(F.sum("__pos").alias("__pos"), F.sum("__neg").alias("__neg"), F.sum("__pairs").alias("__pairs"))
+        .agg(*[F.sum(c).alias(c) for c in [*totals, "__pairs"]])
     )
     earlier = Window.partitionBy(*by).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     offset = F.coalesce(F.sum("__neg").over(earlier), F.lit(0)).cast("double")
-    total = slices.withColumn("__pairs", F.col("__pairs") + F.col("__pos") * offset)
-    out = total.groupBy(*by).agg(
-        F.sum("__pos").alias("n_pos"), F.sum("__neg").alias("n_neg"), F.sum("__pairs").alias("__pairs")
+    out = (
+        slices.withColumn("__pairs", F.col("__pairs") + F.col("__pos") * offset)
+        .groupBy(*by)
+        .agg(*[F.sum(c).alias(c) for c in [*totals, "__pairs"]])
+    )
+    pos, neg = F.col("__pos"), F.col("__neg")
+    area = F.when((pos > 0) & (neg > 0), F.col("__pairs") / (pos.cast("double") * neg))
+    return out.select(
+        *by,
+        pos.alias("n_pos"),
+        neg.alias("n_neg"),
+        F.col("__tp").alias("tp"),
+        F.col("__fp").alias("fp"),
+        area.alias("auc"),
     )
-    area = F.col("__pairs") / (F.col("n_pos").cast("double") * F.col("n_neg"))
-    both = (F.col("n_pos") > 0) & (F.col("n_neg") > 0)
-    return out.select(*by, "n_pos", "n_neg", F.when(both, area).alias("auc"))
+
+
+def auc(df: DataFrame, label: str = "label", score: str = "prob", by: Sequence[str] = ()) -> DataFrame:
+    """Rows (by..., n_pos, n_neg, auc): exact area under the ROC curve, ties counting one half.
+
+    NULL for a group with a single class.
+    """
+    return _ranking(df, label, score, list(by)).select(*by, "n_pos", "n_neg", "auc")
 
 
 def confusion(df: DataFrame, label: str = "label", pred: str = "pred", by: Sequence[str] = ()) -> DataFrame:
@@ -91,11 +110,15 @@ def evaluate(
     df: DataFrame, by: Sequence[str] = (), label: str = "label", score: str = "prob", pred: str = "pred", average: str = "binary"
 ) -> DataFrame:
     """Rows (by..., tn, fp, fn, tp, metrics..., auc): AUC and classification metrics per group."""
-    cells = classification_metrics(confusion(df, label, pred, by), average)
-    area = auc(df, label, score, by).select(*by, "auc")
-    if by:
-        return cells.join(area, list(by))
-    return cells.withColumn("auc", area.select("auc").scalar())
+    cells = _ranking(df, label, score, list(by), pred).select(
+        *by,
+        (F.col("n_neg") - F.col("fp")).alias("tn"),
+        "fp",
+        (F.col("n_pos") - F.col("tp")).alias("fn"),
+        "tp",
+        "auc",
+    )
+    return classification_metrics(cells, average)
 
 
 def evaluate_by_client(

@@ -17,6 +17,8 @@ from cohortwise.operators.attach import attach
 from cohortwise.operators.selection import order_statistics
 
 BUCKET_DIGITS = 3
+# cut-off column of each stratum: a class, or -1 for both classes together
+CUTS = {"__cut_neg": 0, "__cut_pos": 1, "__cut_any": -1}
 
 
 def _half_up(num: Column, den: Column) -> Column:
@@ -73,45 +75,54 @@ def stratified_split(
     counts = rows.groupBy(*by, "__label", "__b").agg(F.count("*").alias("__c"))
     plan = with_split_plan(counts, by, test, fallback)
 
-    stratum = F.when(F.col("split_mode") == "stratified", F.col("__label")).otherwise(F.lit(-1))
+    drawn = attach(counts, plan, by).filter(F.col("split_mode") != "positional")
+    drawn = drawn.withColumn(
+        "__s", F.when(F.col("split_mode") == "stratified", F.col("__label")).otherwise(F.lit(-1))
+    )
     wanted = (
         F.when(F.col("__s") == 1, F.col("test1")).when(F.col("__s") == 0, F.col("test0")).otherwise(F.col("n_test"))
     )
     upto = Window.partitionBy(*by, "__s").orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
     edges = (
-        attach(counts, plan, by)
-        .filter(F.col("split_mode") != "positional")
-        .withColumn("__s", stratum)
-        .groupBy(*by, "__s", "__b", wanted.alias("__k"))
+        drawn.groupBy(*by, "__s", "__b", wanted.alias("__k"))
         .agg(F.sum("__c").alias("__c"))
         .withColumn("__upto", F.sum("__c").over(upto))
         .filter((F.col("__upto") >= F.col("__k")) & (F.col("__upto") - F.col("__c") < F.col("__k")))
-        .select(*by, "__s", "__b", (F.col("__k") - F.col("__upto") + F.col("__c")).alias("__need"))
+        .select(
+            *by,
+            "__s",
+            "__b",
+            (F.col("__k") - F.col("__upto") + F.col("__c")).alias("__need"),
+            F.explode(
+                F.when(F.col("__s") == -1, F.array(F.lit(0), F.lit(1))).otherwise(F.array("__s"))
+            ).alias("__label"),
+        )
     )
-    planned = attach(rows, plan.select(*by, "split_mode"), by).withColumn("__s", stratum)
     in_bucket = Window.partitionBy(*by, "__s", "__b").orderBy("__h")
     cuts = (
-        planned.select(*by, "__s", "__b", "__h")
-        .join(edges, [*by, "__s", "__b"])
+        rows.select(*by, "__label", "__b", "__h")
+        .join(edges, [*by, "__label", "__b"])
         .withColumn("__rank", F.row_number().over(in_bucket))
         .filter(F.col("__rank") == F.col("__need"))
-        .select(*by, "__s", F.col("__h").alias("__cut"))
+        .groupBy(*by)
+        .agg(*[F.max(F.when(F.col("__s") == s, F.col("__h"))).alias(n) for n, s in CUTS.items()])
     )
-    chosen = F.coalesce(F.col("__h") <= F.col("__cut"), F.lit(False))
-    out = planned.join(cuts, [*by, "__s"], "left")
+    # one row per group; a stratum without a cut has no test rows
+    rules = attach(plan.select(*by, "split_mode"), cuts, by, "left")
+    both = F.when(F.col("__label") == 1, F.col("__cut_pos")).otherwise(F.col("__cut_neg"))
+    cut = F.when(F.col("split_mode") == "random", F.col("__cut_any")).otherwise(both)
+    chosen = F.coalesce(F.col("__h") <= cut, F.lit(False))
     if fallback:
         first = ids[0]
+        small = plan.filter(F.col("split_mode") == "positional")
+        some = rows.join(small.select(*by), by, "left_semi") if by else attach(rows, plan).filter(F.col("split_mode") == "positional")
         heads = order_statistics(
-            planned.filter(F.col("split_mode") == "positional"),
-            by,
-            first,
-            1 - test,
-            {"__head": F.floor(F.col("n") * F.lit(1 - test)).cast("bigint")},
+            some, by, first, 1 - test, {"__head": F.floor(F.col("n") * F.lit(1 - test)).cast("bigint")}
         )
-        out = attach(out, heads.select(*by, "__head"), by, "left")
+        rules = attach(rules, heads.select(*by, "__head"), by, "left")
         behind = F.coalesce(F.col(first) > F.col("__head"), F.lit(True))
         chosen = F.when(F.col("split_mode") == "positional", behind).otherwise(chosen)
-    return out.select(*df.columns, chosen.cast("int").alias("is_test"))
+    return attach(rows, rules, by).select(*df.columns, chosen.cast("int").alias("is_test"))
 
 
 def hashed_split(

@@ -104,9 +104,8 @@ def evaluate_paths(
     for row in as_models(paths, by).collect():
         model = ids.setdefault(tuple(row["beta"]), len(ids))
         index.append((row["strategy"], row["mu"], row["round"], model))
-    if not index:
-        raise ValueError("no combined model to evaluate")
     offers = F.array(*[F.struct(F.lit(i).alias("model"), F.lit(list(beta)).alias("beta")) for beta, i in ids.items()])
+    offers = offers.cast("array<struct<model:int,beta:array<double>>>")  # no eligible group, no model
     scored = test.select(key, "label", *features, F.explode(offers).alias("__offer"))
     scored = scored.select(key, "label", *features, "__offer.model", F.col("__offer.beta").alias("__beta"))
     scored = with_probability(scored, features).select("model", key, "label", "prob", "pred")

@@ -30,34 +30,24 @@ class StarSource:
             .groupBy(F.col("o_custkey").alias("c_custkey"))
             .agg(F.count("*").alias("nf"))
         )
-        nf = F.coalesce("nf", F.lit(0))
-        tens = F.floor(F.col("c_acctbal") / 1000).cast("int") * 10
-        nation = F.col("c_nationkey")
-        education = (
-            F.when(nation % 6 == 0, "No Formal quals")
-            .when(nation % 6 == 1, "Lower Than A Level")
-            .when(nation % 6 == 2, "A Level or Equivalent")
-            .when(nation % 6 == 3, "HE Qualification")
-            .when(nation % 6 == 4, "Post Graduate Qualification")
-            .otherwise("other")
-        )
         return (
             self.table("customer")
             .join(self.table("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
             .join(finished, "c_custkey", "left")
-            .select(
-                F.col("c_mktsegment").alias("code_module"),
-                F.concat(F.lit("R"), F.col("n_regionkey").cast("string")).alias("code_presentation"),
-                F.col("c_custkey").alias("id_student"),
-                F.when(nf >= 4, "Fail").when(nf == 3, "Withdrawn").when(nf == 2, "Pass").otherwise("Distinction")
-                .alias("final_result"),
-                (F.col("c_custkey") % 4).cast("int").alias("num_of_prev_attempts"),
-                (30 * (1 + nation % 4)).cast("int").alias("studied_credits"),
-                F.when(F.col("c_acctbal") < 0, F.lit(None).cast("string"))
-                .when(F.col("c_acctbal") >= 9000, "unknown-band")
-                .otherwise(F.concat(tens.cast("string"), F.lit("-"), (tens + 10).cast("string"), F.lit("%")))
-                .alias("imd_band"),
-                education.alias("highest_education"),
+            .selectExpr(
+                "c_mktsegment AS code_module",
+                "concat('R', n_regionkey) AS code_presentation",
+                "c_custkey AS id_student",
+                """CASE WHEN nf >= 4 THEN 'Fail' WHEN nf = 3 THEN 'Withdrawn' WHEN nf = 2 THEN 'Pass'
+                   ELSE 'Distinction' END AS final_result""",
+                "CAST(c_custkey % 4 AS INT) AS num_of_prev_attempts",
+                "CAST(30 * (1 + c_nationkey % 4) AS INT) AS studied_credits",
+                """CASE WHEN c_acctbal < 0 THEN NULL WHEN c_acctbal >= 9000 THEN 'unknown-band'
+                   ELSE concat(floor(c_acctbal / 1000) * 10, '-', floor(c_acctbal / 1000) * 10 + 10, '%')
+                   END AS imd_band""",
+                """CASE c_nationkey % 6 WHEN 0 THEN 'No Formal quals' WHEN 1 THEN 'Lower Than A Level'
+                   WHEN 2 THEN 'A Level or Equivalent' WHEN 3 THEN 'HE Qualification'
+                   WHEN 4 THEN 'Post Graduate Qualification' ELSE 'other' END AS highest_education""",
             )
         )
 
@@ -109,66 +99,61 @@ class StarSource:
         )
 
     def xapi(self) -> DataFrame:
-        def n(kind: str):
-            return F.count_if(F.col("event_type") == kind)
-
         people = self.table("customer").join(self.table("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-        per_user = self.table("events").groupBy("user_id").agg(
-            n("click").alias("raisedhands"),
-            n("view").alias("VisITedResources"),
-            n("signup").alias("AnnouncementsView"),
-            n("purchase").alias("Discussion"),
-            n("error").alias("errors"),
+        kinds = {
+            "raisedhands": "click",
+            "VisITedResources": "view",
+            "AnnouncementsView": "signup",
+            "Discussion": "purchase",
+            "errors": "error",
+        }
+        per_user = (
+            self.table("events")
+            .groupBy("user_id")
+            .agg(*[F.expr(f"count_if(event_type = '{kind}') AS {name}") for name, kind in kinds.items()])
         )
-        seen = F.col("raisedhands") + F.col("VisITedResources")
-        uid = F.col("user_id")
-        return per_user.join(people, uid == F.col("c_custkey")).select(
-            uid.alias("id_student"),
-            F.concat(F.lit(" "), F.replace("n_name", F.lit("_"), F.lit(" ")), F.lit(" ")).alias("NationalITy"),
+        return per_user.join(people, F.col("user_id") == F.col("c_custkey")).selectExpr(
+            "user_id AS id_student",
+            "concat(' ', replace(n_name, '_', ' '), ' ') AS NationalITy",
             "raisedhands",
             "VisITedResources",
             "AnnouncementsView",
             "Discussion",
-            F.when(F.col("errors") > 13, "Above-7").otherwise("Under-7").alias("StudentAbsenceDays"),
-            F.when(uid % 2 == 0, "Yes").otherwise("No").alias("ParentAnsweringSurvey"),
-            F.when(uid % 3 == 0, "Good").otherwise("Bad").alias("ParentschoolSatisfaction"),
-            F.when(uid % 5 < 2, "Second").otherwise("First").alias("Semester"),
-            F.when(seen < 24, "L").when(seen < 29, "M").otherwise("H").alias("Class"),
+            "if(errors > 13, 'Above-7', 'Under-7') AS StudentAbsenceDays",
+            "if(user_id % 2 = 0, 'Yes', 'No') AS ParentAnsweringSurvey",
+            "if(user_id % 3 = 0, 'Good', 'Bad') AS ParentschoolSatisfaction",
+            "if(user_id % 5 < 2, 'Second', 'First') AS Semester",
+            """CASE WHEN raisedhands + VisITedResources < 24 THEN 'L'
+               WHEN raisedhands + VisITedResources < 29 THEN 'M' ELSE 'H' END AS Class""",
         )
 
     def uci(self) -> DataFrame:
         owners = self.table("orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("id_student"))
-        sid, line, qty = F.col("id_student"), F.col("l_linenumber"), F.col("l_quantity")
-
-        def best(last: int):
-            return F.max(F.when(line <= last, qty).otherwise(F.lit(0.0)))
-
-        g3 = F.floor(F.col("q2") * 0.14 + F.col("mean_line"))
         return (
             self.table("lineitem")
             .join(owners, "l_orderkey")
             .groupBy("id_student")
             .agg(
-                best(2).alias("q2"),
-                best(3).alias("q3"),
-                F.avg(line.cast("double")).alias("mean_line"),
+                F.expr("max(if(l_linenumber <= 2, l_quantity, 0.0D)) AS q2"),
+                F.expr("max(if(l_linenumber <= 3, l_quantity, 0.0D)) AS q3"),
+                F.avg("l_linenumber").alias("mean_line"),
                 F.count_distinct("l_orderkey").alias("n_orders"),
             )
-            .select(
+            .selectExpr(
                 "id_student",
-                F.when(sid % 13 == 0, "MS").otherwise("GP").alias("school"),
-                F.when(sid % 2 == 0, "math").otherwise("portuguese").alias("subject"),
-                F.floor(F.col("q2") * 0.4).cast("int").alias("G1"),
-                F.floor(F.col("q3") * 0.4).cast("int").alias("G2"),
-                g3.cast("int").alias("G3"),
-                (1 + sid % 4).cast("int").alias("studytime"),
-                (sid % 3).cast("int").alias("failures"),
-                (sid % 5).cast("int").alias("Medu"),
-                (sid % 4).cast("int").alias("Fedu"),
-                (1 + sid % 5).cast("int").alias("health"),
-                F.col("n_orders").cast("int").alias("absences"),
-                F.when(sid % 7 == 0, "yes").otherwise("no").alias("schoolsup"),
-                F.when(sid % 2 == 0, "yes").otherwise("no").alias("famsup"),
+                "if(id_student % 13 = 0, 'MS', 'GP') AS school",
+                "if(id_student % 2 = 0, 'math', 'portuguese') AS subject",
+                "CAST(floor(q2 * 0.4D) AS INT) AS G1",
+                "CAST(floor(q3 * 0.4D) AS INT) AS G2",
+                "CAST(floor(q2 * 0.14D + mean_line) AS INT) AS G3",
+                "CAST(1 + id_student % 4 AS INT) AS studytime",
+                "CAST(id_student % 3 AS INT) AS failures",
+                "CAST(id_student % 5 AS INT) AS Medu",
+                "CAST(id_student % 4 AS INT) AS Fedu",
+                "CAST(1 + id_student % 5 AS INT) AS health",
+                "CAST(n_orders AS INT) AS absences",
+                "if(id_student % 7 = 0, 'yes', 'no') AS schoolsup",
+                "if(id_student % 2 = 0, 'yes', 'no') AS famsup",
             )
         )
 
