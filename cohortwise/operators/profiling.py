@@ -62,11 +62,11 @@ def rate_by_group(df: DataFrame, key: str, label: str = "label") -> DataFrame:
 
 def heterogeneity(df: DataFrame, key: str, label: str = "label") -> DataFrame:
     """One row: number of groups, overall positive rate, and coefficient of variation of the group rates."""
-    groups = df.groupBy(key).agg(F.count("*").alias("n"), F.sum(label).alias("pos"))
-    rate = F.col("pos") / F.col("n")
+    groups = df.groupBy(key).agg(F.count("*").alias("__n"), F.sum(label).alias("__pos"))
+    rate = F.col("__pos") / F.col("__n")
     return groups.agg(
         F.count("*").alias("n_groups"),
-        (F.sum("pos") / F.sum("n")).alias("rate"),
+        (F.sum("__pos") / F.sum("__n")).alias("rate"),
         (F.stddev_samp(rate) / F.avg(rate)).alias("cv"),
     )
 

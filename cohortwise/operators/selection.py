@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,12 +15,12 @@ def order_statistics(
     keys: Sequence[str],
     value: str,
     fraction: float,
-    ranks: Mapping[str, Column],
+    ranks: Mapping[str, Callable[[Column], Column]],
     accuracy: int = 10_000,
 ) -> DataFrame:
     """Per group, the values at the given 1-based ranks, all of them within one rank of `fraction` * n.
 
-    `ranks` maps output names to expressions over `n`, the number of rows of the group.
+    `ranks` maps output names to functions of n, the number of non-NULL values of the group.
 
     A quantile sketch brackets the wanted ranks. Values below the bracket are only counted, values
     above it are dropped, and the cumulative count runs over the distinct values inside, which are a
@@ -31,12 +31,12 @@ def order_statistics(
     low, high = max(fraction - margin, 0.0), min(fraction + margin, 1.0)
     rows = df.select(*keys, F.col(value).alias("__v")).filter(F.col("__v").isNotNull())
     bounds = rows.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.percentile_approx("__v", [low, high], accuracy).alias("__b")
+        F.count("*").alias("__n"), F.percentile_approx("__v", [low, high], accuracy).alias("__b")
     )
-    big = F.col("n") > accuracy
+    big = F.col("__n") > accuracy
     bounds = bounds.select(
         *keys,
-        "n",
+        "__n",
         F.when(big, F.col("__b")[0]).alias("__low"),
         F.when(big, F.col("__b")[1]).alias("__high"),
     )
@@ -45,10 +45,10 @@ def order_statistics(
         .filter(F.col("__high").isNull() | (F.col("__v") <= F.col("__high")))
         .select(
             *keys,
-            "n",
+            "__n",
             F.when(F.col("__low").isNull() | (F.col("__v") >= F.col("__low")), F.col("__v")).alias("__v"),
         )
-        .groupBy(*keys, "n", "__v")
+        .groupBy(*keys, "__n", "__v")
         .agg(F.count("*").alias("__c"))
     )
     # the row of counted-only values has a NULL value and sorts first
@@ -56,18 +56,13 @@ def order_statistics(
     running = inside.withColumn("__upto", F.sum("__c").over(upto.rowsBetween(Window.unboundedPreceding, 0)))
     picks = []
     for name, rank in ranks.items():
-        hit = (F.col("__upto") >= rank) & (F.col("__upto") - F.col("__c") < rank)
+        k = rank(F.col("__n")).cast("bigint")
+        hit = (F.col("__upto") >= k) & (F.col("__upto") - F.col("__c") < k)
         picks.append(F.max(F.when(hit, F.col("__v"))).alias(name))
-    return running.groupBy(*keys).agg(F.max("n").alias("n"), *picks)
+    return running.groupBy(*keys).agg(*picks)
 
 
 def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "median") -> DataFrame:
-    n = F.col("n")
-    out = order_statistics(
-        df,
-        keys,
-        value,
-        0.5,
-        {"__lo": F.floor((n + 1) / 2).cast("bigint"), "__hi": (F.floor(n / 2) + 1).cast("bigint")},
-    )
-    return out.select(*keys, "n", ((F.col("__lo") + F.col("__hi")) / 2).alias(name))
+    ranks = {"__lo": lambda n: F.floor((n + 1) / 2), "__hi": lambda n: F.floor(n / 2) + 1}
+    out = order_statistics(df, keys, value, 0.5, ranks)
+    return out.select(*keys, ((F.col("__lo") + F.col("__hi")) / 2).alias(name))

@@ -33,26 +33,26 @@ def with_split_plan(counts: DataFrame, by: Sequence[str], test: float, fallback:
     a group with one class or fewer than five rows is cut by position, and a group with a class too
     small to appear on both sides is drawn without regard to the class.
     """
-    n, n1 = F.col("n"), F.col("n1")
+    n, n1 = F.col("__n"), F.col("__n1")
     plan = counts.groupBy(*by).agg(
-        F.sum("__c").alias("n"), F.sum(F.when(F.col("__label") == 1, F.col("__c")).otherwise(0)).alias("n1")
+        F.sum("__c").alias("__n"), F.sum(F.when(F.col("__label") == 1, F.col("__c")).otherwise(0)).alias("__n1")
     )
-    plan = plan.withColumn("n_test", F.ceil(n * F.lit(test)).cast("bigint"))
-    plan = plan.withColumn("test1", n1 - _half_up(n1 * (n - F.col("n_test")), n))
-    plan = plan.withColumn("test0", F.col("n_test") - F.col("test1"))
+    plan = plan.withColumn("__n_test", F.ceil(n * F.lit(test)).cast("bigint"))
+    plan = plan.withColumn("__test1", n1 - _half_up(n1 * (n - F.col("__n_test")), n))
+    plan = plan.withColumn("__test0", F.col("__n_test") - F.col("__test1"))
     n0 = n - n1
     both = (
         (F.least(n0, n1) >= 2)
-        & (F.col("test1") >= 1)
-        & (F.col("test0") >= 1)
-        & (F.col("test1") < n1)
-        & (F.col("test0") < n0)
+        & (F.col("__test1") >= 1)
+        & (F.col("__test0") >= 1)
+        & (F.col("__test1") < n1)
+        & (F.col("__test0") < n0)
     )
     if fallback:
         mode = F.when((n0 == 0) | (n1 == 0) | (n < 5), "positional").when(both, "stratified").otherwise("random")
     else:
         mode = F.lit("stratified")
-    return plan.withColumn("split_mode", mode).select(*by, "n", "n_test", "test1", "test0", "split_mode")
+    return plan.withColumn("__split_mode", mode).select(*by, "__n_test", "__test1", "__test0", "__split_mode")
 
 
 def stratified_split(
@@ -75,12 +75,12 @@ def stratified_split(
     counts = rows.groupBy(*by, "__label", "__b").agg(F.count("*").alias("__c"))
     plan = with_split_plan(counts, by, test, fallback)
 
-    drawn = attach(counts, plan, by).filter(F.col("split_mode") != "positional")
+    drawn = attach(counts, plan, by).filter(F.col("__split_mode") != "positional")
     drawn = drawn.withColumn(
-        "__s", F.when(F.col("split_mode") == "stratified", F.col("__label")).otherwise(F.lit(-1))
+        "__s", F.when(F.col("__split_mode") == "stratified", F.col("__label")).otherwise(F.lit(-1))
     )
     wanted = (
-        F.when(F.col("__s") == 1, F.col("test1")).when(F.col("__s") == 0, F.col("test0")).otherwise(F.col("n_test"))
+        F.when(F.col("__s") == 1, F.col("__test1")).when(F.col("__s") == 0, F.col("__test0")).otherwise(F.col("__n_test"))
     )
     upto = Window.partitionBy(*by, "__s").orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
     edges = (
@@ -108,20 +108,20 @@ def stratified_split(
         .agg(*[F.max(F.when(F.col("__s") == s, F.col("__h"))).alias(n) for n, s in CUTS.items()])
     )
     # one row per group; a stratum without a cut has no test rows
-    rules = attach(plan.select(*by, "split_mode"), cuts, by, "left")
+    rules = attach(plan.select(*by, "__split_mode"), cuts, by, "left")
     both = F.when(F.col("__label") == 1, F.col("__cut_pos")).otherwise(F.col("__cut_neg"))
-    cut = F.when(F.col("split_mode") == "random", F.col("__cut_any")).otherwise(both)
+    cut = F.when(F.col("__split_mode") == "random", F.col("__cut_any")).otherwise(both)
     chosen = F.coalesce(F.col("__h") <= cut, F.lit(False))
     if fallback:
         first = ids[0]
-        small = plan.filter(F.col("split_mode") == "positional")
-        some = rows.join(small.select(*by), by, "left_semi") if by else attach(rows, plan).filter(F.col("split_mode") == "positional")
+        small = plan.filter(F.col("__split_mode") == "positional")
+        some = rows.join(small.select(*by), by, "left_semi") if by else attach(rows, plan).filter(F.col("__split_mode") == "positional")
         heads = order_statistics(
-            some, by, first, 1 - test, {"__head": F.floor(F.col("n") * F.lit(1 - test)).cast("bigint")}
+            some, by, first, 1 - test, {"__head": lambda n: F.floor(n * F.lit(1 - test))}
         )
         rules = attach(rules, heads.select(*by, "__head"), by, "left")
         behind = F.coalesce(F.col(first) > F.col("__head"), F.lit(True))
-        chosen = F.when(F.col("split_mode") == "positional", behind).otherwise(chosen)
+        chosen = F.when(F.col("__split_mode") == "positional", behind).otherwise(chosen)
     return attach(rows, rules, by).select(*df.columns, chosen.cast("int").alias("is_test"))
 
 
@@ -137,7 +137,7 @@ def hashed_split(
 def head_tail_split(df: DataFrame, order_by: str, by: Sequence[str] = (), train: float = 0.8) -> DataFrame:
     """Add `is_test`: the first floor(train * n) rows by the numeric, unique `order_by` are for training."""
     heads = order_statistics(
-        df, by, order_by, train, {"__head": F.floor(F.col("n") * F.lit(train)).cast("bigint")}
+        df, by, order_by, train, {"__head": lambda n: F.floor(n * F.lit(train))}
     ).select(*by, "__head")
     behind = F.coalesce(F.col(order_by) > F.col("__head"), F.lit(True))
     return attach(df, heads, by, "left").select(*df.columns, behind.cast("int").alias("is_test"))

@@ -370,6 +370,6 @@ add(
         SELECT SPLIT_PART(client_id, '_', 1) AS module, CAST(SPLIT_PART(client_id, '_R', 2) AS INT) AS presentation,
           COUNT(*) AS n, AVG(label) AS rate FROM feat GROUP BY client_id)) WHERE k = 1""",
 )
-add("median_score", f"SELECT code_module, COUNT(*) AS n, {r('MEDIAN(sum_click)', 'median')} FROM vle GROUP BY code_module")
+add("median_score", f"SELECT code_module, {r('MEDIAN(sum_click)', 'median')} FROM vle GROUP BY code_module")
 
 SQL.update(MODEL_SQL)
