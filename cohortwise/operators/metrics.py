@@ -25,7 +25,7 @@ def _ranking(df: DataFrame, label: str, score: str, by: list[str], pred: str | N
         F.count_if((F.col(label) == 0) & hit).alias("__fp"),
     )
     sliced = counts.repartitionByRange(*by, "__score").withColumn("__slice", F.spark_partition_id())
-    before = Window.partitionBy("__slice", *by).orderBy("__score").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*by, "__slice").orderBy("__score").rowsBetween(Window.unboundedPreceding, -1)
     below = F.coalesce(F.sum("__neg").over(before), F.lit(0))
     totals = ["__pos", "__neg", "__tp", "__fp"]
     slices = (

@@ -55,9 +55,19 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def _scratch_home(spark: SparkSession) -> str:
+    return f"{scratch_root(spark)}/cohortwise/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared scratch folder."""
-    return f"{scratch_root(spark)}/cohortwise/{uuid.uuid4().hex}/{name}"
+    """A fresh path below this application's part of the shared scratch folder."""
+    return f"{_scratch_home(spark)}/{uuid.uuid4().hex}/{name}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables. Results that still read them become unusable."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_scratch_home(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

@@ -190,7 +190,7 @@ add(
     ),
 )
 add("best_strategy", f"SELECT dataset, {BEST} AS strategy, {r('MAX(auc)', 'auc')} FROM finals GROUP BY dataset")
-add("best_mu", f"SELECT {BEST_MU} AS mu, {r('MAX(auc)', 'auc')} FROM sweep WHERE mu > 0")
+add("best_mu", f"SELECT COALESCE({BEST_MU}, 0) AS mu, {r('COALESCE(MAX(auc), 0)', 'auc')} FROM sweep WHERE mu > 0")
 add(
     "result_long",
     f"""
