@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortwise.operators.attach import attach
 from cohortwise.operators.selection import exact_median
 
 # Server optimiser settings and the default proximal strength.
@@ -59,12 +58,12 @@ def mean_rounds(targets: DataFrame, start: DataFrame, rounds: int, by: Sequence[
     """
     joined = targets.join(start.withColumnRenamed("value", "start"), [*by, "pos"])
     gap = F.col("start") - F.col("value")
-    return joined.select(*by, "pos", "value", gap.alias("gap"), "idle", _rounds(rounds)).select(
+    return joined.select(*by, "pos", "value", gap.alias("gap"), "idle", round_numbers(rounds)).select(
         *by, "round", "pos", (F.col("value") + F.pow(F.col("idle"), F.col("round")) * F.col("gap")).alias("value")
     )
 
 
-def _rounds(rounds: int) -> Column:
+def round_numbers(rounds: int) -> Column:
     return F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round")
 
 
@@ -123,12 +122,12 @@ def mean_targets(models: DataFrame, by: Sequence[str] = ("mu",)) -> DataFrame:
     )
 
 
-def median_round(models: DataFrame, current: DataFrame | None, by: Sequence[str] = ("mu",)) -> DataFrame:
-    """One round of the median; idle groups answer with the `current` model (by..., pos, value)."""
+def median_round(models: DataFrame, current: Sequence[float] | None = None, by: Sequence[str] = ("mu",)) -> DataFrame:
+    """One round of the median; idle groups answer with the `current` model (p + 1 values)."""
     rows = entries(models, by)
     if current is not None:
-        rows = attach(rows, current.withColumnRenamed("value", "__now"), [*by, "pos"])
-        rows = rows.withColumn("value", F.when(F.col("trainable"), F.col("value")).otherwise(F.col("__now")))
+        echo = F.lit([float(v) for v in current])[F.col("pos")]
+        rows = rows.withColumn("value", F.when(F.col("trainable"), F.col("value")).otherwise(echo))
     return exact_median(rows, [*by, "pos"], "value", "value").select(*by, "pos", "value")
 
 

@@ -575,6 +575,14 @@ def fed_rounds_engagement(src: StarSource) -> DataFrame:
     return rounded(rounds.run_rounds(rows, cols), *metrics.METRICS)
 
 
+@query
+def fed_rounds_small(src: StarSource) -> DataFrame:
+    """Two features on the small engagement groups, idle and degenerate ones among them."""
+    cols = ["raisedhands", "Discussion"]
+    rows = prepare.client_rows(features.engagement_features(src.xapi()), cols, min_rows=ENGAGEMENT_MIN_ROWS)
+    return rounded(rounds.run_rounds(rows, cols), *metrics.METRICS)
+
+
 @query
 def client_status(src: StarSource) -> DataFrame:
     """Eligible groups at three thresholds."""

@@ -20,6 +20,7 @@ from cohortwise.operators.combining import (
     mean_rounds,
     mean_targets,
     median_round,
+    round_numbers,
 )
 from cohortwise.operators.grouped_lr import fit_grouped_lr, with_probability
 from cohortwise.operators.metrics import METRICS, evaluate_by_client, weighted_round_mean
@@ -73,16 +74,21 @@ def model_paths(
 
 
 def _median_path(plain: DataFrame, start: DataFrame, rounds: int) -> DataFrame:
-    """Medians are constant unless idle groups echo the model of the round before."""
+    """Rows (round, pos, value) of the median. It stays as it is unless idle groups echo the round before.
+
+    Only the p + 1 numbers of the combined model come to the driver, and only where groups are idle.
+    """
     if plain.filter(~F.col("trainable")).isEmpty():
-        fixed = median_round(plain, None)
-        return fixed.select(F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"), "pos", "value")
-    current = start.withColumn("mu", F.lit(0.0))
-    parts = []
+        return median_round(plain).select(round_numbers(rounds), "pos", "value")
+    now = [r["value"] for r in start.orderBy("pos").collect()]
+    path = []
+    settled = False
     for r in range(1, rounds + 1):
-        current = materialise(median_round(plain, current), f"median_{r}")
-        parts.append(current.select(F.lit(r).alias("round"), "pos", "value"))
-    return union_all(parts)
+        if not settled:
+            found = [row["value"] for row in median_round(plain, now).orderBy("pos").collect()]
+            settled, now = found == now, found
+        path += [(r, pos, value) for pos, value in enumerate(now)]
+    return plain.sparkSession.createDataFrame(path, "round int, pos int, value double")
 
 
 def evaluate_paths(

@@ -15,26 +15,26 @@ def half_up(num: str, den: str) -> str:
     return f"((2 * {num} + {den}) // (2 * {den}))"
 
 
-def split_views(source: str, by: str, ids: str, fallback: bool) -> dict[str, str]:
-    """Views `sized`, `moded` and `split` of an exact stratified split, by plain row numbers."""
+def split_views(source: str, by: str, ids: str, fallback: bool, prefix: str = "") -> dict[str, str]:
+    """View `<prefix>split` of an exact stratified split by plain row numbers, and the views it needs."""
     part = f"PARTITION BY {by}" if by else ""
     both = "LEAST(n1, n0) >= 2 AND test1 BETWEEN 1 AND n1 - 1 AND test0 BETWEEN 1 AND n0 - 1"
     mode = f"CASE WHEN n0 = 0 OR n1 = 0 OR n < 5 THEN 'p' WHEN {both} THEN 's' ELSE 'r' END" if fallback else "'s'"
     first = ids.split(",")[0]
     comma = f"{by}, " if by else ""
     return {
-        "sized": f"""SELECT *, {hash_of(ids)} AS h, COUNT(*) OVER ({part}) AS n,
+        f"{prefix}sized": f"""SELECT *, {hash_of(ids)} AS h, COUNT(*) OVER ({part}) AS n,
             COUNT(*) FILTER (WHERE label = 1) OVER ({part}) AS n1, COUNT(*) FILTER (WHERE label = 0) OVER ({part}) AS n0
             FROM {source}""",
-        "counted": "SELECT *, CAST(CEIL(CAST(0.2 AS DOUBLE) * n) AS BIGINT) AS nt FROM sized",
-        "planned": f"""SELECT *, n1 - {half_up('(n1 * (n - nt))', 'n')} AS test1,
-            nt - (n1 - {half_up('(n1 * (n - nt))', 'n')}) AS test0 FROM counted""",
-        "moded": f"SELECT *, {mode} AS split_mode FROM planned",
-        "split": f"""SELECT *, CAST(CASE
+        f"{prefix}counted": f"SELECT *, CAST(CEIL(CAST(0.2 AS DOUBLE) * n) AS BIGINT) AS nt FROM {prefix}sized",
+        f"{prefix}planned": f"""SELECT *, n1 - {half_up('(n1 * (n - nt))', 'n')} AS test1,
+            nt - (n1 - {half_up('(n1 * (n - nt))', 'n')}) AS test0 FROM {prefix}counted""",
+        f"{prefix}moded": f"SELECT *, {mode} AS split_mode FROM {prefix}planned",
+        f"{prefix}split": f"""SELECT *, CAST(CASE
             WHEN split_mode = 'p' THEN ROW_NUMBER() OVER ({part} ORDER BY {first}) > CAST(FLOOR(n * CAST(0.8 AS DOUBLE)) AS BIGINT)
             WHEN split_mode = 'r' THEN ROW_NUMBER() OVER ({part} ORDER BY h) <= nt
             ELSE ROW_NUMBER() OVER (PARTITION BY {comma}label ORDER BY h) <= CASE WHEN label = 1 THEN test1 ELSE test0 END
-            END AS INT) AS is_test FROM moded""",
+            END AS INT) AS is_test FROM {prefix}moded""",
     }
 
 

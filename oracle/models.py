@@ -5,7 +5,6 @@ from __future__ import annotations
 from oracle.fragments import (
     ACC,
     F1,
-    MEAN_METRICS,
     METRICS,
     P1,
     ROUNDED_METRICS,
@@ -53,73 +52,80 @@ def scaled(col: str, over: str, cond: str) -> str:
 
 BY_CLIENT = "PARTITION BY client_id"
 TRAIN = "FILTER (WHERE is_test = 0)"
-CLIENTS: dict[str, str] = {
-    "complete": """SELECT client_id, id_student, label, days_active, avg_score FROM (
-        SELECT *, COUNT(*) OVER (PARTITION BY client_id) AS size FROM feat) WHERE size >= 20 AND avg_score IS NOT NULL""",
-    **split_views("complete", "client_id", "id_student", True),
-    "rows_z": f"""SELECT client_id, id_student, label, is_test, {scaled('days_active', BY_CLIENT, TRAIN)} AS x0,
-        {scaled('avg_score', BY_CLIENT, TRAIN)} AS x1 FROM split""",
-    "train": f"""SELECT client_id, label, x0, x1, COUNT(*) OVER (PARTITION BY client_id)
-        / (2.0::DOUBLE * COUNT(*) OVER (PARTITION BY client_id, label)) AS w FROM rows_z WHERE is_test = 0""",
-    **newton_views("train", "client_id", MUS, "fit"),
-    "sizes": "SELECT client_id, COUNT(*) AS n FROM train GROUP BY client_id",
-    "models": f"SELECT * FROM fit_{STEPS} JOIN sizes USING (client_id)",
-}
 
 
-def _means(fn: str) -> str:
-    return ", ".join(f"{fn.format(c=c)} AS {c}" for c in ("b0", "b1", "b2"))
+def group_views(prefix: str, source: str, x0: str, x1: str, min_rows: int) -> dict[str, str]:
+    """View `<prefix>history`: four strategies and the sweep over the groups of `source`, on features x0 and x1.
 
+    A group with one class in its training rows is idle: it returns the model it was given.
+    """
+    p, start = prefix, f"{prefix}start"
+    means = ", ".join(
+        f"SUM(n * b{i}) FILTER (WHERE trainable) / SUM(n) FILTER (WHERE trainable) AS a{i}" for i in range(3)
+    )
+    views = {
+        f"{p}complete": f"""SELECT client_id, id_student, label, {x0}, {x1} FROM (
+            SELECT *, COUNT(*) OVER (PARTITION BY client_id) AS size FROM {source})
+            WHERE size >= {min_rows} AND {x0} IS NOT NULL AND {x1} IS NOT NULL""",
+        **split_views(f"{p}complete", "client_id", "id_student", True, p),
+        f"{p}rows_z": f"""SELECT client_id, id_student, label, is_test, {scaled(x0, BY_CLIENT, TRAIN)} AS x0,
+            {scaled(x1, BY_CLIENT, TRAIN)} AS x1 FROM {p}split""",
+        f"{p}train": f"""SELECT client_id, label, x0, x1, COUNT(*) OVER (PARTITION BY client_id)
+            / (2.0::DOUBLE * COUNT(*) OVER (PARTITION BY client_id, label)) AS w FROM {p}rows_z WHERE is_test = 0""",
+        f"{p}groups": f"""SELECT client_id, COUNT(*) AS n, MIN(label) < MAX(label) AS trainable FROM {p}train GROUP BY client_id""",
+        f"{p}fit_rows": f"SELECT * FROM {p}train JOIN {p}groups USING (client_id) WHERE trainable",
+        **newton_views(f"{p}fit_rows", "client_id", MUS, f"{p}fit"),
+        f"{p}models": f"""SELECT client_id, mu, n, trainable, COALESCE(b0, 0) AS b0, COALESCE(b1, 0) AS b1, COALESCE(b2, 0) AS b2
+            FROM (SELECT * FROM {p}groups, (VALUES {', '.join(f'({m}::DOUBLE)' for m in MUS)}) AS v(mu))
+            LEFT JOIN {p}fit_{STEPS} USING (client_id, mu)""",
+        start: f"""SELECT ARG_MIN(b0, client_id) AS b0, ARG_MIN(b1, client_id) AS b1, ARG_MIN(b2, client_id) AS b2
+            FROM {p}models WHERE mu = 0""",
+        f"{p}targets": f"""SELECT mu, {means}, 1 - SUM(n) FILTER (WHERE trainable) / SUM(n) AS idle FROM {p}models GROUP BY mu""",
+        f"{p}median_0": f"SELECT * FROM {start}",
+        f"{p}adam_0": f"""SELECT a0, a1, a2, idle, b0, b1, b2, 0::DOUBLE AS m0, 0::DOUBLE AS m1, 0::DOUBLE AS m2,
+            0::DOUBLE AS v0, 0::DOUBLE AS v1, 0::DOUBLE AS v2 FROM {p}targets CROSS JOIN {start} WHERE mu = 0""",
+    }
+    for k in range(1, ROUNDS + 1):
+        middle = ", ".join(f"MEDIAN(CASE WHEN trainable THEN m.b{i} ELSE c.b{i} END) AS b{i}" for i in range(3))
+        views[f"{p}median_{k}"] = f"SELECT {middle} FROM {p}models m CROSS JOIN {p}median_{k - 1} c WHERE mu = 0"
+        m = ", ".join(f"0.9::DOUBLE*m{i} + 0.1::DOUBLE*(1-idle)*(a{i}-b{i}) AS m{i}" for i in range(3))
+        v = ", ".join(f"0.99::DOUBLE*v{i} + 0.01::DOUBLE*((1-idle)*(a{i}-b{i}))**2 AS v{i}" for i in range(3))
+        b = ", ".join(f"b{i} + 0.001::DOUBLE*m{i}/(SQRT(v{i}) + 1e-9::DOUBLE) AS b{i}" for i in range(3))
+        views[f"{p}adam_{k}"] = f"""SELECT a0, a1, a2, idle, m0, m1, m2, v0, v1, v2, {b}
+            FROM (SELECT a0, a1, a2, idle, b0, b1, b2, {m}, {v} FROM {p}adam_{k - 1})"""
+    paths = "\n".join(
+        f"UNION ALL SELECT '{name}', 0, {k}, b0, b1, b2 FROM {p}{view}_{k}"
+        for name, view in (("FedMedian", "median"), ("FedAdam", "adam"))
+        for k in range(1, ROUNDS + 1)
+    )
+    drift = ", ".join(f"a{i} + POW(idle, round) * (b{i} - a{i}) AS b{i}" for i in range(3))
+    views |= {
+        f"{p}combined": f"""SELECT CASE WHEN mu = 0 THEN 'FedAvg' ELSE 'FedProx' END AS strategy, mu, CAST(round AS INT) AS round, {drift}
+            FROM {p}targets CROSS JOIN {start} CROSS JOIN RANGE(1, {ROUNDS + 1}) AS g(round)
+            {paths}""",
+        f"{p}scored": f"""SELECT *, CAST(score > 0.5 AS INT) AS pred FROM (
+            SELECT strategy, mu, round, client_id, label, 1 / (1 + EXP(-(b0*x0 + b1*x1 + b2))) AS score
+            FROM (SELECT * FROM {p}rows_z WHERE is_test = 1) CROSS JOIN {p}combined)""",
+        f"{p}per_client": client_eval(f"{p}scored", "strategy, mu, round, client_id"),
+        f"{p}history": f"""SELECT strategy, mu, round, COUNT(*) AS n_clients,
+            {', '.join(f'SUM({c} * n_samples) / SUM(n_samples) AS {c}' for c in METRICS)}
+            FROM {p}per_client GROUP BY strategy, mu, round""",
+    }
+    return views
 
-ADAM: dict[str, str] = {
-    "adam_0": """SELECT a.b0 AS t0, a.b1 AS t1, a.b2 AS t2, s.b0 AS x0, s.b1 AS x1, s.b2 AS x2,
-        0::DOUBLE AS m0, 0::DOUBLE AS m1, 0::DOUBLE AS m2, 0::DOUBLE AS v0, 0::DOUBLE AS v1, 0::DOUBLE AS v2
-        FROM mean_models a JOIN start s ON a.mu = 0""",
-}
-for _r in range(1, ROUNDS + 1):
-    _m = ", ".join(f"0.9::DOUBLE*m{i} + 0.1::DOUBLE*(t{i}-x{i}) AS m{i}" for i in range(3))
-    _v = ", ".join(f"0.99::DOUBLE*v{i} + 0.01::DOUBLE*(t{i}-x{i})*(t{i}-x{i}) AS v{i}" for i in range(3))
-    _x = ", ".join(f"x{i} + 0.001::DOUBLE*m{i}/(SQRT(v{i}) + 1e-9::DOUBLE) AS x{i}" for i in range(3))
-    ADAM[f"adam_{_r}"] = f"""SELECT t0, t1, t2, m0, m1, m2, v0, v1, v2, {_x}
-        FROM (SELECT t0, t1, t2, x0, x1, x2, {_m}, {_v} FROM adam_{_r - 1})"""
 
-ADAM_PATH = "\nUNION ALL ".join(
-    f"SELECT 'FedAdam', 0::DOUBLE, {k}, x0, x1, x2 FROM adam_{k}" for k in range(1, ROUNDS + 1)
-)
-# Every client of the test tables has both classes, so means and medians stay as they are after round 1.
 HISTORY: dict[str, str] = {
-    **CLIENTS,
-    "start": "SELECT ARG_MIN(b0, client_id) AS b0, ARG_MIN(b1, client_id) AS b1, ARG_MIN(b2, client_id) AS b2 FROM models WHERE mu = 0",
-    "mean_models": f"SELECT mu, {_means('SUM(n*{c})/SUM(n)')} FROM models GROUP BY mu",
-    "median_model": f"SELECT {_means('MEDIAN({c})')} FROM models WHERE mu = 0",
-    **ADAM,
-    "combined": f"""
-        SELECT CASE WHEN mu = 0 THEN 'FedAvg' ELSE 'FedProx' END AS strategy, mu, CAST(round AS INT) AS round, b0, b1, b2
-          FROM mean_models, RANGE(1, {ROUNDS + 1}) AS g(round)
-        UNION ALL SELECT 'FedMedian', 0, CAST(round AS INT), b0, b1, b2 FROM median_model, RANGE(1, {ROUNDS + 1}) AS g(round)
-        UNION ALL {ADAM_PATH}""",
-    "scored": """SELECT *, CAST(score > 0.5 AS INT) AS pred FROM (
-        SELECT strategy, mu, round, client_id, label, 1 / (1 + EXP(-(b0*x0 + b1*x1 + b2))) AS score
-        FROM (SELECT * FROM rows_z WHERE is_test = 1) CROSS JOIN combined)""",
-    "per_client": client_eval("scored", "strategy, mu, round, client_id"),
-    "history": f"""SELECT strategy, mu, round, COUNT(*) AS n_clients,
-        {', '.join(f'SUM({m} * n_samples) / SUM(n_samples) AS {m}' for m in METRICS)}
-        FROM per_client GROUP BY strategy, mu, round""",
+    **group_views("", "feat", "days_active", "avg_score", 20),
     "run": "SELECT 'courses' AS dataset, * FROM history WHERE strategy <> 'FedProx' OR mu = 0.1::DOUBLE",
     "finals": f"SELECT *, COUNT(*) OVER (PARTITION BY strategy) AS n_rounds FROM run QUALIFY round = {ROUNDS}",
     "sweep": f"""SELECT 'courses' AS dataset, mu, auc FROM history
         WHERE strategy IN ('FedAvg', 'FedProx') AND round = {ROUNDS}""",
 }
 
-POOLED_ROWS = split_views("pooled_z", "", "client_id, id_student", False)
-POOLED_ROWS = {f"pooled_{k}": v for k, v in POOLED_ROWS.items()}
-for _k in POOLED_ROWS:
-    for _n in ("sized", "counted", "planned", "moded"):
-        POOLED_ROWS[_k] = POOLED_ROWS[_k].replace(f"FROM {_n}", f"FROM pooled_{_n}")
 POOLED: dict[str, str] = {
     "pooled_z": f"""SELECT 'all' AS grp, client_id, id_student, label, {scaled('days_active', '', '')} AS x0,
         {scaled('avg_score', '', '')} AS x1 FROM feat WHERE avg_score IS NOT NULL""",
-    **POOLED_ROWS,
+    **split_views("pooled_z", "", "client_id, id_student", False, "pooled_"),
     "pooled_train": """SELECT grp, label, x0, x1, COUNT(*) OVER () / (2.0::DOUBLE * COUNT(*) OVER (PARTITION BY label)) AS w
         FROM pooled_split WHERE is_test = 0""",
     **newton_views("pooled_train", "grp", (0.0,), "pooled_fit"),
@@ -158,6 +164,10 @@ add(
       SELECT client_id, id_student, 1 / (1 + EXP(-(b0*x0 + b1*x1 + b2))) AS p FROM rows_z JOIN models USING (client_id)
       WHERE mu = 0 AND is_test = 1)""",
 )
+MODEL_SQL["fed_rounds_small"] = with_views(
+    f"SELECT strategy, mu, round, n_clients, {ROUNDED_METRICS} FROM small_history WHERE strategy <> 'FedProx' OR mu = 0.1::DOUBLE",
+    group_views("small_", "xfeat", "raisedhands", "Discussion", 5),
+)
 add("fed_rounds", f"SELECT strategy, mu, round, n_clients, {ROUNDED_METRICS} FROM run")
 add(
     "mu_sweep",
