@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortwise.functions import scalar
+from cohortwise.operators.attach import attach
 from cohortwise.sources.specs import DEFAULT_FEATURES, NEGATIVE_RESULTS, DatasetSpec
 
 
@@ -78,7 +79,7 @@ def min_group(df: DataFrame, key: str, n: int, strict: bool = False) -> DataFram
     """Rows whose group has at least `n` rows (more than `n` if strict), NULLs inside included."""
     size = F.col("__n") > n if strict else F.col("__n") >= n
     kept = df.groupBy(key).agg(F.count("*").alias("__n")).filter(size).select(key)
-    return df.join(kept, key, "left_semi")
+    return attach(df, kept, [key], "left_semi")
 
 
 def group_status(df: DataFrame, key: str, n: int, features: Sequence[str], strict: bool = True) -> DataFrame:

@@ -1,8 +1,8 @@
 """Train/test splits that give the same rows on any partitioning.
 
-Rows are ordered by an md5 of their key. The leading hex digits of the hash are uniform, so they
-cut every stratum, however large, into small buckets: bucket counts locate the bucket that holds
-the cut, and only that bucket is sorted. The rest is a comparison against the cut-off hash.
+Rows are ordered by an md5 of their key. A small stratum is sorted whole. In a large one the leading
+hex digits of the hash, which are uniform, make even buckets: their counts locate the bucket that
+holds the cut, and only that bucket is sorted. Every row then compares its hash with the cut-off.
 """
 
 from __future__ import annotations
@@ -13,10 +13,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortwise.functions.scalar import row_hash
-from cohortwise.operators.attach import attach
+from cohortwise.operators.attach import attach, join_small
 from cohortwise.operators.selection import order_statistics
+from cohortwise.session import materialise
 
 BUCKET_DIGITS = 3
+# strata up to this size are sorted whole
+SORTED_WHOLE = 10_000
 # cut-off column of each stratum: a class, or -1 for both classes together
 CUTS = {"__cut_neg": 0, "__cut_pos": 1, "__cut_any": -1}
 
@@ -70,61 +73,77 @@ def stratified_split(
     """
     ids = [id_cols] if isinstance(id_cols, str) else list(id_cols)
     by = list(by)
-    rows = df.withColumns({"__h": row_hash(ids, seed), "__label": F.col(label).cast("int")})
-    rows = rows.withColumn("__b", F.substring("__h", 1, BUCKET_DIGITS))
-    counts = rows.groupBy(*by, "__label", "__b").agg(F.count("*").alias("__c"))
-    plan = with_split_plan(counts, by, test, fallback)
-
-    drawn = attach(counts, plan, by).filter(F.col("__split_mode") != "positional")
-    drawn = drawn.withColumn(
-        "__s", F.when(F.col("__split_mode") == "stratified", F.col("__label")).otherwise(F.lit(-1))
+    rows = df.dropna(subset=by) if by else df
+    rows = rows.withColumns({"__h": row_hash(ids, seed), "__label": F.col(label).cast("int")})
+    counts = rows.groupBy(*by, "__label").agg(F.count("*").alias("__c"))
+    strata = materialise(_strata(counts, by, test, fallback), "strata")
+    drawn = strata.filter("__k > 0")
+    small, large = drawn.filter(F.col("__n_s") <= SORTED_WHOLE), drawn.filter(F.col("__n_s") > SORTED_WHOLE)
+
+    hashed = rows.select(*by, "__label", "__h")
+    near = hashed.join(_per_class(small), [*by, "__label"]).select(
+        *by, "__s", F.lit("").alias("__b"), "__h", F.col("__k").alias("__need")
     )
-    wanted = (
-        F.when(F.col("__s") == 1, F.col("__test1")).when(F.col("__s") == 0, F.col("__test0")).otherwise(F.col("__n_test"))
-    )
-    upto = Window.partitionBy(*by, "__s").orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
-    edges = (
-        drawn.groupBy(*by, "__s", "__b", wanted.alias("__k"))
-        .agg(F.sum("__c").alias("__c"))
-        .withColumn("__upto", F.sum("__c").over(upto))
-        .filter((F.col("__upto") >= F.col("__k")) & (F.col("__upto") - F.col("__c") < F.col("__k")))
-        .select(
-            *by,
-            "__s",
-            "__b",
-            (F.col("__k") - F.col("__upto") + F.col("__c")).alias("__need"),
-            F.explode(
-                F.when(F.col("__s") == -1, F.array(F.lit(0), F.lit(1))).otherwise(F.array("__s"))
-            ).alias("__label"),
-        )
-    )
-    in_bucket = Window.partitionBy(*by, "__s", "__b").orderBy("__h")
+    if not large.isEmpty():
+        bucketed = hashed.withColumn("__b", F.substring("__h", 1, BUCKET_DIGITS))
+        edges = materialise(_edge_buckets(bucketed, _per_class(large), by), "edges")
+        edge_rows = bucketed.join(_per_class(edges), [*by, "__label", "__b"])
+        near = near.unionByName(edge_rows.select(*near.columns))
+    in_order = Window.partitionBy(*by, "__s", "__b").orderBy("__h")
     cuts = (
-        rows.select(*by, "__label", "__b", "__h")
-        .join(edges, [*by, "__label", "__b"])
-        .withColumn("__rank", F.row_number().over(in_bucket))
+        near.withColumn("__rank", F.row_number().over(in_order))
         .filter(F.col("__rank") == F.col("__need"))
         .groupBy(*by)
         .agg(*[F.max(F.when(F.col("__s") == s, F.col("__h"))).alias(n) for n, s in CUTS.items()])
     )
     # one row per group; a stratum without a cut has no test rows
-    rules = attach(plan.select(*by, "__split_mode"), cuts, by, "left")
-    both = F.when(F.col("__label") == 1, F.col("__cut_pos")).otherwise(F.col("__cut_neg"))
-    cut = F.when(F.col("__split_mode") == "random", F.col("__cut_any")).otherwise(both)
+    rules = join_small(strata.select(*by, "__split_mode").distinct(), cuts, by, "left")
+    of_class = F.when(F.col("__label") == 1, F.col("__cut_pos")).otherwise(F.col("__cut_neg"))
+    cut = F.when(F.col("__split_mode") == "random", F.col("__cut_any")).otherwise(of_class)
     chosen = F.coalesce(F.col("__h") <= cut, F.lit(False))
-    if fallback:
-        first = ids[0]
-        small = plan.filter(F.col("__split_mode") == "positional")
-        some = rows.join(small.select(*by), by, "left_semi") if by else attach(rows, plan).filter(F.col("__split_mode") == "positional")
-        heads = order_statistics(
-            some, by, first, 1 - test, {"__head": lambda n: F.floor(n * F.lit(1 - test))}
-        )
-        rules = attach(rules, heads.select(*by, "__head"), by, "left")
-        behind = F.coalesce(F.col(first) > F.col("__head"), F.lit(True))
+    positional = strata.filter(F.col("__split_mode") == "positional")
+    if fallback and not positional.isEmpty():
+        some = rows.join(positional.select(*by).distinct(), by, "left_semi") if by else rows
+        heads = order_statistics(some, by, ids[0], 1 - test, {"__head": lambda n: F.floor(n * F.lit(1 - test))})
+        rules = join_small(rules, heads, by, "left")
+        behind = F.coalesce(F.col(ids[0]) > F.col("__head"), F.lit(True))
         chosen = F.when(F.col("__split_mode") == "positional", behind).otherwise(chosen)
     return attach(rows, rules, by).select(*df.columns, chosen.cast("int").alias("is_test"))
 
 
+def _strata(counts: DataFrame, by: Sequence[str], test: float, fallback: bool) -> DataFrame:
+    """Rows (by..., mode, stratum, size, test rows); stratum 1 or 0 is a class, -1 both together."""
+    drawn = join_small(counts, with_split_plan(counts, by, test, fallback), by)
+    stratum = F.when(F.col("__split_mode") == "random", F.lit(-1)).otherwise(F.col("__label"))
+    wanted = (
+        F.when(F.col("__split_mode") == "positional", F.lit(0))
+        .when(F.col("__s") == 1, F.col("__test1"))
+        .when(F.col("__s") == 0, F.col("__test0"))
+        .otherwise(F.col("__n_test"))
+    )
+    sized = drawn.withColumn("__s", stratum).groupBy(*by, "__split_mode", "__s")
+    return sized.agg(F.sum("__c").alias("__n_s"), F.max(wanted).alias("__k"))
+
+
+def _per_class(strata: DataFrame) -> DataFrame:
+    """Repeat a stratum of both classes for each class, so rows can be matched on theirs."""
+    labels = F.when(F.col("__s") == -1, F.array(F.lit(0), F.lit(1))).otherwise(F.array("__s"))
+    return strata.drop("__label").withColumn("__label", F.explode(labels))
+
+
+def _edge_buckets(rows: DataFrame, strata: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rows (by..., stratum, bucket, need): the bucket of each stratum's last test row and its rank in there."""
+    upto = Window.partitionBy(*by, "__s").orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
+    return (
+        rows.join(strata, [*by, "__label"])
+        .groupBy(*by, "__s", "__b", "__k")
+        .agg(F.count("*").alias("__c"))
+        .withColumn("__upto", F.sum("__c").over(upto))
+        .filter((F.col("__upto") >= F.col("__k")) & (F.col("__upto") - F.col("__c") < F.col("__k")))
+        .select(*by, "__s", "__b", (F.col("__k") - F.col("__upto") + F.col("__c")).alias("__need"))
+    )
+
+
 def hashed_split(
     df: DataFrame, id_cols: str | Sequence[str], test: float = 0.2, seed: int = 42
 ) -> DataFrame:

@@ -36,6 +36,7 @@ def local_session(cores: str | int = "*", app: str = "cohortwise", memory: str =
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.shuffle.partitions", "8")
     )
     spark = tune(builder.getOrCreate())

@@ -49,8 +49,9 @@ def expected_test(rows, fallback):
     return {i for c in (0, 1) for i in sorted(classes[c], key=key.get)[: take[c]]}
 
 
-@pytest.mark.parametrize("parts", [1, 13])
-def test_stratified_split_equals_a_full_sort(spark, parts):
+@pytest.mark.parametrize("parts, whole", [(1, 10_000), (13, 10_000), (13, 50)])
+def test_stratified_split_equals_a_full_sort(spark, monkeypatch, parts, whole):
+    monkeypatch.setattr(splitting, "SORTED_WHOLE", whole)  # 50: most strata are cut by bucket
     df = skewed(spark).repartition(parts).cache()
     got = by_group(splitting.stratified_split(df, "id", by=["grp"], fallback=True))
     assert sum(map(len, got.values())) == 6000
@@ -59,14 +60,18 @@ def test_stratified_split_equals_a_full_sort(spark, parts):
     df.unpersist()
 
 
-def test_pooled_split_and_sizes(spark):
+@pytest.mark.parametrize("whole", [10_000, 50])
+def test_pooled_split_and_sizes(spark, monkeypatch, whole):
+    monkeypatch.setattr(splitting, "SORTED_WHOLE", whole)
     df = skewed(spark)
     rows = splitting.stratified_split(df, "id").collect()
     assert {r["id"] for r in rows if r["is_test"] == 1} == expected_test(rows, False)
     assert sum(r["is_test"] for r in rows) == 1200
 
 
-def test_random_fallback_for_a_class_of_one(spark):
+@pytest.mark.parametrize("whole", [10_000, 1])
+def test_random_fallback_for_a_class_of_one(spark, monkeypatch, whole):
+    monkeypatch.setattr(splitting, "SORTED_WHOLE", whole)
     df = spark.createDataFrame([(i, "a", int(i == 0)) for i in range(10)], "id long, grp string, label int")
     rows = splitting.stratified_split(df, "id", by=["grp"], fallback=True).collect()
     assert {r["id"] for r in rows if r["is_test"] == 1} == expected_test(rows, True) and len(rows) == 10
