@@ -334,7 +334,7 @@ def class_weights(src: StarSource) -> DataFrame:
 @query
 def row_weights(src: StarSource) -> DataFrame:
     """A18, J3 over all rows: weight sums per label."""
-    weighted = scaling.with_class_weight(src.features())
+    weighted = scaling.with_class_weight(materialise(src.features(), "features"))
     out = weighted.groupBy("label").agg(F.count("*").alias("n"), F.sum("class_weight").alias("weight"))
     return rounded(out, "weight")
 
@@ -392,7 +392,7 @@ def group_standardize(src: StarSource) -> DataFrame:
 @query
 def global_standardize(src: StarSource) -> DataFrame:
     """Statistics of all rows."""
-    out = scaling.standardise(src.features(), SCALED, fit_on="all")
+    out = scaling.standardise(materialise(src.features(), "features"), SCALED, fit_on="all")
     return rounded(out.select("client_id", "id_student", *SCALED), *SCALED)
 
 
@@ -624,7 +624,7 @@ def pooled_models(src: StarSource) -> DataFrame:
     """L1-L3, O3, M4: the activity candidates, weighted metrics, weights over all rows, hashed split."""
     cols = FEATURES["oulad"]
     split = splitting.hashed_split(src.learners(), ["client_id", "id_student"])
-    out = pooled.compare_models(split, cols, pooled.ACTIVITY_MODELS, average="weighted", weights_on="all")
+    out = pooled.compare_models(materialise(split, "split"), cols, pooled.ACTIVITY_MODELS, average="weighted", weights_on="all")
     return rounded(out, *metrics.METRICS)
 
 
@@ -716,8 +716,9 @@ def verdict(src: StarSource) -> DataFrame:
 @query
 def verdict_by_course(src: StarSource) -> DataFrame:
     """R7 on many differences: course pass rates against the overall one."""
-    overall = src.features().agg(F.avg("label").alias("overall"))
-    rates = attach(profiling.rate_by_group(src.features(), "client_id"), overall)
+    rates = materialise(profiling.rate_by_group(src.features(), "client_id"), "rates")
+    overall = rates.agg((F.sum(F.col("rate") * F.col("n")) / F.sum("n")).alias("overall"))
+    rates = attach(rates, overall)
     out = rates.withColumn("diff", F.round(F.col("rate") - F.col("overall"), 9))
     return rounded(out.select("client_id", "diff", results.verdict("diff").alias("verdict")), "diff")
 
