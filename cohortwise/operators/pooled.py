@@ -88,7 +88,7 @@ def compare_models(
             parts.append((position, kind, *[found[m] for m in METRICS], *cells, sizes["n_train"], sizes["n_test"]))
     finally:
         rows.unpersist()
-    best = max(parts, key=lambda row: (row[2], -row[0]))[0] if parts else None
+    best = max(parts, key=lambda row: (row[2] or 0.0, -row[0]))[0] if parts else None
     columns = ", ".join(f"{m} double" for m in METRICS) + ", tn bigint, fp bigint, fn bigint, tp bigint"
     schema = f"position int, model string, {columns}, n_train bigint, n_test bigint, is_best boolean"
     return df.sparkSession.createDataFrame([(*row, row[0] == best) for row in parts], schema)

@@ -549,7 +549,8 @@ def course_logit(src: StarSource) -> DataFrame:
     """Ten unpenalised steps per course with more than 50 rows, three features."""
     cols = ["total_clicks", "days_active", "avg_score"]
     rows = cleaning.complete_features(cleaning.min_group(src.features(), "client_id", 50, strict=True), cols)
-    rows = materialise(scaling.standardise(rows.select("client_id", "label", *cols), cols, by=["client_id"], fit_on="all"), "rows")
+    scaled = scaling.standardise(rows.select("client_id", "label", *cols), cols, by=["client_id"], fit_on="all")
+    rows = materialise(scaled, "rows")
     models = grouped_lr.fit_grouped_lr(rows, "client_id", cols, l2=0.0, balanced=False, max_iter=10)
     return models.select("client_id", "coef", "intercept", "n_train", "trainable")
 

@@ -134,7 +134,10 @@ def run_rounds(
     """Rows (strategy, mu, round, n_clients, auc, accuracy, f1, precision, recall).
 
     `rows` come from `client_rows`. With `sweep` the proximal strategy is also run for those strengths.
+    Fewer than two groups cannot be combined and give an empty history (see `client_status`).
     """
+    if rows.select(key).distinct().limit(2).count() < 2:
+        rows = rows.limit(0)
     mus = sorted({0.0, *([prox_mu] if "FedProx" in strategies else []), *sweep})
     train, test = rows.filter(F.col("is_test") == 0), rows.filter(F.col("is_test") == 1)
     models = materialise(fit_grouped_lr(train, key, features, mus=mus), "models")

@@ -141,6 +141,8 @@ def test_rounds(train, history):
 def test_rounds_without_groups_are_empty(train):
     rows = prepare.client_rows(train, COLS, id_col="id", min_rows=10_000)
     assert rounds.run_rounds(rows, COLS, rounds=2, strategies=("FedAvg",)).count() == 0
+    single = prepare.client_rows(train.filter("client_id = 'hot'"), COLS, id_col="id")
+    assert rounds.run_rounds(single, COLS, rounds=2).count() == 0
     assert rounds.client_status(train, min_rows=10_000).first()["status"] == "insufficient_clients"
 
 
