@@ -9,6 +9,8 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from cohortwise.session import materialise, tune
 
@@ -40,10 +42,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def arrow_map(
-    df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterable[dict | pa.RecordBatch]], schema: str
+    df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterable[dict | pa.RecordBatch]], schema: str | StructType
 ) -> DataFrame:
     """`mapInArrow` for functions that yield dictionaries of columns, in the order of `schema`."""
-    types = arrow_schema(df.sparkSession, schema)
+    types = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for out in work(batches):
@@ -52,11 +54,8 @@ def arrow_map(
     return df.mapInArrow(run, schema)
 
 
-def arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    return to_arrow_schema(StructType.fromDDL(schema))
+def arrow_schema(schema: str | StructType) -> pa.Schema:
+    return to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
 
 
 def record_batch(columns: dict, types: pa.Schema) -> pa.RecordBatch:

@@ -23,7 +23,7 @@ from cohortwise.llm.common import arrow_map, materialise
 from cohortwise.llm.encoding import encoder
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 1_000
 
 
 def cut(total: int, most: int) -> list[tuple[int, int]]:

@@ -4,13 +4,24 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from cohortwise.llm import packing, records
+from cohortwise.llm import near_dups, packing, phrases, pii, records
 from cohortwise.llm.common import settle, table
 from cohortwise.session import scratch_path
 
 
+def op4_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.strip_repeats(table(settle(spark), sf_dir, "documents"), with_text=False).drop("kept")
+
+
+def op5_anchor_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data_report(table(settle(spark), sf_dir, "documents"))
+
+
+def op6_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicates(table(settle(spark), sf_dir, "documents"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(settle(spark), sf_dir, "documents")
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json")).drop("ids")
@@ -27,6 +38,9 @@ def op10_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_repeated_phrases": op4_repeated_phrases,
+    "op5_anchor_pii": op5_anchor_pii,
+    "op6_weighted_minhash": op6_weighted_minhash,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_binary_records": op10_binary_records,
 }
