@@ -34,13 +34,14 @@ from cohortwise.llm.common import arrow_map
 DECAY, SPAN = 0.6, 5
 ALPHABET = 32
 GAP = 31
-LANDMARKS = 128
+LANDMARKS = 96
 SAMPLE_DOCUMENTS = 3_000
 """Labelled training documents of each class that the fit uses at most, by hash of the id."""
 SAMPLE_WORDS = 30_000
 """Different words of clean training documents that the fit uses at most, the most frequent first."""
 ROUNDS = 3
 STANDARD_ERRORS, LOG_ODDS = 4.0, 3.0
+CLEAN_WEIGHT = 30.0
 FALSE_ALARM = 5.0
 """A clean training document that is rejected costs as much as this many toxic ones that pass."""
 THRESHOLD = 0.7
@@ -195,10 +196,10 @@ def _projected(words: list[bytes], projection: np.ndarray) -> np.ndarray:
     return out
 
 
-def _linear_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Squared hinge loss by Newton steps on the rows inside the margin; the classes weigh the same."""
+def _linear_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-5) -> tuple[np.ndarray, float]:
+    """Squared hinge loss by Newton steps on the rows inside the margin; clean words weigh CLEAN_WEIGHT times as much."""
     x1 = np.c_[x, np.ones(len(x))]
-    balance = np.where(y > 0, weight / weight[y > 0].sum(), weight / weight[y < 0].sum())
+    balance = np.where(y > 0, weight / weight[y > 0].sum(), CLEAN_WEIGHT * weight / weight[y < 0].sum())
     w = np.zeros(x1.shape[1])
     for _ in range(30):
         active = y * (x1 @ w) < 1
@@ -256,10 +257,13 @@ def train(texts: list[str | None], toxic: np.ndarray, seed: int = 7) -> Model:
     chosen = marked | Counter(max(bag, key=odds) for bag in bags)
     clean = [w for w, _ in sorted(negative.items(), key=lambda x: (-x[1], x[0]))[:SAMPLE_WORDS]]
     rng = np.random.default_rng(seed)
+    others = [clean[i] for i in rng.choice(len(clean), min(len(clean), LANDMARKS // 4), replace=False)]
     for _ in range(ROUNDS):
         found = [w for w, _ in sorted(chosen.items(), key=lambda x: (-x[1], x[0]))]
-        others = [clean[i] for i in rng.choice(len(clean), min(len(clean), LANDMARKS // 4), replace=False)]
-        model = _fit(found, np.array([chosen[w] for w in found]), clean, [*found[: LANDMARKS - len(others)], *others])
+        model = _fit(found, chosen, clean, negative, [*found[:LANDMARKS], *others])
+        _, values = model.decisions(np.frombuffer(b"\0".join(clean) + b"\0", np.uint8))
+        errors = np.maximum(values + 1, 0) * np.array([negative[w] for w in clean])
+        others = [*others, *(clean[i] for i in np.argsort(-errors)[: LANDMARKS // 4])]  # what it mistakes most
         flat = [w for bag in bags for w in bag]
         codes = np.frombuffer(b"\0".join(flat) + b"\0", np.uint8)
         _, values = model.decisions(codes)
@@ -270,7 +274,7 @@ def train(texts: list[str | None], toxic: np.ndarray, seed: int = 7) -> Model:
     return model
 
 
-def _fit(found: list[bytes], counts: np.ndarray, clean: list[bytes], landmarks: list[bytes]) -> Model:
+def _fit(found: list[bytes], chosen: Counter, clean: list[bytes], negative: Counter, landmarks: list[bytes]) -> Model:
     landmarks = sorted(set(landmarks))
     number, triple, weight = _kernel_features(landmarks)
     phi = np.zeros((len(landmarks), ALPHABET**3))
@@ -282,7 +286,7 @@ def _fit(found: list[bytes], counts: np.ndarray, clean: list[bytes], landmarks:
     negatives = [w for w in clean if w not in set(found)]
     x = _projected([*found, *negatives], projection)
     y = np.r_[np.ones(len(found)), -np.ones(len(negatives))]
-    w, bias = _linear_svm(x, y, np.r_[np.sqrt(counts), np.ones(len(negatives))])
+    w, bias = _linear_svm(x, y, np.r_[np.sqrt([chosen[w] for w in found]), [float(negative[w]) for w in negatives]])
     return Model((projection @ w).astype(np.float32), bias, 1.0, 0.0)
 
 
