@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortwise.llm import near_dups, packing, phrases, pii, records, toxicity
+from cohortwise.llm import decontaminate, near_dups, packing, phrases, pii, records, toxicity
 from cohortwise.llm.common import settle, table
 from cohortwise.session import scratch_path
 
@@ -27,6 +27,11 @@ def op7_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op8_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(settle(spark), sf_dir, "documents")
+    return decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(settle(spark), sf_dir, "documents")
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json")).drop("ids")
@@ -47,6 +52,7 @@ QUERIES = {
     "op5_anchor_pii": op5_anchor_pii,
     "op6_weighted_minhash": op6_weighted_minhash,
     "op7_string_kernel_toxicity": op7_string_kernel_toxicity,
+    "op8_bm25_decontamination": op8_bm25_decontamination,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_binary_records": op10_binary_records,
 }
