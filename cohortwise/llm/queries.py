@@ -5,11 +5,16 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortwise.llm import decontaminate, near_dups, packing, phrases, pii, records, toxicity
+from cohortwise.llm import decontaminate, masked_lm, near_dups, packing, phrases, pii, records, toxicity
 from cohortwise.llm.common import settle, table
 from cohortwise.session import scratch_path
 
 
+def op3_masked_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(settle(spark), sf_dir, "documents")
+    return masked_lm.score(docs, masked_lm.fit(docs))
+
+
 def op4_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.strip_repeats(table(settle(spark), sf_dir, "documents"), with_text=False).drop("kept")
 
@@ -48,6 +53,7 @@ def op10_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_masked_pseudo_likelihood": op3_masked_pseudo_likelihood,
     "op4_repeated_phrases": op4_repeated_phrases,
     "op5_anchor_pii": op5_anchor_pii,
     "op6_weighted_minhash": op6_weighted_minhash,
