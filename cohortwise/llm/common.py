@@ -27,10 +27,10 @@ WORD_CACHE = 400_000
 """Entries a per-process word cache takes; words met after that are worked out each time."""
 
 
-def settle(spark: SparkSession) -> SparkSession:
+def settle(spark: SparkSession, batch_rows: str = BATCH_ROWS) -> SparkSession:
     """Session settings for queries over long texts: skew splitting and small Arrow batches."""
     tune(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch_rows)
     paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
     if PACKAGE_ROOT not in paths:  # Python workers import this package by name
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([PACKAGE_ROOT, *filter(None, paths)])

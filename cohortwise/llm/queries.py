@@ -5,11 +5,15 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortwise.llm import decontaminate, masked_lm, near_dups, packing, phrases, pii, records, toxicity
+from cohortwise.llm import decontaminate, masked_lm, near_dups, neighbours, packing, phrases, pii, records, toxicity
 from cohortwise.llm.common import settle, table
 from cohortwise.session import scratch_path
 
 
+def op1_int8_block_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(settle(spark, "4096"), sf_dir, "embeddings"), "vec_id % 20 = 0")
+
+
 def op3_masked_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(settle(spark), sf_dir, "documents")
     return masked_lm.score(docs, masked_lm.fit(docs))
@@ -53,6 +57,7 @@ def op10_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_int8_block_join": op1_int8_block_join,
     "op3_masked_pseudo_likelihood": op3_masked_pseudo_likelihood,
     "op4_repeated_phrases": op4_repeated_phrases,
     "op5_anchor_pii": op5_anchor_pii,
@@ -63,4 +68,25 @@ QUERIES = {
     "op10_binary_records": op10_binary_records,
 }
 
-SQL: dict[str, str] = {}
+# Sums component after component in double precision, as the operator does.
+_OP1 = """
+WITH vectors AS (
+    SELECT vec_id, min(list_transform(embedding, lambda x: x::DOUBLE)) AS v
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND list_count(embedding) = len(embedding)
+      AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+    GROUP BY vec_id
+), pairs AS (
+    SELECT q.vec_id AS query_id, c.vec_id,
+           list_reduce(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]), lambda a, b: a + b) AS score
+    FROM vectors q JOIN vectors c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+    WHERE q.vec_id % 20 = 0
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank,
+       vec_id, score
+FROM pairs
+QUALIFY rank <= 20
+"""
+
+SQL: dict[str, str] = {"op1_int8_block_join": _OP1}
