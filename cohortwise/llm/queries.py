@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortwise.llm import decontaminate, masked_lm, near_dups, neighbours, packing, phrases, pii, records, toxicity
+from cohortwise.llm import decontaminate, masked_lm, near_dups, neighbours, packing, phrases, pii, records, toxicity, urls
 from cohortwise.llm.common import settle, table
 from cohortwise.session import scratch_path
 
@@ -14,6 +14,10 @@ def op1_int8_block_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(settle(spark, "4096"), sf_dir, "embeddings"), "vec_id % 20 = 0")
 
 
+def op2_url_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(settle(spark), sf_dir, "pages"))
+
+
 def op3_masked_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(settle(spark), sf_dir, "documents")
     return masked_lm.score(docs, masked_lm.fit(docs))
@@ -58,6 +62,7 @@ def op10_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_int8_block_join": op1_int8_block_join,
+    "op2_url_language_model": op2_url_language_model,
     "op3_masked_pseudo_likelihood": op3_masked_pseudo_likelihood,
     "op4_repeated_phrases": op4_repeated_phrases,
     "op5_anchor_pii": op5_anchor_pii,
