@@ -15,7 +15,7 @@ from array import array
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel
 
-PIECES = 1_000_000
+PIECES = 500_000
 """Entries of a process's piece cache; pieces met after that are encoded each time."""
 
 _LATIN = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch

@@ -22,7 +22,6 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +34,7 @@ DECAY, SPAN = 0.6, 5
 ALPHABET = 32
 GAP = 31
 LANDMARKS = 96
-SAMPLE_DOCUMENTS = 3_000
+SAMPLE_DOCUMENTS = 2_000
 """Labelled training documents of each class that the fit uses at most, by hash of the id."""
 SAMPLE_WORDS = 30_000
 """Different words of clean training documents that the fit uses at most, the most frequent first."""
@@ -161,12 +160,20 @@ def words_in(text: str | None) -> set[bytes]:
     return {w for w in codes.tobytes().split(b"\0") if len(w) >= 3}
 
 
-def first_of_copies(words: list[set[bytes]], size: int = 8) -> list[int]:
+def numbered(texts: list[str | None]) -> tuple[list[bytes], list[np.ndarray]]:
+    """Different words of three letters or more, and the numbers of those in each text."""
+    numbers: dict[bytes, int] = {}
+    held = [np.array([numbers.setdefault(w, len(numbers)) for w in sorted(words_in(t))], np.int32) for t in texts]
+    return list(numbers), held
+
+
+def first_of_copies(words: list[bytes], held: list[np.ndarray], size: int = 8) -> list[int]:
     """Texts that share fewer than half of their `size` smallest word hashes with a text before."""
+    hashes = np.array([zlib.crc32(w) for w in words], np.uint32)
     seen: dict[int, list[int]] = {}
     kept = []
-    for i, own in enumerate(words):
-        sketch = sorted(zlib.crc32(w) for w in own)[:size]
+    for i, own in enumerate(held):
+        sketch = np.sort(hashes[own])[:size].tolist()
         shared = Counter(j for h in sketch for j in seen.get(h, ()))
         if 2 * max(shared.values(), default=0) > len(sketch):
             continue
@@ -187,7 +194,7 @@ def _kernel_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.nda
 
 
 def _projected(words: list[bytes], projection: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(words), projection.shape[1]))
+    out = np.zeros((len(words), projection.shape[1]), np.float32)
     for k in range(0, len(words), 1_000):
         number, triple, weight = _kernel_features(words[k : k + 1_000])
         for j in range(projection.shape[1]):
@@ -198,12 +205,12 @@ def _projected(words: list[bytes], projection: np.ndarray) -> np.ndarray:
 
 def _linear_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-5) -> tuple[np.ndarray, float]:
     """Squared hinge loss by Newton steps on the rows inside the margin; clean words weigh CLEAN_WEIGHT times as much."""
-    x1 = np.c_[x, np.ones(len(x))]
+    x1 = np.c_[x, np.ones(len(x), np.float32)]
     balance = np.where(y > 0, weight / weight[y > 0].sum(), CLEAN_WEIGHT * weight / weight[y < 0].sum())
     w = np.zeros(x1.shape[1])
     for _ in range(30):
         active = y * (x1 @ w) < 1
-        xa, ba = x1[active], balance[active]
+        xa, ba = x1[active].astype(np.float64), balance[active]
         hessian = (xa * ba[:, None]).T @ xa + penalty * np.eye(len(w))
         new = np.linalg.solve(hessian, xa.T @ (ba * y[active]))
         if np.allclose(new, w, atol=1e-9):
@@ -231,62 +238,64 @@ def _calibrate(worst: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
 def train(texts: list[str | None], toxic: np.ndarray, seed: int = 7) -> Model:
     """Fit on whole labelled texts. Without both classes every text scores the share of toxic ones."""
     toxic = np.asarray(toxic, bool)
-    words = [words_in(t) for t in texts]
-    first = first_of_copies(words)  # copies of a text would make its words look frequent
-    texts, words, toxic = [texts[i] for i in first], [words[i] for i in first], toxic[first]
-    if not any(words[i] for i in np.flatnonzero(toxic)) or not any(words[i] for i in np.flatnonzero(~toxic)):
-        share = float(toxic.mean()) if len(toxic) else 0.0
-        share = min(max(share, 1e-6), 1 - 1e-6)
+    words, held = numbered(texts)
+    first = first_of_copies(words, held)  # copies of a text would make its words look frequent
+    texts, held, toxic = [texts[i] for i in first], [held[i] for i in first], toxic[first]
+    share = min(max(float(toxic.mean()) if len(toxic) else 0.0, 1e-6), 1 - 1e-6)
+    counts = [
+        np.bincount(np.concatenate([np.zeros(0, np.int32), *(h for h, t in zip(held, toxic, strict=True) if t == k)]), minlength=len(words))
+        for k in (False, True)
+    ]
+    negative, positive = (c.astype(np.float64) for c in counts)
+    if not negative.any() or not positive.any():
         return Model(np.zeros(ALPHABET**3, np.float32), 0.0, 0.0, float(np.log(share / (1 - share))))
-    positive = Counter(w for i in np.flatnonzero(toxic) for w in words[i])
-    negative = Counter(w for i in np.flatnonzero(~toxic) for w in words[i])
-    n_pos, n_neg = toxic.sum(), (~toxic).sum()
-
-    def odds(w: bytes) -> float:
-        return float(np.log((positive[w] + 0.5) / (n_pos + 1)) - np.log((negative[w] + 0.5) / (n_neg + 1)))
-
-    def apart(w: bytes) -> bool:
-        """Whether toxic documents hold the word more often by STANDARD_ERRORS of a difference of shares."""
-        share = (positive[w] + negative[w]) / (n_pos + n_neg)
-        error = np.sqrt(share * (1 - share) * (1 / n_pos + 1 / n_neg))
-        return positive[w] / n_pos - negative[w] / n_neg > STANDARD_ERRORS * error and odds(w) > LOG_ODDS
-
-    bags = [sorted(words[i]) for i in np.flatnonzero(toxic) if words[i]]
-    marked = Counter({w: n for w, n in positive.items() if n > 2 and apart(w)})
-    bags = [bag for bag in bags if not marked.keys() & bag] or bags[:1]  # the others are explained
-    chosen = marked | Counter(max(bag, key=odds) for bag in bags)
-    clean = [w for w, _ in sorted(negative.items(), key=lambda x: (-x[1], x[0]))[:SAMPLE_WORDS]]
+    n_neg, n_pos = (~toxic).sum(), toxic.sum()
+    odds = np.log((positive + 0.5) / (n_pos + 1)) - np.log((negative + 0.5) / (n_neg + 1))
+    common = (positive + negative) / (n_pos + n_neg)
+    error = np.sqrt(common * (1 - common) * (1 / n_pos + 1 / n_neg))
+    apart = (positive / n_pos - negative / n_neg > STANDARD_ERRORS * error) & (odds > LOG_ODDS) & (positive > 2)
+    marked = np.where(apart, positive, 0)  # words that significantly more toxic documents hold
+
+    bags = [h for h, t in zip(held, toxic, strict=True) if t and len(h)]
+    bags = [h for h in bags if not apart[h].any()] or bags[:1]  # the others are explained
+    chosen = np.maximum(marked, _one_each(bags, odds, len(words)))
+    clean = np.lexsort((np.arange(len(words)), -negative))[: min(SAMPLE_WORDS, int((negative > 0).sum()))]
     rng = np.random.default_rng(seed)
-    others = [clean[i] for i in rng.choice(len(clean), min(len(clean), LANDMARKS // 4), replace=False)]
+    others = rng.choice(clean, min(len(clean), LANDMARKS // 4), replace=False)
     for _ in range(ROUNDS):
-        found = [w for w, _ in sorted(chosen.items(), key=lambda x: (-x[1], x[0]))]
-        model = _fit(found, chosen, clean, negative, [*found[:LANDMARKS], *others])
-        _, values = model.decisions(np.frombuffer(b"\0".join(clean) + b"\0", np.uint8))
-        errors = np.maximum(values + 1, 0) * np.array([negative[w] for w in clean])
-        others = [*others, *(clean[i] for i in np.argsort(-errors)[: LANDMARKS // 4])]  # what it mistakes most
-        flat = [w for bag in bags for w in bag]
-        codes = np.frombuffer(b"\0".join(flat) + b"\0", np.uint8)
-        _, values = model.decisions(codes)
-        ends = np.cumsum([len(bag) for bag in bags])
-        worst = Counter(flat[a + int(values[a:b].argmax())] for a, b in pairwise([0, *ends.tolist()]))
-        chosen = marked | Counter({w: n for w, n in worst.items() if odds(w) > 0})
-    model.slope, model.offset = _calibrate(model.worst(texts), toxic)
-    return model
-
-
-def _fit(found: list[bytes], chosen: Counter, clean: list[bytes], negative: Counter, landmarks: list[bytes]) -> Model:
-    landmarks = sorted(set(landmarks))
+        found = np.lexsort((np.arange(len(words)), -chosen))[: int((chosen > 0).sum())]
+        machine = _fit(
+            [words[i] for i in found], chosen[found],
+            [words[i] for i in clean if not chosen[i]], negative[clean[chosen[clean] == 0]],
+            [words[i] for i in {*found[:LANDMARKS].tolist(), *others.tolist()}],
+        )
+        values = np.full(len(words), -np.inf)
+        asked = np.unique(np.concatenate([clean, *bags]))
+        values[asked] = machine.decisions(np.frombuffer(b"\0".join([words[i] for i in asked]) + b"\0", np.uint8))[1]
+        mistaken = np.maximum(values[clean] + 1, 0) * negative[clean]
+        others = np.r_[others, clean[np.argsort(-mistaken)[: LANDMARKS // 4]]]
+        chosen = np.maximum(marked, np.where(odds > 0, _one_each(bags, values, len(words)), 0))
+    machine.slope, machine.offset = _calibrate(machine.worst(texts), toxic)
+    return machine
+
+
+def _one_each(bags: list[np.ndarray], value: np.ndarray, size: int) -> np.ndarray:
+    """How many bags have a word as the one of largest value."""
+    return np.bincount([bag[value[bag].argmax()] for bag in bags], minlength=size)
+
+
+def _fit(found: list[bytes], chosen: np.ndarray, clean: list[bytes], held: np.ndarray, landmarks: list[bytes]) -> Model:
+    landmarks = sorted(landmarks)
     number, triple, weight = _kernel_features(landmarks)
-    phi = np.zeros((len(landmarks), ALPHABET**3))
+    phi = np.zeros((len(landmarks), ALPHABET**3), np.float32)
     np.add.at(phi, (number, triple), weight)
-    values, vectors = np.linalg.eigh(phi @ phi.T)
-    keep = values > 1e-6 * values.max()
-    whiten = vectors[:, keep] / np.sqrt(values[keep])
+    values, vectors = np.linalg.eigh((phi @ phi.T).astype(np.float64))
+    keep = values > 1e-5 * values.max()
+    whiten = (vectors[:, keep] / np.sqrt(values[keep])).astype(np.float32)
     projection = phi.T @ whiten  # triple -> Nyström feature
-    negatives = [w for w in clean if w not in set(found)]
-    x = _projected([*found, *negatives], projection)
-    y = np.r_[np.ones(len(found)), -np.ones(len(negatives))]
-    w, bias = _linear_svm(x, y, np.r_[np.sqrt([chosen[w] for w in found]), [float(negative[w]) for w in negatives]])
+    x = _projected([*found, *clean], projection)
+    y = np.r_[np.ones(len(found)), -np.ones(len(clean))]
+    w, bias = _linear_svm(x, y, np.r_[np.sqrt(chosen), held])
     return Model((projection @ w).astype(np.float32), bias, 1.0, 0.0)
 
 
