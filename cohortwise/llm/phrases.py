@@ -8,8 +8,8 @@ a smaller id. Windows are never shuffled as a whole; the steps narrow them down:
    by documents with different ids are kept, together with the document shards they occur in.
 2. Automata. Documents and kept phrases meet by shard (a hash of doc_id, about `SHARD_CHARACTERS`
    of text). Every shard compiles an Aho-Corasick automaton over its phrases as word sequences and
-   streams its documents through it; windows over an occurrence are candidates. A document passes
-   one automaton, so the work grows with the text.
+   streams its documents through it; windows whose chosen phrase occurs are candidates. A document
+   passes one automaton, so the work grows with the text.
 3. Confirmation. Candidate windows, hashed to 96 bits and reduced to one row per shard, meet by hash.
    Those with two different ids go back to their shards with the smallest id.
 4. Removal. Each shard reads its documents again and takes out covered words.
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from cohortwise.llm.common import arrow_map, arrow_schema, hash_words, materialise, record_batch, split_words
 
 WIDTH, SEED = 50, 8
-SHARD_CHARACTERS = 12 * 2**20
+SHARD_CHARACTERS = 6 * 2**20
 SUB_BATCH = 200
 
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)  # odd, so powers can be inverted
@@ -136,13 +136,17 @@ def automaton(phrases: Iterator[bytes]) -> ahocorasick.Automaton | None:
 
 
 def candidates(texts: Texts, found: ahocorasick.Automaton, width: int, seed: int) -> np.ndarray:
-    """Starts of the windows that cover an occurrence of a phrase."""
-    symbols = texts.hashes.astype("<u4").tolist()
-    marks = np.zeros(len(symbols) + 1, np.int64)
-    for last, _ in found.iter(tuple(symbols)):
-        marks[max(0, last + 1 - width)] += 1
-        marks[last + 2 - seed] -= 1
-    return np.flatnonzero((np.cumsum(marks[:-1]) > 0) & texts.starts(width))
+    """Starts of the windows whose chosen phrase, the one of smallest hash, the automaton finds in them."""
+    if len(texts.hashes) < width:
+        return np.zeros(0, np.int64)
+    symbols = tuple(texts.hashes.astype("<u4").tolist())
+    hits = np.fromiter((last for last, _ in found.iter(symbols)), np.int64) + 1 - seed
+    phrase = rolling(texts.hashes, seed, _BASES[0])
+    repeated = np.full(len(phrase), np.iinfo(np.uint64).max)
+    repeated[hits] = phrase[hits]
+    chosen = sliding_min(repeated, width - seed + 1) == sliding_min(phrase, width - seed + 1)
+    starts = texts.starts(width)[: len(chosen)]
+    return np.flatnonzero(chosen & starts)
 
 
 def _window_keys(texts: Texts, width: int) -> tuple[np.ndarray, np.ndarray]:
