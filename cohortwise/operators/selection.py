@@ -7,62 +7,49 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortwise.operators.attach import attach
+from cohortwise.session import materialise
 
 
 def order_statistics(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    fraction: float,
-    ranks: Mapping[str, Callable[[Column], Column]],
-    accuracy: int = 10_000,
+    df: DataFrame, keys: Sequence[str], value: str, ranks: Mapping[str, Callable[[Column], Column]]
 ) -> DataFrame:
-    """Per group, the values at the given 1-based ranks, all of them within one rank of `fraction` * n.
+    """Per group, the values at the given 1-based ranks, in the value's own type.
 
-    `ranks` maps output names to functions of n, the number of non-NULL values of the group.
+    `ranks` maps output names to functions of n, the number of non-NULL values of the group. A rank
+    outside 1..n gives NULL; every other rank is found, whatever the type or the size of the group.
 
-    A quantile sketch brackets the wanted ranks. Values below the bracket are only counted, values
-    above it are dropped, and the cumulative count runs over the distinct values inside, which are a
-    share of about 6 / accuracy of the group. The sketch guarantees its error bound, so the result is exact.
-    Groups of at most `accuracy` rows need no bracket.
+    Distinct values with their counts are range-partitioned on (group, value) and written, so a group
+    of any size is spread over slices. Totals of the slices tell in which one a rank lies; only those
+    slices are ordered, each within itself.
     """
-    margin = 3.0 / accuracy
-    low, high = max(fraction - margin, 0.0), min(fraction + margin, 1.0)
+    keys = list(keys)
     rows = df.select(*keys, F.col(value).alias("__v")).filter(F.col("__v").isNotNull())
-    bounds = rows.groupBy(*keys).agg(
-        F.count("*").alias("__n"), F.percentile_approx("__v", [low, high], accuracy).alias("__b")
+    counts = rows.groupBy(*keys, "__v").agg(F.count("*").alias("__c"))
+    sliced = counts.repartitionByRange(*keys, "__v").withColumn("__slice", F.spark_partition_id())
+    sliced = materialise(sliced, "slices")
+    upto = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, 0)
+    totals = sliced.groupBy(*keys, "__slice").agg(F.sum("__c").alias("__c"))
+    totals = totals.withColumn("__upto", F.sum("__c").over(upto))
+    totals = totals.withColumn("__n", F.max("__upto").over(Window.partitionBy(*keys)))
+    wanted = F.array(
+        *[F.struct(F.lit(name).alias("name"), rank(F.col("__n")).cast("bigint").alias("k")) for name, rank in ranks.items()]
     )
-    big = F.col("__n") > accuracy
-    bounds = bounds.select(
-        *keys,
-        "__n",
-        F.when(big, F.col("__b")[0]).alias("__low"),
-        F.when(big, F.col("__b")[1]).alias("__high"),
+    before = F.col("__upto") - F.col("__c")
+    held = (
+        totals.select(*keys, "__slice", "__upto", before.alias("__before"), F.explode(wanted).alias("__w"))
+        .filter((F.col("__w.k") > F.col("__before")) & (F.col("__w.k") <= F.col("__upto")))
+        .select(*keys, "__slice", F.col("__w.name").alias("__name"), (F.col("__w.k") - F.col("__before")).alias("__k"))
     )
-    inside = (
-        attach(rows, bounds, keys)
-        .filter(F.col("__high").isNull() | (F.col("__v") <= F.col("__high")))
-        .select(
-            *keys,
-            "__n",
-            F.when(F.col("__low").isNull() | (F.col("__v") >= F.col("__low")), F.col("__v")).alias("__v"),
-        )
-        .groupBy(*keys, "__n", "__v")
-        .agg(F.count("*").alias("__c"))
-    )
-    # the row of counted-only values has a NULL value and sorts first
-    upto = Window.partitionBy(*keys).orderBy(F.asc_nulls_first("__v"))
-    running = inside.withColumn("__upto", F.sum("__c").over(upto.rowsBetween(Window.unboundedPreceding, 0)))
-    picks = []
-    for name, rank in ranks.items():
-        k = rank(F.col("__n")).cast("bigint")
-        hit = (F.col("__upto") >= k) & (F.col("__upto") - F.col("__c") < k)
-        picks.append(F.max(F.when(hit, F.col("__v"))).alias(name))
-    return running.groupBy(*keys).agg(*picks)
+    inside = Window.partitionBy(*keys, "__slice", "__name").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    running = sliced.join(held, [*keys, "__slice"]).withColumn("__upto", F.sum("__c").over(inside))
+    hits = running.filter((F.col("__upto") >= F.col("__k")) & (F.col("__upto") - F.col("__c") < F.col("__k")))
+    picks = [F.max(F.when(F.col("__name") == name, F.col("__v"))).alias(name) for name in ranks]
+    # groups of which no rank is inside 1..n keep a row of NULLs
+    none = totals.select(*keys).distinct().withColumns({"__name": F.lit(None).cast("string"), "__v": F.lit(None)})
+    return hits.select(*keys, "__name", "__v").unionByName(none).groupBy(*keys).agg(*picks)
 
 
 def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "median") -> DataFrame:
     ranks = {"__lo": lambda n: F.floor((n + 1) / 2), "__hi": lambda n: F.floor(n / 2) + 1}
-    out = order_statistics(df, keys, value, 0.5, ranks)
-    return out.select(*keys, ((F.col("__lo") + F.col("__hi")) / 2).alias(name))
+    out = order_statistics(df, keys, value, ranks)
+    return out.select(*keys, (F.col("__lo") + (F.col("__hi") - F.col("__lo")) / 2).alias(name))

@@ -70,17 +70,18 @@ def stratified_split(
     """Add `is_test` (0/1): an exact split by label, within each group of `by`.
 
     `id_cols` identify a row within its group. Positional groups are ordered by the first of them.
+    Rows with a NULL label or group key belong to no stratum: they stay, with a NULL `is_test`.
     """
     ids = [id_cols] if isinstance(id_cols, str) else list(id_cols)
     by = list(by)
-    rows = df.dropna(subset=by) if by else df
-    rows = rows.withColumns({"__h": row_hash(ids, seed), "__label": F.col(label).cast("int")})
-    counts = rows.groupBy(*by, "__label").agg(F.count("*").alias("__c"))
+    rows = df.withColumns({"__h": row_hash(ids, seed), "__label": F.col(label).cast("int")})
+    known = _all_known([*by, "__label"])
+    counts = rows.filter(known).groupBy(*by, "__label").agg(F.count("*").alias("__c"))
     strata = materialise(_strata(counts, by, test, fallback), "strata")
     drawn = strata.filter("__k > 0")
     small, large = drawn.filter(F.col("__n_s") <= SORTED_WHOLE), drawn.filter(F.col("__n_s") > SORTED_WHOLE)
 
-    hashed = rows.select(*by, "__label", "__h")
+    hashed = rows.filter(known).select(*by, "__label", "__h")
     near = hashed.join(_per_class(small), [*by, "__label"]).select(
         *by, "__s", F.lit("").alias("__b"), "__h", F.col("__k").alias("__need")
     )
@@ -104,11 +105,12 @@ def stratified_split(
     positional = strata.filter(F.col("__split_mode") == "positional")
     if fallback and not positional.isEmpty():
         some = rows.join(positional.select(*by).distinct(), by, "left_semi") if by else rows
-        heads = order_statistics(some, by, ids[0], 1 - test, {"__head": lambda n: F.floor(n * F.lit(1 - test))})
+        heads = order_statistics(some, by, ids[0], {"__head": lambda n: F.floor(n * F.lit(1 - test))})
         rules = join_small(rules, heads, by, "left")
         behind = F.coalesce(F.col(ids[0]) > F.col("__head"), F.lit(True))
         chosen = F.when(F.col("__split_mode") == "positional", behind).otherwise(chosen)
-    return attach(rows, rules, by).select(*df.columns, chosen.cast("int").alias("is_test"))
+    marked = F.when(known, chosen.cast("int")).alias("is_test")
+    return attach(rows, rules, by, "left").select(*df.columns, marked)
 
 
 def _strata(counts: DataFrame, by: Sequence[str], test: float, fallback: bool) -> DataFrame:
@@ -154,9 +156,19 @@ def hashed_split(
 
 
 def head_tail_split(df: DataFrame, order_by: str, by: Sequence[str] = (), train: float = 0.8) -> DataFrame:
-    """Add `is_test`: the first floor(train * n) rows by the numeric, unique `order_by` are for training."""
-    heads = order_statistics(
-        df, by, order_by, train, {"__head": lambda n: F.floor(n * F.lit(train))}
-    ).select(*by, "__head")
-    behind = F.coalesce(F.col(order_by) > F.col("__head"), F.lit(True))
-    return attach(df, heads, by, "left").select(*df.columns, behind.cast("int").alias("is_test"))
+    """Add `is_test`: the first floor(train * n) rows by the unique `order_by` are for training.
+
+    Rows with a NULL `order_by` or group key stay, with a NULL `is_test`.
+    """
+    heads = order_statistics(df, by, order_by, {"__head": lambda n: F.floor(n * F.lit(train))})
+    # no training rows at all leaves no last one; without an order or a group a row is in neither part
+    behind = F.coalesce(F.col(order_by) > F.col("__head"), F.lit(True)).cast("int")
+    known = _all_known([*by, order_by])
+    return attach(df, heads, by, "left").select(*df.columns, F.when(known, behind).alias("is_test"))
+
+
+def _all_known(columns: Sequence[str]) -> Column:
+    known = F.lit(True)
+    for name in columns:
+        known = known & F.col(name).isNotNull()
+    return known

@@ -91,26 +91,31 @@ def verdict(diff: str | Column) -> Column:
     return F.when(diff > BETTER_ABOVE, "better").when(diff > WORSE_UPTO, "comparable").otherwise("worse")
 
 
-def compare_pooled(pooled: DataFrame, finals: DataFrame, strategy: str = "FedAvg") -> DataFrame:
-    """Rows (metric, pooled, combined, diff) of the best pooled model against one strategy."""
+def compare_pooled(
+    pooled: DataFrame, finals: DataFrame, strategy: str = "FedAvg", by: Sequence[str] = ()
+) -> DataFrame:
+    """Rows (by..., metric, pooled, combined, diff) of the best pooled model against one strategy, per group of `by`."""
+    by = list(by)
 
     def long(df: DataFrame, name: str) -> DataFrame:
-        return df.select(F.lit(1).alias("one"), *METRICS).unpivot("one", list(METRICS), "metric", name).drop("one")
+        ids = [*by, "one"]
+        wide = df.select(*by, F.lit(1).alias("one"), *METRICS)
+        return wide.unpivot(ids, list(METRICS), "metric", name).drop("one")
 
     best = long(pooled.filter("is_best"), "pooled")
     combined = long(finals.filter(F.col("strategy") == strategy), "combined")
-    return best.join(combined, "metric").withColumn("diff", F.col("combined") - F.col("pooled"))
+    return best.join(combined, [*by, "metric"]).withColumn("diff", F.col("combined") - F.col("pooled"))
 
 
-def strategy_table(finals: DataFrame, pooled: DataFrame) -> DataFrame:
-    """Rows (strategy, auc, f1, precision, recall, diff_vs_lr, note) against the pooled regression."""
-    lr = pooled.filter(F.col("model") == "LR").agg(F.coalesce(F.max("auc"), F.lit(0.0)).alias("lr_auc"))
-    top = best_strategy(finals, by=[]).select(F.col("strategy").alias("top"))
+def strategy_table(finals: DataFrame, pooled: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Rows (by..., strategy, auc, f1, precision, recall, diff_vs_lr, note) against the group's pooled regression."""
+    by = list(by)
+    lr = pooled.filter(F.col("model") == "LR").groupBy(*by).agg(F.max("auc").alias("lr_auc"))
+    top = best_strategy(finals, by=by).select(*by, F.col("strategy").alias("top"))
     note = F.when(F.col("auc") == 0, "degenerate").when(F.col("strategy") == F.col("top"), "best").otherwise("")
     diff = F.when(F.col("lr_auc") > 0, F.col("auc") - F.col("lr_auc")).otherwise(F.lit(0.0))
-    return attach(attach(finals, lr), top).select(
-        "strategy", "auc", "f1", "precision", "recall", diff.alias("diff_vs_lr"), note.alias("note")
-    )
+    rows = attach(attach(finals, lr, by, "left"), top, by, "left")
+    return rows.select(*by, "strategy", "auc", "f1", "precision", "recall", diff.alias("diff_vs_lr"), note.alias("note"))
 
 
 def mu_table(sweep: DataFrame) -> DataFrame:

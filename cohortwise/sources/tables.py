@@ -54,12 +54,11 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     """Overwrite a Parquet zone table.
 
-    With `partition_by`, rows are spread over the partition keys plus a few salts first, so a
-    partition writes a handful of files and a hot one is not written by a single task.
+    With `partition_by`, rows are rebalanced by the partition keys first: adaptive execution splits a
+    hot key by size over as many tasks as it needs and merges small ones.
     """
     if partition_by:
-        df = df.withColumn("__salt", F.pmod(F.xxhash64(*df.columns), F.lit(8)))
-        df = df.repartition(*partition_by, "__salt").drop("__salt")
+        df = df.hint("rebalance", *partition_by)
         df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
     else:
         df.write.mode("overwrite").parquet(path)
@@ -80,16 +79,12 @@ def source_status(spark: SparkSession, paths: Mapping[str, str], fmt: str = "par
     """One row per source: readable or not, the row count, and the reader's message."""
     parts = []
     for name, path in paths.items():
-        try:
-            df = spark.read.format(fmt).option("header", True).load(path)
-            parts.append(
-                df.agg(F.count("*").alias("n_rows")).select(
-                    F.lit(name).alias("dataset"), F.lit("ok").alias("status"), "n_rows", F.lit("").alias("message")
-                )
-            )
+        try:  # counting reads every part file, so a broken one shows here and not later
+            n = spark.read.format(fmt).option("header", True).load(path).count()
+            row = (name, "ok", n, "")
         except Exception as error:  # a missing or unreadable source becomes a report row
-            row = [(name, "unreadable", None, str(error).splitlines()[0][:200])]
-            parts.append(spark.createDataFrame(row, "dataset string, status string, n_rows bigint, message string"))
+            row = (name, "unreadable", None, str(error))
+        parts.append(spark.createDataFrame([row], "dataset string, status string, n_rows bigint, message string"))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -102,9 +97,12 @@ def register(spark: SparkSession, views: Mapping[str, DataFrame]) -> None:
 
 
 def write_results(df: DataFrame, path: str, fmt: str = "json") -> None:
-    """Overwrite a result table as json, csv, parquet or text (one `key: value` line per column)."""
+    """Overwrite a result table as json, csv, parquet or text.
+
+    A text line holds a row as `column: value, ...`; the value of a NULL is empty.
+    """
     if fmt == "text":
-        line = F.concat_ws(", ", *[F.concat(F.lit(f"{c}: "), F.col(c).cast("string")) for c in df.columns])
+        line = F.concat_ws(", ", *[F.concat(F.lit(f"{c}: "), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in df.columns])
         df.select(line.alias("value")).write.mode("overwrite").text(path)
     else:
         writer = df.write.mode("overwrite").format(fmt)

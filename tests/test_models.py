@@ -176,3 +176,20 @@ def test_compare_models_guard_and_best(spark, train):
     rows = pooled.compare_models(df, COLS, small).collect()
     assert [r["model"] for r in rows] == ["LR", "RF"] and sum(r["is_best"] for r in rows) == 1
     assert all(r["tn"] + r["fp"] + r["fn"] + r["tp"] == r["n_test"] == 240 for r in rows)
+
+
+def test_reports_of_two_datasets_stay_apart(spark):
+    pooled = spark.createDataFrame(
+        [(d, "LR", a, a, a, a, a, True) for d, a in (("one", 0.7), ("two", 0.9))],
+        "dataset string, model string, auc double, accuracy double, f1 double, precision double, recall double, is_best boolean",
+    )
+    finals = spark.createDataFrame(
+        [(d, s, a, a, a, a, a) for d, s, a in (("one", "FedAvg", 0.6), ("one", "FedProx", 0.5), ("two", "FedAvg", 0.8), ("two", "FedProx", 0.85))],
+        "dataset string, strategy string, auc double, accuracy double, f1 double, precision double, recall double",
+    )
+    both = results.compare_pooled(pooled, finals, by=["dataset"])
+    assert both.count() == 10 and {round(r["diff"], 6) for r in both.collect()} == {-0.1}
+    table = results.strategy_table(finals, pooled, by=["dataset"])
+    assert {(r["dataset"], r["strategy"], round(r["diff_vs_lr"], 6), r["note"]) for r in table.collect()} == {
+        ("one", "FedAvg", -0.1, "best"), ("one", "FedProx", -0.2, ""), ("two", "FedAvg", -0.1, ""), ("two", "FedProx", -0.05, "best"),
+    }

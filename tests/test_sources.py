@@ -75,3 +75,20 @@ def test_zones(spark, tmp_path):
     assert report[("student_assessment", "rows")] == 1 and report[("assessments", "rows")] == 1
     row = prepare.feature_table(cleaned, str(tmp_path / "features")).first()
     assert (row["total_clicks"], row["days_active"], row["label"], row["avg_score"], row["imd_band_num"]) == (6, 1, 1, 90.0, 1)
+
+
+def test_broken_part_file_is_a_report_row(spark, tmp_path):
+    spark.range(10).repartition(2).write.parquet(f"{tmp_path}/good")
+    spark.range(10).repartition(2).write.parquet(f"{tmp_path}/bad")
+    part = next((tmp_path / "bad").glob("part-*.parquet"))
+    part.write_bytes(part.read_bytes()[:20])
+    paths = {"good": f"{tmp_path}/good", "bad": f"{tmp_path}/bad", "none": f"{tmp_path}/none"}
+    got = {r["dataset"]: r for r in tables.source_status(spark, paths).collect()}
+    assert (got["good"]["status"], got["good"]["n_rows"]) == ("ok", 10)
+    assert got["bad"]["status"] == got["none"]["status"] == "unreadable" and got["bad"]["message"]
+
+
+def test_text_results_keep_null_columns(spark, tmp_path):
+    df = spark.createDataFrame([("x", None, 3)], "a string, b string, c int")
+    tables.write_results(df, f"{tmp_path}/t", "text")
+    assert [r["value"] for r in spark.read.text(f"{tmp_path}/t").collect()] == ["a: x, b: , c: 3"]

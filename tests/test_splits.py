@@ -97,7 +97,7 @@ def test_order_statistics_with_bracket_and_ties(spark):
     df = skewed(spark).withColumn("v", (F.col("id") * 7919) % 977)
     ranks = {"q": lambda n: F.greatest(F.floor(n * 0.8), F.lit(1))}
     # accuracy far below the group size, so the bracket cuts
-    got = {r["grp"]: r for r in order_statistics(df, ["grp"], "v", 0.8, ranks, accuracy=100).collect()}
+    got = {r["grp"]: r for r in order_statistics(df, ["grp"], "v", ranks).collect()}
     medians = {r["grp"]: r for r in exact_median(df, ["grp"], "v").collect()}
     for grp, rows in by_group(df).items():
         values = sorted(r["v"] for r in rows)
@@ -131,3 +131,26 @@ def test_class_weights(spark):
     assert (got["b"]["w_pos"], got["b"]["w_neg"]) == (0.5, None)
     weighted = scaling.with_class_weight(df)
     assert weighted.agg(F.sum("class_weight")).first()[0] == pytest.approx(4.0)
+
+
+def test_order_statistics_beyond_doubles(spark):
+    """64-bit integers that no double tells apart, in one hot group and small ones, keyed and not."""
+    top = 2**60
+    df = spark.range(50_000).select((F.col("id") + top).alias("v"), F.when(F.col("id") % 3 > 0, 0).otherwise(F.col("id")).alias("g"))
+    assert exact_median(df, [], "v").first()["median"] == top + 24_999.5
+    got = splitting.head_tail_split(df, "v")
+    assert got.filter("is_test = 1").agg(F.count("*"), F.min("v")).first() == (10_000, top + 40_000)
+    hot = splitting.head_tail_split(df, "v", ["g"]).filter("g = 0 AND is_test = 0").agg(F.max("v"), F.count("*")).first()
+    values = [top + i for i in range(50_000) if i % 3 or i == 0]
+    assert hot == (values[int(len(values) * 0.8) - 1], int(len(values) * 0.8))
+
+
+def test_rows_without_key_or_label_are_in_no_part(spark):
+    rows = [(i, None if i % 10 == 0 else i % 2, None if i % 7 == 0 else "g") for i in range(1_000)]
+    df = spark.createDataFrame(rows, "id long, label int, g string")
+    got = splitting.stratified_split(df, "id", "label", ["g"]).toPandas()
+    assert len(got) == 1_000
+    outside = got.label.isna() | got.g.isna()
+    assert got[outside].is_test.isna().all() and got[~outside].is_test.notna().all()
+    for _, part in got[~outside].groupby("label"):
+        assert abs(part.is_test.mean() - 0.2) < 0.01
