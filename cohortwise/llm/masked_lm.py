@@ -32,6 +32,8 @@ SIDE = 2
 BATCH = 2_048
 RATE = 0.01
 SUB_BATCH = 200
+HIGHEST = np.float32(60)
+"""Logits are cut here, so that exponentials stay in range."""
 
 
 def buckets_of(words: list[bytes]) -> np.ndarray:
@@ -98,31 +100,36 @@ class Network:
         )
 
     def hidden(self, around: np.ndarray) -> np.ndarray:
-        total = self.embeddings[0][around[0]]
+        total = np.take(self.embeddings[0], around[0], axis=0)
         for k in range(1, len(OFFSETS)):
-            total = total + self.embeddings[k][around[k]]
-        return np.tanh(total + self.hidden_bias)
+            total += np.take(self.embeddings[k], around[k], axis=0)
+        total += self.hidden_bias
+        return np.tanh(total, out=total)
 
     def log_probabilities(self, around: np.ndarray, target: np.ndarray) -> np.ndarray:
         """log P(target | classes around); `around` has a row per relative position."""
-        logits = self.hidden(around) @ self.output + self.output_bias
-        top = logits.max(axis=1)
+        logits = self.hidden(around) @ self.output
+        logits += self.output_bias
         own = logits[np.arange(len(target)), target]
-        return own - top - np.log(np.exp(logits - top[:, None]).sum(axis=1))
+        np.minimum(logits, HIGHEST, out=logits)
+        return np.minimum(own, HIGHEST) - np.log(np.exp(logits, out=logits).sum(axis=1))
 
     def gradient(self, around: np.ndarray, target: np.ndarray) -> np.ndarray:
         h = self.hidden(around)
-        p = h @ self.output + self.output_bias
-        p = np.exp(p - p.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(len(target)), target] -= 1
-        p /= len(target)
-        back = (p @ self.output.T) * (1 - h * h)
+        p = h @ self.output
+        p += self.output_bias
+        np.exp(np.minimum(p, HIGHEST, out=p), out=p)
+        p *= np.float32(1 / len(target)) / p.sum(axis=1, keepdims=True)
+        rows = np.arange(len(target))
+        p[rows, target] -= np.float32(1 / len(target))
+        back = p @ self.output.T
+        back *= 1 - h * h
         embeddings = np.empty_like(self.embeddings)
+        chosen = np.zeros((len(target), CLASSES + 1), np.float32)
         for k, row in enumerate(around):
-            chosen = np.zeros((len(target), CLASSES + 1), np.float32)
-            chosen[np.arange(len(target)), row] = 1
+            chosen[rows, row] = 1
             embeddings[k] = chosen.T @ back
+            chosen[rows, row] = 0
         return np.concatenate([embeddings.ravel(), back.sum(axis=0), (h.T @ p).ravel(), p.sum(axis=0)])
 
 
