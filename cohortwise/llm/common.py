@@ -23,7 +23,7 @@ BATCH_ROWS = "500"
 
 PACKAGE_ROOT = str(Path(__file__).resolve().parents[2])
 
-WORD_CACHE = 400_000
+WORD_CACHE = 600_000
 """Entries a per-process word cache takes; words met after that are worked out each time."""
 
 
