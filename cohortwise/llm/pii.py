@@ -1,9 +1,10 @@
 """Personal data by anchor expansion.
 
 One Aho-Corasick pass over the text finds the anchors: at-signs, plus signs, digits, URL schemes and
-identifier cues. From each anchor a local parser takes the longest run of the characters its kind
-may hold and validates what lies in it. As a kind's pattern matches inside such runs only, the result
-equals a scan of the whole text, which is never needed.
+identifier cues. From each anchor a local parser takes the characters its kind may hold, to the left
+and right as needed, and validates them. The result equals a scan of the whole text with the kind's
+pattern, but no character is tried twice for the same kind: a long run of digits or of letters before
+an at-sign, on which such a scan takes quadratic time, is passed once.
 
 Kinds of the base set are email, ip, card and phone. The method adds `address` (an URL's authority
 that holds credentials or a numeric host) and `account` (a value behind an identifier cue such as
@@ -39,12 +40,12 @@ CUES = (
 )
 SCHEMES = ("://",)
 
-_MAIL_RUN = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+@-")
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _RUN_OF = {
-    "ip": re.compile(r"[0-9.]+"),
+    "number": re.compile(r"[0-9]+"),
     "card": re.compile(r"[0-9 -]+"),
     "phone": PHONE,
-    "mail": re.compile(r"[A-Za-z0-9._%+@-]+"),
+    "domain": re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
     "authority": re.compile(r"[^\s/?#<>\"']+"),
     "value": re.compile(r"[ ]?[:=#][ ]?([A-Za-z0-9][A-Za-z0-9_+/.-]{4,}[A-Za-z0-9=])"),
 }
@@ -88,12 +89,11 @@ def find(text: str | None) -> list[Span]:
         at = last - size + 1
         if kind == "digit":
             if at >= ip_to:
-                run = _RUN_OF["ip"].match(text, at)
-                ip_to = run.end()
-                for hit in IP.finditer(text, at, ip_to):
-                    # a part is short unless it is zero-padded; int() of a huge run of digits is refused
-                    if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in hit[0].split(".")):
-                        spans.append((1, hit.start(), hit.end()))
+                hit = IP.match(text, at)  # a match takes whole numbers, so the next one starts at a number too
+                ip_to = (hit or _RUN_OF["number"].match(text, at)).end()
+                # a part is short unless it is zero-padded; int() of a huge run of digits is refused
+                if hit and all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in hit[0].split(".")):
+                    spans.append((1, hit.start(), hit.end()))
             if at >= card_to:
                 run = _RUN_OF["card"].match(text, at)
                 card_to = run.end()
@@ -106,12 +106,13 @@ def find(text: str | None) -> list[Span]:
             if hit and 8 <= len(_digits(hit[0])) <= 15:
                 spans.append((3, hit.start(), hit.end()))
         elif kind == "at":
-            if at >= mail_to:
-                start = at
-                while start > mail_to and text[start - 1] in _MAIL_RUN:
-                    start -= 1
-                mail_to = _RUN_OF["mail"].match(text, start).end()
-                spans.extend((0, hit.start(), hit.end()) for hit in EMAIL.finditer(text, start, mail_to))
+            start = at
+            while start > mail_to and text[start - 1] in _LOCAL:
+                start -= 1
+            domain = start < at and _RUN_OF["domain"].match(text, at + 1)
+            if domain:
+                mail_to = domain.end()
+                spans.append((0, start, mail_to))
         elif kind == "scheme":
             host = _RUN_OF["authority"].match(text, last + 1)
             if host and ("@" in host[0] or _NUMERIC_HOST.fullmatch(host[0])):
