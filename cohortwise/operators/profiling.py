@@ -52,7 +52,7 @@ def profile_by_label(
 def class_distribution(df: DataFrame, col: str) -> DataFrame:
     """Rows (class, n, pct)."""
     counts = df.groupBy(F.col(col).alias("class")).agg(F.count("*").alias("n"))
-    total = df.agg(F.count("*").alias("__total"))
+    total = counts.agg(F.sum("n").alias("__total"))  # an empty table has no class, so its NULL total meets no row
     return attach(counts, total).select("class", "n", (100.0 * F.col("n") / F.col("__total")).alias("pct"))
 
 

@@ -36,7 +36,7 @@ def clean(spark: SparkSession, specs: Mapping[str, DatasetSpec], interim: str, p
     return run_all(specs, one)
 
 
-def validation_report(tables: Mapping[str, DataFrame], specs: Mapping[str, DatasetSpec], cap: int | None = 6) -> DataFrame:
+def validation_report(tables: Mapping[str, DataFrame], specs: Mapping[str, DatasetSpec], cap: int | None = None) -> DataFrame:
     return union_all([validate(tables[name], name, spec.required, cap) for name, spec in specs.items()])
 
 

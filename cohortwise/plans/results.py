@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortwise.operators.attach import attach
+from cohortwise.operators.attach import join_small
 from cohortwise.operators.cleaning import union_all
 from cohortwise.operators.combining import PROX_MU
 from cohortwise.operators.metrics import METRICS
@@ -17,6 +17,8 @@ from cohortwise.plans.rounds import STRATEGIES
 BETTER_ABOVE = 0.005
 WORSE_UPTO = -0.01
 CONVERGED_BELOW = 1e-4
+# AUCs that agree to so many digits are equal: sums of floats differ behind that by their order.
+TIE_DIGITS = 9
 
 RESULT_COLUMNS = (
     "kind",
@@ -38,7 +40,7 @@ def _position(c: str, names: Sequence[str]) -> Column:
     return F.array_position(F.array(*[F.lit(n) for n in names]), F.col(c))
 
 
-def final_rounds(history: DataFrame, by: Sequence[str] = ("strategy", "mu")) -> DataFrame:
+def final_rounds(history: DataFrame, by: Sequence[str] = ("dataset", "strategy", "mu")) -> DataFrame:
     """The last round of every run, with the number of rounds."""
     rest = [c for c in history.columns if c not in by]
     last = history.groupBy(*by).agg(
@@ -54,7 +56,7 @@ def strategy_finals(finals: DataFrame, prox_mu: float = PROX_MU) -> DataFrame:
 
 def best_strategy(finals: DataFrame, by: Sequence[str] = ("dataset",)) -> DataFrame:
     """Rows (by..., strategy, auc): largest final AUC, the earlier strategy on ties; N/A if none is above 0."""
-    rank = F.struct(F.col("auc"), -_position("strategy", STRATEGIES))
+    rank = F.struct(F.round("auc", TIE_DIGITS), -_position("strategy", STRATEGIES))
     pick = F.max_by(F.when(F.col("auc") > 0, F.col("strategy")), F.when(F.col("auc") > 0, rank))
     return finals.groupBy(*by).agg(
         F.coalesce(pick, F.lit("N/A")).alias("strategy"),
@@ -62,18 +64,18 @@ def best_strategy(finals: DataFrame, by: Sequence[str] = ("dataset",)) -> DataFr
     )
 
 
-def best_mu(sweep: DataFrame) -> DataFrame:
-    """One row (mu, auc): largest AUC among the strengths above 0, the smaller one on ties; (0, 0) if none scores."""
+def best_mu(sweep: DataFrame, by: Sequence[str] = ("dataset",)) -> DataFrame:
+    """Rows (by..., mu, auc): largest AUC among the strengths above 0, the smaller one on ties; (0, 0) if none scores."""
     hit = (F.col("mu") > 0) & (F.col("auc") > 0)
-    pick = F.max_by(F.when(hit, F.col("mu")), F.when(hit, F.struct(F.col("auc"), -F.col("mu"))))
-    return sweep.agg(
+    pick = F.max_by(F.when(hit, F.col("mu")), F.when(hit, F.struct(F.round("auc", TIE_DIGITS), -F.col("mu"))))
+    return sweep.groupBy(*by).agg(
         F.coalesce(pick, F.lit(0.0)).alias("mu"),
         F.coalesce(F.max(F.when(hit, F.col("auc"))), F.lit(0.0)).alias("auc"),
     )
 
 
 def round_deltas(
-    history: DataFrame, by: Sequence[str] = ("strategy", "mu"), eps: float = CONVERGED_BELOW
+    history: DataFrame, by: Sequence[str] = ("dataset", "strategy", "mu"), eps: float = CONVERGED_BELOW
 ) -> DataFrame:
     """Rows (by..., round, auc, delta, note): change against the round before. A window holds one run's rounds."""
     change = F.col("auc") - F.lag("auc").over(Window.partitionBy(*by).orderBy("round"))
@@ -92,7 +94,7 @@ def verdict(diff: str | Column) -> Column:
 
 
 def compare_pooled(
-    pooled: DataFrame, finals: DataFrame, strategy: str = "FedAvg", by: Sequence[str] = ()
+    pooled: DataFrame, finals: DataFrame, strategy: str = "FedAvg", by: Sequence[str] = ("dataset",)
 ) -> DataFrame:
     """Rows (by..., metric, pooled, combined, diff) of the best pooled model against one strategy, per group of `by`."""
     by = list(by)
@@ -107,22 +109,22 @@ def compare_pooled(
     return best.join(combined, [*by, "metric"]).withColumn("diff", F.col("combined") - F.col("pooled"))
 
 
-def strategy_table(finals: DataFrame, pooled: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def strategy_table(finals: DataFrame, pooled: DataFrame, by: Sequence[str] = ("dataset",)) -> DataFrame:
     """Rows (by..., strategy, auc, f1, precision, recall, diff_vs_lr, note) against the group's pooled regression."""
     by = list(by)
     lr = pooled.filter(F.col("model") == "LR").groupBy(*by).agg(F.max("auc").alias("lr_auc"))
     top = best_strategy(finals, by=by).select(*by, F.col("strategy").alias("top"))
     note = F.when(F.col("auc") == 0, "degenerate").when(F.col("strategy") == F.col("top"), "best").otherwise("")
     diff = F.when(F.col("lr_auc") > 0, F.col("auc") - F.col("lr_auc")).otherwise(F.lit(0.0))
-    rows = attach(attach(finals, lr, by, "left"), top, by, "left")
+    rows = join_small(join_small(finals, lr, by, "left"), top, by, "left")
     return rows.select(*by, "strategy", "auc", "f1", "precision", "recall", diff.alias("diff_vs_lr"), note.alias("note"))
 
 
-def mu_table(sweep: DataFrame) -> DataFrame:
-    """Rows (mu, auc, note): mu = 0 is the reference, the best strength is marked."""
-    top = best_mu(sweep).select(F.col("mu").alias("top"))
+def mu_table(sweep: DataFrame, by: Sequence[str] = ("dataset",)) -> DataFrame:
+    """Rows (by..., mu, auc, note): mu = 0 is the reference, the best strength is marked."""
+    top = best_mu(sweep, by).select(*by, F.col("mu").alias("top"))
     note = F.when(F.col("mu") == 0, "reference").when(F.col("mu") == F.col("top"), "best").otherwise("")
-    return attach(sweep, top).select("mu", "auc", note.alias("note"))
+    return join_small(sweep, top, by).select(*by, "mu", "auc", note.alias("note"))
 
 
 def pooled_table(pooled: DataFrame, by: Sequence[str] = ("dataset",)) -> DataFrame:
@@ -168,14 +170,15 @@ def _result_rows(df: DataFrame, values: dict[str, Column]) -> DataFrame:
 
 
 def result_table(pooled: DataFrame, finals: DataFrame, sweep: DataFrame, digits: int = 4) -> DataFrame:
-    """The long result table of one dataset: pooled models, combination strategies and the sweep.
+    """The long result table: pooled models, combination strategies and the sweep of every dataset.
 
     Pooled rows carry f1, precision and recall for the best model only. Each note marks the best row
-    or a degenerate one.
+    of its dataset or a degenerate one; differences are taken from the dataset's own regression.
     """
-    clients = finals.agg(F.max("n_clients").alias("n_clients"))
-    lr = pooled.filter(F.col("model") == "LR").agg(F.max("auc").alias("lr_auc"))
-    top = best_strategy(finals, by=[]).select(F.col("strategy").alias("top"))
+    by = ["dataset"]
+    clients = finals.groupBy(*by).agg(F.max("n_clients").alias("n_clients"))
+    lr = pooled.filter(F.col("model") == "LR").groupBy(*by).agg(F.max("auc").alias("lr_auc"))
+    top = best_strategy(finals, by).select(*by, F.col("strategy").alias("top"))
 
     def rounded(c: str) -> Column:
         return F.round(c, digits)
@@ -184,7 +187,7 @@ def result_table(pooled: DataFrame, finals: DataFrame, sweep: DataFrame, digits:
         return F.when(F.col("is_best"), rounded(c))
 
     part_pooled = _result_rows(
-        attach(pooled, clients),
+        join_small(pooled, clients, by, "left"),
         {
             "kind": F.lit("pooled"),
             "dataset": F.col("dataset"),
@@ -199,7 +202,7 @@ def result_table(pooled: DataFrame, finals: DataFrame, sweep: DataFrame, digits:
     )
     differs = (F.col("lr_auc") != 0) & (F.col("auc") != 0)
     part_combined = _result_rows(
-        attach(attach(finals, lr), top),
+        join_small(join_small(finals, lr, by, "left"), top, by, "left"),
         {
             "kind": F.lit("combined"),
             "dataset": F.col("dataset"),
@@ -229,10 +232,10 @@ def result_table(pooled: DataFrame, finals: DataFrame, sweep: DataFrame, digits:
     return union_all([part_pooled, part_combined, part_sweep])
 
 
-def series_rounds(history: DataFrame, pooled: DataFrame) -> DataFrame:
-    """AUC by round and strategy, with the pooled regression as reference line."""
-    lr = pooled.filter(F.col("model") == "LR").agg(F.max("auc").alias("lr_auc"))
-    return attach(history, lr).select("strategy", "round", "auc", "lr_auc")
+def series_rounds(history: DataFrame, pooled: DataFrame, by: Sequence[str] = ("dataset",)) -> DataFrame:
+    """AUC by round and strategy, with the group's pooled regression as reference line."""
+    lr = pooled.filter(F.col("model") == "LR").groupBy(*by).agg(F.max("auc").alias("lr_auc"))
+    return join_small(history, lr, by, "left").select(*by, "strategy", "round", "auc", "lr_auc")
 
 
 def series_bars(pooled: DataFrame, finals: DataFrame) -> DataFrame:
@@ -245,10 +248,10 @@ def series_bars(pooled: DataFrame, finals: DataFrame) -> DataFrame:
     )
 
 
-def series_mu(sweep: DataFrame) -> DataFrame:
+def series_mu(sweep: DataFrame, by: Sequence[str] = ("dataset",)) -> DataFrame:
     """AUC by strength, mu = 0 included; the first maximum is marked."""
-    top = sweep.agg(F.max_by("mu", F.struct(F.col("auc"), -F.col("mu"))).alias("top"))
-    return attach(sweep, top).select("mu", "auc", (F.col("mu") == F.col("top")).cast("int").alias("is_best"))
+    top = sweep.groupBy(*by).agg(F.max_by("mu", F.struct(F.round("auc", TIE_DIGITS), -F.col("mu"))).alias("top"))
+    return join_small(sweep, top, by).select(*by, "mu", "auc", (F.col("mu") == F.col("top")).cast("int").alias("is_best"))
 
 
 def series_strategies(finals: DataFrame) -> DataFrame:

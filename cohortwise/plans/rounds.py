@@ -154,7 +154,7 @@ def mu_sweep(
     return history.filter(F.col("round") == rounds).select("mu", *METRICS)
 
 
-def round_completeness(history: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Rows (strategy, n_rounds, status): did every strategy run all its rounds."""
-    done = history.groupBy("strategy").agg(F.count_distinct("round").alias("n_rounds"))
+def round_completeness(history: DataFrame, rounds: int = ROUNDS, by: Sequence[str] = ("dataset",)) -> DataFrame:
+    """Rows (by..., strategy, n_rounds, status): did every strategy run all its rounds."""
+    done = history.groupBy(*by, "strategy").agg(F.count_distinct("round").alias("n_rounds"))
     return done.withColumn("status", F.when(F.col("n_rounds") < rounds, "incomplete").otherwise("ok"))

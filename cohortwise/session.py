@@ -65,6 +65,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{_scratch_home(spark)}/{uuid.uuid4().hex}/{name}"
 
 
+def path_state(spark: SparkSession, pattern: str) -> tuple[tuple[str, int, int], ...]:
+    """(path, change time, length) of what a path pattern matches; empty if there is nothing."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
+    return tuple((s.getPath().toString(), s.getModificationTime(), s.getLen()) for s in found)
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Delete this application's intermediate tables. Results that still read them become unusable."""
     path = spark._jvm.org.apache.hadoop.fs.Path(_scratch_home(spark))

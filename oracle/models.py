@@ -116,29 +116,44 @@ def group_views(prefix: str, source: str, x0: str, x1: str, min_rows: int) -> di
 
 HISTORY: dict[str, str] = {
     **group_views("", "feat", "days_active", "avg_score", 20),
-    "run": "SELECT 'courses' AS dataset, * FROM history WHERE strategy <> 'FedProx' OR mu = 0.1::DOUBLE",
-    "finals": f"SELECT *, COUNT(*) OVER (PARTITION BY strategy) AS n_rounds FROM run QUALIFY round = {ROUNDS}",
-    "sweep": f"""SELECT 'courses' AS dataset, mu, auc FROM history
+    **group_views("small_", "xfeat", "raisedhands", "Discussion", 5),
+    "histories": "SELECT 'courses' AS dataset, * FROM history UNION ALL SELECT 'engagement', * FROM small_history",
+    "run": "SELECT * FROM histories WHERE strategy <> 'FedProx' OR mu = 0.1::DOUBLE",
+    "finals": f"SELECT *, COUNT(*) OVER (PARTITION BY dataset, strategy) AS n_rounds FROM run QUALIFY round = {ROUNDS}",
+    "sweep": f"""SELECT dataset, mu, auc FROM histories
         WHERE strategy IN ('FedAvg', 'FedProx') AND round = {ROUNDS}""",
+    "best": """SELECT dataset, CASE WHEN MAX(auc) > 0 THEN ARG_MAX(strategy, ROUND(auc, 9)
+        - LIST_POSITION(['FedAvg','FedProx','FedAdam','FedMedian'], strategy) * 1e-11) ELSE 'N/A' END AS top, MAX(auc) AS auc
+        FROM finals GROUP BY dataset""",
+    "best_strength": """SELECT dataset, COALESCE(ARG_MAX(mu, ROUND(auc, 9) - mu * 1e-11) FILTER (WHERE mu > 0 AND auc > 0), 0) AS mu,
+        COALESCE(MAX(auc) FILTER (WHERE mu > 0 AND auc > 0), 0) AS auc FROM sweep GROUP BY dataset""",
 }
 
+
+def pooled_views(p: str, dataset: str, source: str, x0: str, x1: str) -> dict[str, str]:
+    """View `<p>pooled_lr`: the regression over all complete rows of `source`, on features x0 and x1."""
+    return {
+        f"{p}pooled_z": f"""SELECT 'all' AS grp, client_id, id_student, label, {scaled(x0, '', '')} AS x0,
+            {scaled(x1, '', '')} AS x1 FROM {source} WHERE {x0} IS NOT NULL AND {x1} IS NOT NULL""",
+        **split_views(f"{p}pooled_z", "", "client_id, id_student", False, f"{p}pooled_"),
+        f"{p}pooled_train": f"""SELECT grp, label, x0, x1, COUNT(*) OVER () / (2.0::DOUBLE * COUNT(*) OVER (PARTITION BY label)) AS w
+            FROM {p}pooled_split WHERE is_test = 0""",
+        **newton_views(f"{p}pooled_train", "grp", (0.0,), f"{p}pooled_fit"),
+        f"{p}pooled_scored": f"""SELECT *, CAST(score > 0.5 AS INT) AS pred FROM (
+            SELECT label, 1 / (1 + EXP(-(b0*x0 + b1*x1 + b2))) AS score
+            FROM {p}pooled_split JOIN {p}pooled_fit_{STEPS} USING (grp) WHERE is_test = 1)""",
+        f"{p}pooled_lr": f"""SELECT '{dataset}' AS dataset, 'LR' AS model, a.auc, {ACC} AS accuracy, {F1} AS f1, {P1} AS precision,
+            {SENS} AS recall, tn, fp, fn, tp, (SELECT COUNT(*) FROM {p}pooled_train) AS n_train, tn + fp + fn + tp AS n_test
+            FROM ({cells('', f'{p}pooled_scored')}) JOIN ({ranked(f'{p}pooled_scored', 'score')}) a ON TRUE""",
+    }
+
+
 POOLED: dict[str, str] = {
-    "pooled_z": f"""SELECT 'all' AS grp, client_id, id_student, label, {scaled('days_active', '', '')} AS x0,
-        {scaled('avg_score', '', '')} AS x1 FROM feat WHERE avg_score IS NOT NULL""",
-    **split_views("pooled_z", "", "client_id, id_student", False, "pooled_"),
-    "pooled_train": """SELECT grp, label, x0, x1, COUNT(*) OVER () / (2.0::DOUBLE * COUNT(*) OVER (PARTITION BY label)) AS w
-        FROM pooled_split WHERE is_test = 0""",
-    **newton_views("pooled_train", "grp", (0.0,), "pooled_fit"),
-    "pooled_scored": f"""SELECT *, CAST(score > 0.5 AS INT) AS pred FROM (
-        SELECT label, 1 / (1 + EXP(-(b0*x0 + b1*x1 + b2))) AS score FROM pooled_split JOIN pooled_fit_{STEPS} USING (grp) WHERE is_test = 1)""",
-    "pooled_lr": f"""SELECT 'courses' AS dataset, 'LR' AS model, a.auc, {ACC} AS accuracy, {F1} AS f1, {P1} AS precision, {SENS} AS recall,
-        tn, fp, fn, tp, (SELECT COUNT(*) FROM pooled_train) AS n_train, tn + fp + fn + tp AS n_test
-        FROM ({cells('', 'pooled_scored')}) JOIN ({ranked('pooled_scored', 'score')}) a ON TRUE""",
+    **pooled_views("", "courses", "feat", "days_active", "avg_score"),
+    **pooled_views("small_", "engagement", "xfeat", "raisedhands", "Discussion"),
+    "pooled_all": "SELECT * FROM pooled_lr UNION ALL SELECT * FROM small_pooled_lr",
 }
 ALL = {**HISTORY, **POOLED}
-BEST = """(SELECT CASE WHEN MAX(auc) > 0 THEN ARG_MAX(strategy, auc * 10 - LIST_POSITION(['FedAvg','FedProx','FedAdam','FedMedian'], strategy) * 1e-9)
-  ELSE 'N/A' END FROM finals)"""
-BEST_MU = "(SELECT ARG_MAX(mu, auc - mu * 1e-9) FROM sweep WHERE mu > 0 AND auc > 0)"
 VERDICT = """CASE WHEN diff > 0.005::DOUBLE THEN 'better' WHEN diff > -0.01::DOUBLE THEN 'comparable' ELSE 'worse' END"""
 
 MODEL_SQL: dict[str, str] = {}
@@ -164,11 +179,8 @@ add(
       SELECT client_id, id_student, 1 / (1 + EXP(-(b0*x0 + b1*x1 + b2))) AS p FROM rows_z JOIN models USING (client_id)
       WHERE mu = 0 AND is_test = 1)""",
 )
-MODEL_SQL["fed_rounds_small"] = with_views(
-    f"SELECT strategy, mu, round, n_clients, {ROUNDED_METRICS} FROM small_history WHERE strategy <> 'FedProx' OR mu = 0.1::DOUBLE",
-    group_views("small_", "xfeat", "raisedhands", "Discussion", 5),
-)
-add("fed_rounds", f"SELECT strategy, mu, round, n_clients, {ROUNDED_METRICS} FROM run")
+add("fed_rounds_small", f"SELECT strategy, mu, round, n_clients, {ROUNDED_METRICS} FROM small_history WHERE strategy <> 'FedProx' OR mu = 0.1::DOUBLE")
+add("fed_rounds", f"SELECT strategy, mu, round, n_clients, {ROUNDED_METRICS} FROM history WHERE strategy <> 'FedProx' OR mu = 0.1::DOUBLE")
 add(
     "mu_sweep",
     f"SELECT mu, {ROUNDED_METRICS} FROM history WHERE strategy IN ('FedAvg', 'FedProx') AND round = {ROUNDS}",
@@ -176,68 +188,72 @@ add(
 add("pooled_lr", f"SELECT model, {ROUNDED_METRICS}, tn, fp, fn, tp, n_train, n_test FROM pooled_lr")
 add(
     "round_deltas",
-    f"""SELECT strategy, mu, round, {r('auc', 'auc')}, {r('delta', 'delta')},
+    f"""SELECT dataset, strategy, mu, round, {r('auc', 'auc')}, {r('delta', 'delta')},
       CASE WHEN delta IS NULL THEN 'first round' WHEN ABS(delta) < 1e-4 THEN 'converged' ELSE FORMAT('{{:+.4f}}', delta) END AS note
-    FROM (SELECT *, auc - LAG(auc) OVER (PARTITION BY strategy, mu ORDER BY round) AS delta FROM run)""",
+    FROM (SELECT *, auc - LAG(auc) OVER (PARTITION BY dataset, strategy, mu ORDER BY round) AS delta FROM run)""",
 )
 add(
     "round_completeness",
-    f"""SELECT strategy, COUNT(DISTINCT round) AS n_rounds, CASE WHEN COUNT(DISTINCT round) < {ROUNDS} THEN 'incomplete' ELSE 'ok' END AS status
-    FROM run GROUP BY strategy""",
+    f"""SELECT dataset, strategy, COUNT(DISTINCT round) AS n_rounds,
+      CASE WHEN COUNT(DISTINCT round) < {ROUNDS} THEN 'incomplete' ELSE 'ok' END AS status FROM run GROUP BY dataset, strategy""",
 )
 add(
     "verdict",
     f"""SELECT dataset, n_clients, {r('pooled_auc', 'pooled_auc')}, {r('combined_auc', 'combined_auc')}, {r('diff', 'diff')}, {VERDICT} AS verdict
     FROM (SELECT f.dataset, f.n_clients, p.auc AS pooled_auc, f.auc AS combined_auc, f.auc - p.auc AS diff
-          FROM finals f JOIN pooled_lr p USING (dataset) WHERE strategy = 'FedAvg')""",
+          FROM finals f JOIN pooled_all p USING (dataset) WHERE strategy = 'FedAvg')""",
 )
 add(
     "pooled_vs_combined",
     "\nUNION ALL ".join(
-        f"""SELECT '{m}' AS metric, {r(f'p.{m}', 'pooled')}, {r(f'f.{m}', 'combined')}, {r(f'f.{m} - p.{m}', 'diff')}
-        FROM finals f JOIN pooled_lr p USING (dataset) WHERE strategy = 'FedAvg'"""
+        f"""SELECT dataset, '{m}' AS metric, {r(f'p.{m}', 'pooled')}, {r(f'f.{m}', 'combined')}, {r(f'f.{m} - p.{m}', 'diff')}
+        FROM finals f JOIN pooled_all p USING (dataset) WHERE strategy = 'FedAvg'"""
         for m in METRICS
     ),
 )
-add("best_strategy", f"SELECT dataset, {BEST} AS strategy, {r('MAX(auc)', 'auc')} FROM finals GROUP BY dataset")
-add("best_mu", f"SELECT COALESCE({BEST_MU}, 0) AS mu, {r('COALESCE(MAX(auc), 0)', 'auc')} FROM sweep WHERE mu > 0")
+add("best_strategy", f"SELECT dataset, top AS strategy, {r('auc', 'auc')} FROM best")
+add("best_mu", f"SELECT dataset, mu, {r('auc', 'auc')} FROM best_strength")
 add(
     "result_long",
-    f"""
-    SELECT 'pooled' AS kind, dataset, (SELECT MAX(n_clients) FROM finals) AS n_clients, model AS strategy, ROUND(auc, 4) AS auc,
-      ROUND(f1, 4) AS f1, ROUND(precision, 4) AS precision, ROUND(recall, 4) AS recall, CAST(NULL AS BIGINT) AS n_rounds,
-      CAST(NULL AS DOUBLE) AS diff_vs_lr, CAST(NULL AS DOUBLE) AS mu, 'best' AS note FROM pooled_lr
-    UNION ALL SELECT 'combined', dataset, n_clients, strategy, ROUND(auc, 4), ROUND(f1, 4), ROUND(precision, 4), ROUND(recall, 4),
-      n_rounds, CASE WHEN auc <> 0 THEN ROUND(auc - (SELECT auc FROM pooled_lr), 4) END, CASE WHEN strategy = 'FedProx' THEN mu END,
-      CASE WHEN strategy = {BEST} THEN 'best' WHEN auc = 0 THEN 'degenerate' ELSE '' END FROM finals
+    """
+    SELECT 'pooled' AS kind, dataset, (SELECT MAX(n_clients) FROM finals f WHERE f.dataset = p.dataset) AS n_clients, model AS strategy,
+      ROUND(auc, 4) AS auc, ROUND(f1, 4) AS f1, ROUND(precision, 4) AS precision, ROUND(recall, 4) AS recall,
+      CAST(NULL AS BIGINT) AS n_rounds, CAST(NULL AS DOUBLE) AS diff_vs_lr, CAST(NULL AS DOUBLE) AS mu, 'best' AS note FROM pooled_all p
+    UNION ALL SELECT 'combined', f.dataset, n_clients, strategy, ROUND(f.auc, 4), ROUND(f.f1, 4), ROUND(f.precision, 4), ROUND(f.recall, 4),
+      n_rounds, CASE WHEN f.auc <> 0 THEN ROUND(f.auc - p.auc, 4) END, CASE WHEN strategy = 'FedProx' THEN mu END,
+      CASE WHEN strategy = top THEN 'best' WHEN f.auc = 0 THEN 'degenerate' ELSE '' END
+      FROM finals f JOIN pooled_all p ON p.dataset = f.dataset JOIN best b ON b.dataset = f.dataset
     UNION ALL SELECT 'mu_sweep', dataset, NULL, 'FedProx', ROUND(auc, 4), NULL, NULL, NULL, NULL, NULL, mu,
       CASE WHEN mu = 0 THEN 'reference' ELSE '' END FROM sweep""",
 )
 add(
     "strategy_table",
-    f"""SELECT strategy, {r('auc', 'auc')}, {r('f1', 'f1')}, {r('precision', 'precision')}, {r('recall', 'recall')},
-      {r('auc - (SELECT auc FROM pooled_lr)', 'diff_vs_lr')},
-      CASE WHEN auc = 0 THEN 'degenerate' WHEN strategy = {BEST} THEN 'best' ELSE '' END AS note FROM finals""",
+    f"""SELECT f.dataset, strategy, {r('f.auc', 'auc')}, {r('f.f1', 'f1')}, {r('f.precision', 'precision')}, {r('f.recall', 'recall')},
+      {r('f.auc - p.auc', 'diff_vs_lr')},
+      CASE WHEN f.auc = 0 THEN 'degenerate' WHEN strategy = top THEN 'best' ELSE '' END AS note
+    FROM finals f JOIN pooled_all p ON p.dataset = f.dataset JOIN best b ON b.dataset = f.dataset""",
 )
 add(
     "mu_table",
-    f"SELECT mu, {r('auc', 'auc')}, CASE WHEN mu = 0 THEN 'reference' WHEN mu = {BEST_MU} THEN 'best' ELSE '' END AS note FROM sweep",
+    f"""SELECT dataset, s.mu, {r('s.auc', 'auc')}, CASE WHEN s.mu = 0 THEN 'reference' WHEN s.mu = t.mu THEN 'best' ELSE '' END AS note
+    FROM sweep s JOIN best_strength t USING (dataset)""",
 )
 add(
     "pooled_table",
-    f"""SELECT dataset, n_train + n_test AS n_samples, {r('auc', 'LR')}, {r('0', 'RF')}, {r('0', 'GBT')}, 'LR' AS best FROM pooled_lr""",
+    f"""SELECT dataset, n_train + n_test AS n_samples, {r('auc', 'LR')}, {r('0', 'RF')}, {r('0', 'GBT')}, 'LR' AS best FROM pooled_all""",
 )
 add(
     "series_rounds",
-    f"SELECT strategy, round, {r('auc', 'auc')}, {r('(SELECT auc FROM pooled_lr)', 'lr_auc')} FROM run",
+    f"SELECT dataset, strategy, round, {r('r.auc', 'auc')}, {r('p.auc', 'lr_auc')} FROM run r JOIN pooled_all p USING (dataset)",
 )
 add(
     "series_bars",
-    f"""SELECT dataset, 'pooled' AS kind, model AS name, {r('auc', 'auc')} FROM pooled_lr
+    f"""SELECT dataset, 'pooled' AS kind, model AS name, {r('auc', 'auc')} FROM pooled_all
     UNION ALL SELECT dataset, 'combined', strategy, {r('auc', 'auc')} FROM finals""",
 )
 add(
     "series_mu",
-    f"SELECT mu, {r('auc', 'auc')}, CAST(mu = (SELECT ARG_MAX(mu, auc - mu * 1e-9) FROM sweep) AS INT) AS is_best FROM sweep",
+    f"""SELECT dataset, s.mu, {r('auc', 'auc')}, CAST(s.mu = t.mu AS INT) AS is_best
+    FROM sweep s JOIN (SELECT dataset, ARG_MAX(mu, ROUND(auc, 9) - mu * 1e-11) AS mu FROM sweep GROUP BY dataset) t USING (dataset)""",
 )
 add("series_strategies", f"SELECT dataset, strategy, {r('auc', 'auc')} FROM finals")

@@ -64,7 +64,7 @@ add(
     "\nUNION ALL ".join(
         [
             null_counts("vle_c6", "student_vle", ["code_module", "code_presentation", "id_student", "id_site", "date", "sum_click"]),
-            null_counts("info_c", "student_info", INFO_COLS[:6]),
+            null_counts("info_c", "student_info", INFO_COLS),
             null_counts("sa_c", "student_assessment", ["id_assessment", "id_student", "score"]),
             null_counts("assessments", "assessments", ["id_assessment", "code_module", "code_presentation"]),
         ]

@@ -7,25 +7,13 @@ from pathlib import Path
 import __spark_entry__ as entry
 import pytest
 from compare import difference, duck
+from oracle.models import MODEL_SQL
 
 DATA = Path("/root/testdata")
 SQL = entry.oracle_sql()
-# Fitted models need course groups of at least 20 rows, so a few of them run on the next size up.
-FITTED = ["local_logit", "fed_rounds_small", "pooled_lr", "result_long", "strategy_table", "round_deltas"]
-REST = {
-    "gradient_at_zero",
-    "local_scores",
-    "fed_rounds",
-    "mu_sweep",
-    "mu_table",
-    "best_mu",
-    "best_strategy",
-    "pooled_table",
-    "pooled_vs_combined",
-    "round_completeness",
-    "verdict",
-}
-PLAIN = [n for n in SQL if n not in FITTED and n not in REST and not n.startswith("series_")]
+# Fitted models need course groups of at least 20 rows, so they run on the next size up.
+FITTED = sorted(MODEL_SQL)
+PLAIN = [n for n in SQL if n not in FITTED]
 
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="test tables are not here")
 

@@ -132,8 +132,8 @@ def test_rounds(train, history):
     got = {(r["strategy"], r["mu"], r["round"]): r for r in history.collect()}
     assert len(got) == 5 * 3 and all(r["n_clients"] == 5 for r in got.values())
     assert 0.5 < got[("FedAvg", 0.0, 3)]["auc"] < 1
-    assert results.best_strategy(results.strategy_finals(results.final_rounds(history)), by=[]).first()["strategy"] in rounds.STRATEGIES
-    status = {r["strategy"]: r["status"] for r in rounds.round_completeness(history, 4).collect()}
+    assert results.best_strategy(results.strategy_finals(results.final_rounds(history, by=["strategy", "mu"])), by=[]).first()["strategy"] in rounds.STRATEGIES
+    status = {r["strategy"]: r["status"] for r in rounds.round_completeness(history, 4, by=[]).collect()}
     assert set(status.values()) == {"incomplete"}
     assert rounds.client_status(train, min_rows=21).first()["n_clients"] == 4
 
@@ -156,15 +156,15 @@ def test_best_strategy_and_mu(spark):
     tie = finals(spark, [("d", "FedMedian", 0.0, 0.7), ("d", "FedProx", 0.1, 0.7), ("d", "FedAvg", 0.0, 0.6)])
     assert tuple(results.best_strategy(tie).first()) == ("d", "FedProx", 0.7)
     sweep = finals(spark, [("d", "x", 0.0, 0.9), ("d", "x", 0.1, 0.8), ("d", "x", 0.01, 0.8)])
-    assert tuple(results.best_mu(sweep).first()) == (0.01, 0.8)
-    marks = {r["mu"]: r["note"] for r in results.mu_table(sweep).collect()}
+    assert tuple(results.best_mu(sweep, by=[]).first()) == (0.01, 0.8)
+    marks = {r["mu"]: r["note"] for r in results.mu_table(sweep, by=[]).collect()}
     assert marks == {0.0: "reference", 0.01: "best", 0.1: ""}
-    assert {r["mu"]: r["is_best"] for r in results.series_mu(sweep).collect()} == {0.0: 1, 0.01: 0, 0.1: 0}
+    assert {r["mu"]: r["is_best"] for r in results.series_mu(sweep, by=[]).collect()} == {0.0: 1, 0.01: 0, 0.1: 0}
 
 
 def test_round_notes(spark):
     df = spark.createDataFrame([("a", 0.0, r, v) for r, v in ((1, 0.7), (2, 0.70005), (3, 0.72), (4, 0.71))], "strategy string, mu double, round int, auc double")
-    notes = [r["note"] for r in results.round_deltas(df).orderBy("round").collect()]
+    notes = [r["note"] for r in results.round_deltas(df, by=["strategy", "mu"]).orderBy("round").collect()]
     assert notes == ["first round", "converged", "+0.0200", "-0.0100"]
 
 
