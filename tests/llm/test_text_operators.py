@@ -143,6 +143,35 @@ def test_near_copies_of_one_text_meet_without_all_pairs(spark, small):
     assert {got[i][0] for i in range(120)} == {0} and all(got[200 + i] == (200 + i,) for i in range(30))
 
 
+def test_pairs_of_one_template_meet_between_outsiders(spark):
+    rng = random.Random(8)
+    fresh = lambda n: [f"f{rng.randrange(10**9)}" for _ in range(n)]
+    template, rows = fresh(400), []
+    for i in range(60):
+        shared = fresh(20)
+        rows += [(1_000 * k + i, " ".join([*template, *shared, *fresh(20)])) for k in (1, 2)]
+    rows += [(9_000 * k + i, " ".join([*template, *fresh(40)])) for k in (0, 1) for i in range(20)]  # the ends
+    expected, _ = components(rows, near_dups.SIMILARITY)
+    assert expected == {d: d - 1_000 if 2_000 <= d < 9_000 else d for d, _ in rows}
+    got = by_id(near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")), "class_id")
+    assert {d: c for d, (c,) in got.items()} == expected
+
+
+def test_prefixes_of_similar_texts_meet():
+    rng = np.random.default_rng(5)
+    met = 0
+    for _ in range(2_000):
+        idf = np.sort(rng.uniform(1, 2, 40))[::-1]
+        a, b = rng.integers(0, 4, (2, 40))
+        b = np.where(rng.random(40) < 0.9, a, b)
+        similar = (np.minimum(a, b) * idf).sum() >= 0.8 * (np.maximum(a, b) * idf).sum()
+        ids = np.arange(40)
+        pa, pb = (near_dups.prefix(ids[c > 0], (c * idf)[c > 0], 0.8) for c in (a, b))
+        assert len(np.intersect1d(pa, pb)) or not similar
+        met += similar
+    assert met > 500
+
+
 def test_samples_agree_as_often_as_texts_are_similar():
     rng = np.random.default_rng(1)
     words = [f"w{k}".encode() for k in rng.integers(0, 50, 400)]
