@@ -11,7 +11,9 @@ skipped. These sums are taken for all passages of a batch at once; in the blocks
 moves through the posting lists from pivot to pivot.
 
 A retrieved pair is a leak if the passage also holds at least OVERLAP of the five-word runs of the
-item's question and of its answer. The answer is the item's last sentence.
+item's question and of its answer, or if WHOLE of all its words stand in runs of at least three words
+that the passage holds: a changed word or a missing sentence does not hide the rest. The answer is
+the item's last sentence.
 
 The index is built for at most SEGMENT_ITEMS items; a larger benchmark is searched segment by
 segment, so what tasks receive has a bound.
@@ -32,11 +34,13 @@ from cohortwise.llm.common import WORD_CACHE, arrow_map
 
 MATCH = 0.6
 OVERLAP = 0.5
+WHOLE = 0.6
 K1, B = 1.2, 0.75
 BLOCK_ITEMS = 4
 SEGMENT_ITEMS = 1_000
 SEGMENT_CHARACTERS = 4_000_000
 RUN = 5
+SHORT_RUN = 3
 SUB_BATCH = 100
 
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
@@ -78,6 +82,16 @@ def overlap(part: list[str], passage: list[str]) -> float:
     return len(own & runs(passage, size)) / len(own)
 
 
+def covered(item: list[str], passage: list[str]) -> float:
+    """Share of the item's words in runs of SHORT_RUN words, or of all if it has fewer, that the passage holds."""
+    size = min(SHORT_RUN, len(item))
+    held, at = runs(passage, size), set()
+    for i in range(len(item) - size + 1):
+        if tuple(item[i : i + size]) in held:
+            at.update(range(i, i + size))
+    return len(at) / len(item)
+
+
 class Index:
     """Posting lists of normalised BM25 contributions, with their largest by word and block."""
 
@@ -187,8 +201,9 @@ def leaks(texts: list[str | None], index: Index, cache: Terms, match: float, lea
         for item, score in found:
             if passage is None:
                 passage = [w for w in map(normal, words[i]) if w][start : start + 2 * index.half]
-            question, answer = (overlap(part, passage) for part in index.parts[item])
-            if question >= least and answer >= least:
+            parts = index.parts[item]
+            question, answer = (overlap(part, passage) for part in parts)
+            if (question >= least and answer >= least) or covered(parts[0] + parts[1], passage) >= WHOLE - 1e-9:
                 yield i, item, start, score, question, answer
 
 

@@ -200,6 +200,31 @@ def test_leaks_equal_search_for_whole_items(spark, small, docs, rows, no_docs):
     assert decontaminate.find_leaks(docs, odd).count() == 0
 
 
+def quotes(index, texts: list[str]) -> list[set]:
+    """Numbers of the items found in each text."""
+    out = [set() for _ in texts]
+    for i, item, *_ in decontaminate.leaks(texts, index, decontaminate.Terms(index.terms), decontaminate.MATCH, decontaminate.OVERLAP):
+        out[i].add(item)
+    return out
+
+
+def test_changed_and_cut_items_are_found():
+    rng = random.Random(6)
+    fresh = lambda n: [f"f{rng.randrange(10**9)}" for _ in range(n)]
+    index = decontaminate.Index([(k, " ".join(fresh(20)) + ". " + " ".join(fresh(4 + k % 3)) + ".") for k in range(20)])
+    for item, (question, answer) in enumerate(index.parts):
+        words = question + answer
+        cases = [words, question, words[5:], words[:-6]]
+        for k in range(len(words)):
+            other = rng.randrange(len(words))
+            cases += [[w if i != k else "new" for i, w in enumerate(words)]]
+            cases += [[w if i not in (k, other) else "new" for i, w in enumerate(words)]]
+        around = [" ".join([*fresh(50), *case, *fresh(50)]) for case in cases]
+        assert quotes(index, around) == [{item}] * len(cases)
+        shuffled = [" ".join([*fresh(50), *rng.sample(words, len(words)), *fresh(50)]) for _ in range(20)]
+        assert quotes(index, shuffled) == [set()] * 20
+
+
 def test_block_max_search_equals_full_scores():
     rng = random.Random(3)
     items = [(k, " ".join(f"t{rng.randrange(60)}" for _ in range(rng.randrange(3, 25))) + ".") for k in range(90)]
