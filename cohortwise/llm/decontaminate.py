@@ -16,7 +16,8 @@ that the passage holds: a changed word or a missing sentence does not hide the r
 the item's last sentence.
 
 The index is built for at most SEGMENT_ITEMS items; a larger benchmark is searched segment by
-segment, so what tasks receive has a bound.
+segment, so what tasks receive has a bound. Number and mean length of items, document frequencies
+and the length of passages are those of the whole benchmark in every segment.
 """
 
 from __future__ import annotations
@@ -24,13 +25,14 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortwise.llm.common import WORD_CACHE, arrow_map
+from cohortwise.llm.common import WORD_CACHE, arrow_map, materialise
 
 MATCH = 0.6
 OVERLAP = 0.5
@@ -92,28 +94,41 @@ def covered(item: list[str], passage: list[str]) -> float:
     return len(at) / len(item)
 
 
+class Statistics(NamedTuple):
+    """Of all items with words: their number, words, longest item, and how many hold each word."""
+
+    items: int
+    words: int
+    longest: int
+    held: dict[str, int]
+
+
 class Index:
-    """Posting lists of normalised BM25 contributions, with their largest by word and block."""
+    """Posting lists of normalised BM25 contributions, with their largest by word and block.
 
-    def __init__(self, items: list[tuple[int, str]]):
+    `whole` are the statistics of the benchmark that `items` are a segment of; without it, they are all.
+    """
+
+    def __init__(self, items: list[tuple[int, str]], whole: Statistics | None = None):
         items = [(i, text, normal_words(text)) for i, text in sorted(items, key=lambda x: (x[0], x[1]))]
         items = [x for x in items if x[2]]
         self.ids = [i for i, _, _ in items]
         self.parts = [question_answer(text) for _, text, _ in items]
-        longest = max((len(w) for _, _, w in items), default=1)
-        self.half = max(32, longest)  # words of half a passage
         counts = [Counter(w) for _, _, w in items]
         held = Counter(w for c in counts for w in c)
-        mean = sum(len(w) for _, _, w in items) / max(len(items), 1)
-        idf = {w: np.log(1 + (len(items) - n + 0.5) / (n + 0.5)) for w, n in held.items()}
+        sizes = [len(w) for _, _, w in items]
+        whole = whole or Statistics(len(items), sum(sizes), max(sizes, default=1), held)
+        self.half = max(32, whole.longest)  # words of half a passage
+        mean = whole.words / max(whole.items, 1)
+        idf = {w: np.log(1 + (whole.items - n + 0.5) / (n + 0.5)) for w in held for n in [whole.held[w]]}
         self.terms = {w: k for k, w in enumerate(sorted(held))}
         self.postings: list[list[tuple[int, float]]] = [[] for _ in held]
         for item, count in enumerate(counts):
             size = K1 * (1 - B + B * sum(count.values()) / mean)
             gain = {w: idf[w] * n * (K1 + 1) / (n + size) for w, n in count.items()}
-            whole = sum(gain.values())
+            full = sum(gain.values())
             for w, g in gain.items():
-                self.postings[self.terms[w]].append((item, g / whole))
+                self.postings[self.terms[w]].append((item, g / full))
         blocks = -(-len(items) // BLOCK_ITEMS)
         self.largest = np.zeros((len(held), blocks), np.float32)
         for term, postings in enumerate(self.postings):
@@ -207,13 +222,39 @@ def leaks(texts: list[str | None], index: Index, cache: Terms, match: float, lea
                 yield i, item, start, score, question, answer
 
 
-def _segments(items: DataFrame) -> list[DataFrame]:
+def _item_words(items: DataFrame) -> DataFrame:
+    """(word, size) of every item with words: a row per different word, and one with its number of words."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            own = [w for w in map(normal_words, batch.column(0).to_pylist()) if w]
+            different = [x for w in own for x in set(w)]
+            yield {"word": [None] * len(own) + different, "size": [len(w) for w in own] + [None] * len(different)}
+
+    return arrow_map(items.select("text"), work, "word string, size long")
+
+
+def _indices(items: DataFrame) -> Iterator[Index]:
+    """The index of every segment of the benchmark that holds items with words."""
+
+    def index(segment: DataFrame, whole: Statistics | None = None) -> Index:
+        return Index([(-1 if r[0] is None else r[0], r[1]) for r in segment.collect()], whole)
+
     n, size = items.agg(F.count("*"), F.sum(F.length("text"))).first()
     parts = max(-(-n // SEGMENT_ITEMS), -(-(size or 0) // SEGMENT_CHARACTERS))
     if parts <= 1:
-        return [items] if n else []
-    # a random half more than the mean never comes near the next power of two at these sizes
-    return [items.filter(F.expr(f"pmod(xxhash64(item_id, text), {2 * parts}) = {k}")) for k in range(2 * parts)]
+        found = [index(items)] if n else []
+    else:
+        totals = _item_words(items).groupBy("word").agg(
+            F.count("*").alias("items"), F.sum("size").alias("words"), F.max("size").alias("longest")
+        )
+        totals = materialise(totals, "benchmark_words")
+        whole = totals.filter("word IS NULL").select("items", "words", "longest").first()
+        # a random half more than the mean never comes near the next power of two at these sizes
+        segments = [items.filter(F.expr(f"pmod(xxhash64(item_id, text), {2 * parts}) = {k}")) for k in range(2 * parts if whole else 0)]
+        own = (_item_words(s).select("word").distinct().join(totals.select("word", "items"), "word").collect() for s in segments)
+        found = (index(s, Statistics(*whole, dict(map(tuple, held)))) for s, held in zip(segments, own, strict=True))
+    return (x for x in found if x.ids)
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, match: float = MATCH, least: float = OVERLAP) -> DataFrame:
@@ -230,10 +271,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, match: float = MATCH, least: f
     )
     names = [part.split()[0] for part in schema.split(", ")]
     out = docs.sparkSession.createDataFrame([], schema)
-    for segment in _segments(items):
-        index = Index([(-1 if r[0] is None else r[0], r[1]) for r in segment.collect()])
-        if not index.ids:
-            continue
+    for index in _indices(items):
 
         def work(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[dict]:
             cache = Terms(index.terms)
@@ -254,10 +292,7 @@ def drop_leaks(docs: DataFrame, items: DataFrame, match: float = MATCH, least: f
     """Rows of `docs` in which no item is found, unchanged."""
     at = docs.columns.index("text")
     items = items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).filter("text IS NOT NULL")
-    for segment in _segments(items):
-        index = Index([(-1 if r[0] is None else r[0], r[1]) for r in segment.collect()])
-        if not index.ids:
-            continue
+    for index in _indices(items):
 
         def work(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
             cache = Terms(index.terms)

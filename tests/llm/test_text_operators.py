@@ -225,6 +225,29 @@ def test_changed_and_cut_items_are_found():
         assert quotes(index, shuffled) == [set()] * 20
 
 
+def test_segments_give_the_rows_of_one_index(spark, monkeypatch):
+    rng = random.Random(9)
+    texts = [" ".join(f"t{int(rng.paretovariate(0.6))}" for _ in range(rng.randrange(6, 50))) + "." for _ in range(40)]
+    items = spark.createDataFrame([*enumerate(texts), (None, texts[0] + " z."), (50, "..."), (51, None)], "item_id long, text string")
+    rows = []
+    for k in range(400):
+        words = rng.choice(texts).split()
+        cut = words[: int(len(words) * rng.uniform(0.5, 1))]
+        around = [" ".join(f"t{int(rng.paretovariate(0.6))}" for _ in range(40)) for _ in range(2)]
+        rows.append((k, " ".join([around[0], *cut, around[1]])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def found() -> list:
+        out = decontaminate.find_leaks(docs, items).collect()
+        return sorted(((r.doc_id, -1 if r.item_id is None else r.item_id, r.first_word, *(round(x, 9) for x in r[3:])) for r in out))
+
+    whole = found()
+    monkeypatch.setattr(decontaminate, "SEGMENT_ITEMS", 15)
+    assert found() == whole and len(whole) > 100
+    no_words = spark.createDataFrame([(k, "...") for k in range(40)], "item_id long, text string")
+    assert decontaminate.find_leaks(docs, no_words).count() == 0
+
+
 def test_block_max_search_equals_full_scores():
     rng = random.Random(3)
     items = [(k, " ".join(f"t{rng.randrange(60)}" for _ in range(rng.randrange(3, 25))) + ".") for k in range(90)]
