@@ -282,7 +282,7 @@ def test_pipeline_stages(spark, small):
 
 
 def test_queries_run(spark, small):
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 11)} and SQL.keys() <= QUERIES.keys()
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 14)} and SQL.keys() <= QUERIES.keys()
     contract = {
         "op1": ["query_id", "rank", "vec_id", "score"],
         "op2": ["page_id", "host", "path", "rule", "verdict"],
