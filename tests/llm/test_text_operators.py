@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -95,12 +95,8 @@ def test_personal_data_reports_and_redacts(spark, docs, rows, no_docs):
 
 def components(rows: list[tuple], similarity: float) -> tuple[dict, dict]:
     parts = {d: near_dups.features(near_dups.words_of(t)) for d, t in rows}
-    counts, n = np.zeros(1 << near_dups.DF_BITS, np.int64), 0
-    for found, _ in parts.values():
-        if len(found):
-            counts[np.unique(near_dups.bucket_of(found))] += 1
-            n += 1
-    idf = near_dups.idf_table(counts, n)
+    counts = Counter(f for found, _ in parts.values() for f in found.tolist())
+    idf = near_dups.idf_of({f: n for f, n in counts.items() if n > len(parts) / near_dups.RARE}, len(parts))
     holders = defaultdict(list)
     for doc, (found, _) in parts.items():
         for f in found.tolist():
@@ -135,7 +131,7 @@ def test_near_copies_of_one_text_meet_without_all_pairs(spark, small):
     rows = []
     for i in range(120):
         words = list(base)
-        for at in rng.sample(range(200), 2):
+        for at in rng.sample(range(200), 1):
             words[at] = f"x{i}{at}"
         rows.append((i, " ".join(words)))
     rows += [(200 + i, " ".join(f"o{rng.randrange(10**6)}" for _ in range(80))) for i in range(30)]
@@ -157,19 +153,42 @@ def test_pairs_of_one_template_meet_between_outsiders(spark):
     assert {d: c for d, (c,) in got.items()} == expected
 
 
-def test_prefixes_of_similar_texts_meet():
-    rng = np.random.default_rng(5)
-    met = 0
-    for _ in range(2_000):
-        idf = np.sort(rng.uniform(1, 2, 40))[::-1]
-        a, b = rng.integers(0, 4, (2, 40))
-        b = np.where(rng.random(40) < 0.9, a, b)
-        similar = (np.minimum(a, b) * idf).sum() >= 0.8 * (np.maximum(a, b) * idf).sum()
-        ids = np.arange(40)
-        pa, pb = (near_dups.prefix(ids[c > 0], (c * idf)[c > 0], 0.8) for c in (a, b))
-        assert len(np.intersect1d(pa, pb)) or not similar
-        met += similar
-    assert met > 500
+def test_large_mixed_group_is_not_compared_pair_by_pair(spark, monkeypatch):
+    """400 texts of one template, most of them just below the similarity of each other, some linked."""
+    rng = random.Random(3)
+    base, rows = [f"b{k}" for k in range(300)], []
+    for i in range(400):
+        words = list(base)
+        for at in rng.sample(range(300), rng.choice([1, 4, 8, 14, 20])):
+            words[at] = f"x{i}_{at}"
+        rows.append((i, " ".join(words)))
+    expected, parts = components(rows, near_dups.SIMILARITY)
+    written, keep = [], near_dups.materialise
+
+    def counting(frame, name):
+        out = keep(frame, name)
+        if name == "pairs":
+            written.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dups, "materialise", counting)
+    got = by_id(near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")), "class_id")
+    linked = [d for d, c in expected.items() if sum(x == c for x in expected.values()) > 1]
+    met = [d for d in linked if got[d][0] != d or any(got[x][0] == d for x in linked if x != d)]
+    assert len(met) >= 0.97 * len(linked) > 100
+    assert all(expected[c] == expected[d] for d, (c,) in got.items())
+    assert sum(written) < 40 * len(rows)
+
+
+def test_document_frequencies_are_those_of_the_shingles(spark, rows):
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    counts = Counter(f for _, t in rows for f in near_dups.features(near_dups.words_of(t))[0].tolist())
+    wanted = near_dups.idf_of({f: n for f, n in counts.items() if n > len(rows) / near_dups.RARE}, len(rows))
+    got = near_dups.document_frequencies(frame)
+    assert got.keys.tolist() == wanted.keys.tolist()
+    assert got.values.tolist() == wanted.values.tolist()
+    assert near_dups.idf_of({5: 3}, 30).values == near_dups.idf_of({5: 300}, 3_000).values  # a share, not a size
+    assert near_dups.idf_of({1: 30, 2: 1}, 30).of(np.array([0, 1, 2], np.uint64)).tolist() == pytest.approx([1.5, 1.0, 1.3693], abs=1e-3)
 
 
 def test_samples_agree_as_often_as_texts_are_similar():
@@ -179,7 +198,7 @@ def test_samples_agree_as_often_as_texts_are_similar():
     (fa, ca), (fb, cb) = near_dups.features(words), near_dups.features(other)
     draw = lambda f, c: near_dups.samples(f, np.log(c).astype(np.float32), np.array([0]), 4_000)
     share = float((draw(fa, ca) == draw(fb, cb)).mean())
-    exact = near_dups.weighted_jaccard((fa, ca), (fb, cb), np.ones(1 << near_dups.DF_BITS, np.float32))
+    exact = near_dups.weighted_jaccard((fa, ca), (fb, cb), near_dups.idf_of({}, 1))
     assert abs(share - exact) < 0.04
 
 
