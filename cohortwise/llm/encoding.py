@@ -15,8 +15,11 @@ from array import array
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel
 
-PIECES = 500_000
-"""Entries of a process's piece cache; pieces met after that are encoded each time."""
+PIECES, WORDS = 400_000, 600_000
+"""Entries of a process's caches of pieces and of the words in them; what is met after that is encoded each time."""
+
+SAMPLE = "One two, three.\nFour It's 5.,\nÉté a b"
+"""A vocabulary that does not encode this text piece by piece encodes every text whole."""
 
 _LATIN = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
 
@@ -39,7 +42,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.merge = self.tokenizer.model.tokenize
         self.spaced = isinstance(self.tokenizer.pre_tokenizer, ByteLevel)  # ids of a word depend on the space before
-        self.pieces, self.stops = _Pieces(self.piece), {}
+        self.pieces, self.words, self.stops = _Cache(self.piece, PIECES), _Cache(self._merged, WORDS), {}
+        self.divides = True
+        self.divides = self.ids(SAMPLE) == self.whole(SAMPLE)
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -55,12 +60,14 @@ class Encoder:
         if not word.isalpha() or not (word.isascii() or _LATIN(word)):
             text = " " + piece if spaced else piece
             return None if _ODD.search(text) else self.whole(text)
-        # letters only, so one pre-token: the model merges its bytes without the steps before
-        text = word.lower() if not self.spaced else " " + word if spaced else word
-        tokens = self.merge(text.encode().decode("latin-1").translate(_BYTE_CHARACTERS))
-        ids = array("I", [t.id for t in tokens]).tobytes()
+        ids = self.words[word.lower() if not self.spaced else " " + word if spaced else word]
         return ids if word == piece else ids + self._stops(piece[len(word) :])
 
+    def _merged(self, word: str) -> bytes:
+        """Letters only, so one pre-token: the model merges its bytes without the steps before."""
+        tokens = self.merge(word.encode().decode("latin-1").translate(_BYTE_CHARACTERS))
+        return array("I", [t.id for t in tokens]).tobytes()
+
     def _stops(self, text: str) -> bytes:
         if text not in self.stops:
             self.stops[text] = self.whole(text)
@@ -69,7 +76,7 @@ class Encoder:
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n":
+        if not self.divides or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n":
             return self.whole(text)
         first, *rest = text.replace("\n", " \n").split(" ")
         try:
@@ -78,17 +85,17 @@ class Encoder:
             return self.whole(text)
 
 
-class _Pieces(dict):
+class _Cache(dict):
     """A bounded cache in front of `encode`."""
 
-    def __init__(self, encode):
+    def __init__(self, encode, most: int):
         super().__init__()
-        self.encode = encode
+        self.encode, self.most = encode, most
 
-    def __missing__(self, piece: str) -> bytes | None:
-        ids = self.encode(piece)
-        if len(self) < PIECES:
-            self[piece] = ids
+    def __missing__(self, text: str) -> bytes | None:
+        ids = self.encode(text)
+        if len(self) < self.most:
+            self[text] = ids
         return ids
 
 

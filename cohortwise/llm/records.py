@@ -14,8 +14,9 @@ allows. The mask rotates a CRC-32 right by 15 bits and adds 0xa282ead8, so that
 that holds checksums stays strong. Records are written through Spark's file writer, which commits
 each task's file as a whole and works on any shared store; the line feed is that writer's row end.
 
-The index (Parquet) has a row per record with file, byte offset, byte length and the number of ids
-in all records before it.
+The index (Parquet) comes from reading the files back and checking every frame. It has a row per
+record with file name, byte offset, byte length, the numbers and checksum of its ids, and the number of
+ids in all records before it; the folder may be moved.
 """
 
 from __future__ import annotations
@@ -72,12 +73,16 @@ def read_frame(content: memoryview, at: int) -> tuple[int | None, np.ndarray, in
 def write_records(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1) -> None:
     """Encode every whole text (NULL: empty), append `end_id` and write records in ascending doc_id order.
 
-    File names ascend with doc_id, records in a file too; NULL ids come first, equal ids are ordered
-    by text. The text is shuffled, not the ids, which are larger. An empty table gives no records.
+    The numbers in file names ascend with doc_id, records in a file too; NULL ids come first, and rows
+    with equal ids, in no particular order, are spread over files if they are many. The text is
+    shuffled, not the ids, which are larger. A record is one text however long; an empty table gives no
+    records.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
     size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    ordered = docs.repartitionByRange(1 + size // FILE_CHARACTERS, "doc_id").sortWithinPartitions("doc_id", "text")
+    salted = docs.withColumn("__salt", F.monotonically_increasing_id())
+    dealt = salted.repartitionByRange(1 + size // FILE_CHARACTERS, "doc_id", "__salt")
+    ordered = dealt.sortWithinPartitions("doc_id", "__salt").drop("__salt")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         encode = encoder(tokenizer_path)
@@ -97,7 +102,8 @@ def write_records(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content")
+    files = spark.read.format("binaryFile").load(path)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
 
 
 def scan_records(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
@@ -131,17 +137,17 @@ def scan_records(spark: SparkSession, path: str, with_ids: bool = True) -> DataF
 
 def write_index(spark: SparkSession, path: str, index_path: str) -> None:
     """Scan the record files, check every frame and write the offset index."""
-    scan_records(spark, path, with_ids=False).drop("ids", "ids_crc32").write.parquet(index_path)
+    scan_records(spark, path, with_ids=False).drop("ids").write.parquet(index_path)
 
 
 def read_index(spark: SparkSession, index_path: str) -> DataFrame:
     """The index with `start`: ids of all records before. Only one row per file is summed in order."""
     index = spark.read.parquet(index_path)
-    before = Window.orderBy("__name").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     files = (
         index.groupBy("file")
         .agg(F.sum("n_tokens").alias("__n"))
-        .withColumn("__name", F.element_at(F.split("file", "/"), -1))
+        .withColumn("__part", F.regexp_extract("file", r"part-(\d+)", 1).cast("long"))  # 100000 follows 99999
         .select("file", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
     )
     return index.join(files, "file").withColumn("start", F.col("__before") + F.col("ids_before")).drop("__before")

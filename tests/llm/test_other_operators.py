@@ -230,14 +230,16 @@ def test_records_round_trip(spark, docs, no_docs, tmp_path):
     records.write_index(spark, f"{tmp_path}/r", f"{tmp_path}/i")
     index = records.read_index(spark, f"{tmp_path}/i")
     plain = Tokenizer.from_file(WORDS)
-    wanted, start = [], 0
-    for doc, text in sorted(((r.doc_id, r.text) for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
-        ids = np.array([*plain.encode(text or "", add_special_tokens=False).ids, 1], "<u4").tobytes()
-        wanted.append((doc, start, ids))
-        start += len(ids) // 4
+    encoded = [
+        (r.doc_id, np.array([*plain.encode(r.text or "", add_special_tokens=False).ids, 1], "<u4").tobytes()) for r in docs.collect()
+    ]
     key = lambda r: r[1]
-    got = sorted(((r.doc_id, r.start, bytes(r.ids)) for r in records.read_records(spark, f"{tmp_path}/r", index).collect()), key=key)
-    assert got == wanted
+    wanted = sorted(((r.doc_id, r.start, bytes(r.ids)) for r in records.read_records(spark, f"{tmp_path}/r", index).collect()), key=key)
+    place = lambda doc: -1 if doc is None else doc
+    assert [place(d) for d, _, _ in wanted] == sorted(place(d) for d, _ in encoded)
+    assert sorted((place(d), i) for d, _, i in wanted) == sorted((place(d), i) for d, i in encoded)
+    assert [s for _, s, _ in wanted] == [sum(len(i) // 4 for _, _, i in wanted[:k]) for k in range(len(wanted))]
+    assert {(r.start, r.n_tokens, r.ids_crc32) for r in index.collect()} == {(s, len(i) // 4, zlib.crc32(i)) for _, s, i in wanted}
     some = index.filter("start % 3 = 0").orderBy(F.rand(4))
     picked = sorted(((r.doc_id, r.start, bytes(r.ids)) for r in records.read_records(spark, f"{tmp_path}/r", some).collect()), key=key)
     assert picked == [w for w in wanted if w[1] % 3 == 0]
@@ -247,6 +249,20 @@ def test_records_round_trip(spark, docs, no_docs, tmp_path):
     assert records.scan_records(spark, f"{tmp_path}/n").count() == 0
 
 
+def test_starts_follow_file_numbers_and_many_rows_without_id_are_spread(spark, docs, tmp_path, monkeypatch):
+    schema = "file string, byte_offset long, byte_length long, ids_before long, doc_id long, n_tokens long, ids_crc32 long"
+    files = [(f"part-{k:05d}-x.txt", 0, 9, 0, k, 10 + k % 2, 0) for k in (100_001, 99_999, 100_000, 99_998)]
+    spark.createDataFrame(files, schema).write.parquet(f"{tmp_path}/i")
+    starts = {r.doc_id: r.start for r in records.read_index(spark, f"{tmp_path}/i").collect()}
+    assert starts == {99_998: 0, 99_999: 10, 100_000: 21, 100_001: 31}
+    monkeypatch.setattr(records, "FILE_CHARACTERS", 2_000)
+    nameless = spark.range(400).selectExpr("CAST(NULL AS LONG) AS doc_id", "'a b c d e f g h i j k l m n o p q r s t' AS text").repartition(4)
+    records.write_records(nameless, f"{tmp_path}/r", WORDS)
+    sizes = [r["count"] for r in records.scan_records(spark, f"{tmp_path}/r").groupBy("file").count().collect()]
+    assert sum(sizes) == 400
+    assert max(sizes) < 200
+
+
 def test_damaged_records_are_refused():
     good = records.frame(records.payload_of(7, np.array([1, 70_000], "<u4"), 4))
     doc, ids, end = records.read_frame(memoryview(good), 0)
