@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from cohortwise.llm.common import arrow_map
 from cohortwise.llm.encoding import encoder
 
-BLOCK = 2_048
+BLOCK = 512
 """Examples that are packed together."""
 
 
@@ -46,21 +46,23 @@ class Pool:
     """Examples not yet placed, a row of demands each; those that exceed the capacity on their own are not open."""
 
     def __init__(self, demand: np.ndarray, capacity: np.ndarray):
-        self.demand, self.open = demand, (demand <= capacity).all(axis=1)
+        self.demand = np.ascontiguousarray(demand.T)  # a row per limit
+        self.open = (demand <= capacity).all(axis=1)
         scarce = demand.mean(axis=0) / capacity if len(demand) else capacity
         self.scale = scarce / capacity**2
 
     def best(self, left: np.ndarray) -> int | None:
         """The fitting example with the largest dot product with `left`; the first of equal ones."""
-        fits = self.open & (self.demand <= left).all(axis=1)
-        if not fits.any():
-            return None
-        score = self.demand @ (left * self.scale)
-        return int(np.where(fits, score, -1.0).argmax())
+        score = (left * self.scale) @ self.demand
+        for demand, room in zip(self.demand, left.tolist(), strict=True):
+            score[demand > room] = -1
+        score[~self.open] = -1
+        k = int(score.argmax()) if len(score) else 0
+        return k if len(score) and score[k] >= 0 else None
 
     def largest(self) -> int | None:
         """The open example with the most tokens."""
-        return int(np.where(self.open, self.demand[:, 0], -1.0).argmax()) if self.open.any() else None
+        return int(np.where(self.open, self.demand[0], -1.0).argmax()) if self.open.any() else None
 
 
 def pack_whole(demand: np.ndarray, limits: Limits) -> list[list[int]]:
@@ -91,15 +93,15 @@ def pack_cut(lengths: np.ndarray, limits: Limits) -> list[list[tuple[int, int, i
     capacity = np.array([size, limits.segments], np.float64)
     rows = np.column_stack([lengths, np.ones(len(lengths))]).astype(np.float64)
     pool, out = Pool(rows, capacity), []
-    pool.open = lengths > 0
+    pool.open, rest = lengths > 0, pool.demand[0]
     start = np.zeros(len(lengths), np.int64)
 
     def take(k: int, most: int, content: list) -> int:
-        n = min(int(rows[k, 0]), most)
+        n = min(int(rest[k]), most)
         content.append((k, int(start[k]), n))
         start[k] += n
-        rows[k, 0] -= n
-        pool.open[k] = rows[k, 0] > 0
+        rest[k] -= n
+        pool.open[k] = rest[k] > 0
         return n
 
     while pool.open.any():
@@ -120,7 +122,7 @@ def pack_cut(lengths: np.ndarray, limits: Limits) -> list[list[tuple[int, int, i
                 back = min(n, over)
                 over -= back
                 start[k] -= back
-                rows[k, 0] += back
+                rest[k] += back
                 pool.open[k] = True
                 if n > back:
                     content.append((k, at, n - back))
