@@ -122,7 +122,7 @@ def with_defaults(df: DataFrame, exprs: Mapping[str, Column]) -> DataFrame:
 
 
 def with_row_id(df: DataFrame, name: str = "id_student") -> DataFrame:
-    """A unique id per row without a shuffle. Ids have gaps and follow the partitions, not a global order."""
+    """A unique id per row without a shuffle. Ids have gaps and follow the partitions; `with_positions` numbers rows in an order."""
     return df.withColumn(name, F.monotonically_increasing_id())
 
 

@@ -37,12 +37,12 @@ def logistic(z: Column) -> Column:
 
 
 class NewtonSums:
-    """Per (key, mu): weighted log loss `sum_loss`, gradient `g_i` and Hessian triangle `h_i_j`.
+    """Per (key, mu): weighted log loss `sum_loss`, gradient `g_i` and, unless left out, Hessian triangle `h_i_j`.
 
     The expressions are built once and applied in every iteration.
     """
 
-    def __init__(self, key: str, features: Sequence[str], label: str, beta: str):
+    def __init__(self, key: str, features: Sequence[str], label: str, beta: str, hessian: bool = True):
         p = len(features)
         x = [f"`{name}`" for name in features] + ["1.0D"]
         self.key, self.linear = key, _linear(features, beta)
@@ -54,7 +54,7 @@ class NewtonSums:
         self.sums = [
             F.expr(f"sum(__w * ({loss})) AS sum_loss"),
             *[F.expr(f"sum(__r * {x[i]}) AS g_{i}") for i in range(p + 1)],
-            *[F.expr(f"sum(__c * {x[i]} * {x[j]}) AS h_{i}_{j}") for i in range(p + 1) for j in range(i, p + 1)],
+            *[F.expr(f"sum(__c * {x[i]} * {x[j]}) AS h_{i}_{j}") for i in range(p + 1) for j in range(i, p + 1) if hessian],
         ]
 
     def __call__(self, rows: DataFrame) -> DataFrame:
@@ -63,8 +63,9 @@ class NewtonSums:
         return at.groupBy(self.key, "mu").agg(*self.sums)
 
 
-def _update(p: int, l2: float, tol: float):
+def _update(p: int, l2: float, tol: float, prox: float, center: Sequence[float]):
     """Batch function: one accepted Newton step, or a halved one where the loss rose."""
+    pull = np.array(center, float)
     ij = [(i, j) for i in range(p + 1) for j in range(i, p + 1)]
 
     def stack(values: pd.Series) -> np.ndarray:
@@ -78,15 +79,16 @@ def _update(p: int, l2: float, tol: float):
             beta, trial, move = stack(b["beta"]), stack(b["trial"]), stack(b["move"])
             ridge = np.zeros((m, p + 1))
             ridge[:, :p] = l2 * (1.0 + b["mu"].to_numpy(float))[:, None]
-            loss = b["sum_loss"].to_numpy(float) + 0.5 * (ridge * trial**2).sum(axis=1)
-            grad = b[[f"g_{i}" for i in range(p + 1)]].to_numpy(float) + ridge * trial
+            away = trial - pull
+            loss = b["sum_loss"].to_numpy(float) + 0.5 * (ridge * trial**2 + prox * away**2).sum(axis=1)
+            grad = b[[f"g_{i}" for i in range(p + 1)]].to_numpy(float) + ridge * trial + prox * away
             hess = np.empty((m, p + 1, p + 1))
             for i, j in ij:
                 hess[:, i, j] = hess[:, j, i] = b[f"h_{i}_{j}"].to_numpy(float)
-            hess[:, np.arange(p + 1), np.arange(p + 1)] += ridge
+            hess[:, np.arange(p + 1), np.arange(p + 1)] += ridge + prox
             # separable groups without a penalty have a vanishing Hessian: keep it invertible
             floor = 1e-10 * (1e-6 + np.trace(hess, axis1=1, axis2=2))
-            hess[:, np.arange(p + 1), np.arange(p + 1)] += np.where(ridge[:, :1] > 0, 0.0, floor[:, None])
+            hess[:, np.arange(p + 1), np.arange(p + 1)] += np.where(ridge[:, :1] + prox > 0, 0.0, floor[:, None])
             previous = b["loss"].to_numpy(float)
             scale = b["scale"].to_numpy(float)
             ok = np.isnan(previous) | (loss <= previous + ACCEPT_SLACK * (1.0 + np.abs(previous)))
@@ -124,11 +126,16 @@ def fit_grouped_lr(
     balanced: bool = True,
     max_iter: int = 50,
     tol: float = 1e-6,
+    prox: float = 0.0,
+    center: Sequence[float] | None = None,
+    start: DataFrame | None = None,
 ) -> DataFrame:
     """Rows (key, mu, coef, intercept, n_train, trainable, converged, n_iter).
 
     Minimises the class-balanced log loss plus l2 * (1 + mu) / 2 * |coef|^2 per group; the intercept
-    is free. Groups with one class or fewer than two rows get a zero model and trainable = false.
+    is free. With `prox`, prox / 2 times the squared distance of all p + 1 numbers from `center` is added.
+    `start` (key, mu, coef, intercept) gives the models from which the steps begin, zero where it has none.
+    Groups with one class or fewer than two rows get a zero model and trainable = false.
     A group is solved once a Newton step is shorter than `tol`; that step is still taken, which
     leaves an error of the order of its square.
     `train` holds scaled, complete rows and is scanned in every iteration: pass a written or cached table.
@@ -144,13 +151,17 @@ def fit_grouped_lr(
         ((F.col("n_pos") > 0) & (F.col("n_neg") > 0)).alias("trainable"),
     )
     groups = materialise(groups, "groups")
-    state = groups.filter("trainable").select(
+    begun = groups.filter("trainable").withColumn("__begin", zeros)
+    if start is not None:
+        given = start.select(key, "mu", F.concat("coef", F.array("intercept")).alias("__given"))
+        begun = begun.join(given, [key, "mu"], "left").withColumn("__begin", F.coalesce("__given", "__begin"))
+    state = begun.select(
         key,
         "mu",
         "w_pos",
         "w_neg",
-        zeros.alias("beta"),
-        zeros.alias("trial"),
+        F.col("__begin").alias("beta"),
+        F.col("__begin").alias("trial"),
         zeros.alias("move"),
         F.lit(1.0).alias("scale"),
         F.lit(float("nan")).alias("loss"),
@@ -160,7 +171,7 @@ def fit_grouped_lr(
     )
     schema = state.schema
     sums = NewtonSums(key, features, label, "trial")
-    update = _update(p, l2, tol)
+    update = _update(p, l2, tol, prox, center if center is not None else [0.0] * (p + 1))
     solved: list[DataFrame] = []
     for iteration in range(max_iter):
         at_trial = sums(rows.join(state.select(key, "mu", "w_pos", "w_neg", "trial"), key))
@@ -195,6 +206,20 @@ def gradient_at_zero(train: DataFrame, key: str, features: Sequence[str], label:
     )
 
 
+def residuals(
+    train: DataFrame, models: DataFrame, key: str, features: Sequence[str], label: str = "label", l2: float = 1.0
+) -> DataFrame:
+    """Rows (key, mu, residual): the largest entry of the balanced objective's gradient at each trainable model."""
+    p = len(features)
+    fitted = models.filter("trainable").select(key, "mu", F.concat("coef", F.array("intercept")).alias("__beta"))
+    weights = class_weights(train, label, [key]).select(key, "w_pos", "w_neg")
+    rows = train.select(key, label, *features).join(fitted.join(weights, key), key)
+    sums = NewtonSums(key, features, label, "__beta", hessian=False)(rows).join(fitted, [key, "mu"])
+    ridge = F.lit(l2) * (1 + F.col("mu"))
+    entries = [F.abs(F.col(f"g_{i}") + (ridge * F.col("__beta")[i] if i < p else F.lit(0.0))) for i in range(p + 1)]
+    return sums.select(key, "mu", F.greatest(*entries).alias("residual"))
+
+
 def score(df: DataFrame, models: DataFrame, features: Sequence[str], on: Sequence[str] = ("client_id",)) -> DataFrame:
     """Add `prob` and `pred` of each row under its group's model (coef, intercept)."""
     out = df.join(models.select(*on, F.concat("coef", F.array("intercept")).alias("__beta")), list(on))

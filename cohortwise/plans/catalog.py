@@ -4,19 +4,32 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortwise.functions import scalar
 from cohortwise.functions.scalar import tidy
-from cohortwise.operators import cleaning, combining, features, grouped_lr, metrics, pooled, profiling, scaling, splitting
+from cohortwise.operators import (
+    cleaning,
+    combining,
+    features,
+    grouped_lbfgs,
+    grouped_lr,
+    metrics,
+    pooled,
+    profiling,
+    scaling,
+    score_histogram,
+    splitting,
+)
 from cohortwise.operators.attach import attach
+from cohortwise.operators.positions import with_positions
 from cohortwise.operators.selection import exact_median
 from cohortwise.operators.validation import validate
-from cohortwise.plans import prepare, results, rounds
+from cohortwise.plans import prepare, proximal, results, rounds
 from cohortwise.session import materialise, path_state, scratch_path, tune
-from cohortwise.sources import tables
-from cohortwise.sources.specs import COURSE_SPECS, FEATURES
+from cohortwise.sources import tables, tolerant
+from cohortwise.sources.specs import COURSE_SPECS, ENGAGEMENT_SPEC, FEATURES, GRADE_SPECS, RANGE_RULES
 from cohortwise.sources.star import StarSource
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -118,10 +131,58 @@ def results_round_trip(src: StarSource) -> DataFrame:
 def source_status(src: StarSource) -> DataFrame:
     """Row counts of readable sources; a missing one becomes a report row."""
     names = ["customer", "orders", "lineitem", "events", "not_there"]
-    status = tables.source_status(src.spark, {n: f"{src.root}/{n}.parquet" for n in names})
+    status = tolerant.source_status(src.spark, {n: f"{src.root}/{n}.parquet" for n in names})
     return status.select("dataset", "status", "n_rows")
 
 
+def _scanned(src: StarSource) -> dict[str, DataFrame]:
+    """The grades and engagement tables written as header files with some bad tokens, and scanned by their specs."""
+    bad = lambda c, n, token: F.when(F.col("id_student") % n == 0, F.lit(token)).otherwise(F.col(c).cast("string"))
+    out = {}
+    for name, spec in {**GRADE_SPECS, "engagement": ENGAGEMENT_SPEC}.items():
+        if name == "engagement":
+            rows = src.xapi().withColumns({"raisedhands": bad("raisedhands", 5, "?"), "Discussion": bad("Discussion", 7, "")})
+        else:
+            rows = src.uci().filter(F.col("subject") == name).drop("subject")
+            rows = rows.withColumns({"G1": bad("G1", 7, "?"), "absences": bad("absences", 11, "n/a"), "health": bad("health", 10, " ")})
+        path = f"{scratch_path(src.spark, 'raw')}/{spec.file}"
+        rows.write.options(header=True, sep=spec.sep).csv(path)
+        out[name] = tolerant.scan(src.spark, path, spec)
+    return out
+
+
+@query
+def tolerant_scan(src: StarSource) -> DataFrame:
+    """Files with bad tokens to Parquet; rows, NULLs and rejects counted by the write itself."""
+    zone = scratch_path(src.spark, "zone")
+    specs = {**GRADE_SPECS, "engagement": ENGAGEMENT_SPEC}
+    reports = [
+        tolerant.write_checked(df, f"{zone}/{name}", name, specs[name].required) for name, df in _scanned(src).items()
+    ]
+    return cleaning.union_all(reports)
+
+
+@query
+def rejected_tokens(src: StarSource) -> DataFrame:
+    """Every bad token with its column and number of rows."""
+    parts = [tolerant.rejected_tokens(df).withColumn("dataset", F.lit(name)) for name, df in _scanned(src).items()]
+    return cleaning.union_all(parts)
+
+
+@query
+def row_positions(src: StarSource) -> DataFrame:
+    """P20: customers numbered by balance, largest first, then key."""
+    people = src.table("customer").select("c_custkey", "c_acctbal")
+    return with_positions(people, [F.col("c_acctbal").desc(), "c_custkey"], "row_id")
+
+
+@query
+def range_rules_scores(src: StarSource) -> DataFrame:
+    """The declared ranges on the score table."""
+    flagged = cleaning.range_rules(src.sa(), RANGE_RULES)
+    return flagged.groupBy("in_range").agg(F.count("*").alias("n"), F.sum("score").alias("total"))
+
+
 @query
 def clean_activity(src: StarSource) -> DataFrame:
     """P1-P4 on the activity table."""
@@ -417,6 +478,18 @@ def auc_by_client(src: StarSource) -> DataFrame:
     return rounded(metrics.auc(src.features(), score="total_clicks", by=["client_id"]), "auc")
 
 
+@query
+def auc_binned(src: StarSource) -> DataFrame:
+    """M2 against M1 per course: area from a histogram of 50 bins, its bound, and whether the exact area is inside."""
+    rows = materialise(src.features().select("client_id", "label", "days_active"), "scores")
+    rows = rows.withColumn("prob", F.col("days_active") / (F.col("days_active") + F.lit(30.0)))
+    binned = score_histogram.binned_auc(rows, by=["client_id"], bins=50)
+    exact = metrics.auc(rows, score="prob", by=["client_id"]).select("client_id", F.col("auc").alias("exact"))
+    inside = (F.abs(F.col("exact") - F.col("auc")) <= F.col("error_bound") + 1e-12).cast("int").alias("inside")
+    out = binned.join(exact, "client_id").select("client_id", "n_pos", "n_neg", "auc", "error_bound", inside)
+    return rounded(out, "auc", "error_bound")
+
+
 @query
 def confusion_metrics(src: StarSource) -> DataFrame:
     """A21, A22, M3, M5 per course."""
@@ -549,6 +622,38 @@ def local_logit_full(src: StarSource) -> DataFrame:
     return models.select("client_id", "coef", "intercept", "n_train", "trainable", "converged")
 
 
+@query
+def local_logit_residual(src: StarSource) -> DataFrame:
+    """L9 with all nine features: whether the objective's gradient vanishes at every fitted model."""
+    cols = FEATURES["oulad"]
+    train = _train(_client_rows(src, cols))
+    models = materialise(grouped_lr.fit_grouped_lr(train, "client_id", cols, mus=(0.0, 0.1)), "models")
+    found = grouped_lr.residuals(train, models, "client_id", cols)
+    solved = F.coalesce(F.col("residual") < 1e-6, F.lit(False)).cast("int").alias("solved")
+    return models.join(found, ["client_id", "mu"], "left").select("client_id", "mu", "n_train", "trainable", solved)
+
+
+@query
+def course_steps(src: StarSource) -> DataFrame:
+    """At most ten quasi-Newton steps per course with more than 50 rows, from a padded two-feature model.
+
+    Reports the rows, the budget kept, and whether the loss fell below that of the zero model.
+    """
+    cols = ["total_clicks", "days_active", "avg_score"]
+    rows = cleaning.complete_features(cleaning.min_group(src.features(), "client_id", 50, strict=True), cols)
+    scaled = scaling.standardise(rows.select("client_id", "label", *cols), cols, by=["client_id"], fit_on="all")
+    rows = materialise(scaled, "rows")
+    short = grouped_lbfgs.fit_grouped_lbfgs(rows, "client_id", cols[:2], budget=2, l2=0.0, balanced=False)
+    models = grouped_lbfgs.fit_grouped_lbfgs(rows, "client_id", cols, budget=10, l2=0.0, balanced=False, start=short)
+    return models.select(
+        "client_id",
+        "n_train",
+        "trainable",
+        (F.col("n_steps") <= 10).cast("int").alias("in_budget"),
+        (F.col("loss") < F.col("n_train") * F.log(F.lit(2.0))).cast("int").alias("improved"),
+    )
+
+
 @query
 def course_logit(src: StarSource) -> DataFrame:
     """Ten unpenalised steps per course with more than 50 rows, three features."""
@@ -587,6 +692,18 @@ def fed_rounds_small(src: StarSource) -> DataFrame:
     return rounded(rounds.run_rounds(_engagement_rows(src), ENGAGEMENT_PAIR), *metrics.METRICS)
 
 
+@query
+def proximal_path(src: StarSource) -> DataFrame:
+    """The combined model of three rounds whose local fits are pulled towards it, two features."""
+    return rounded(proximal.proximal_path(_train(_client_rows(src, PAIR)), PAIR, rounds=3), "value")
+
+
+@query
+def proximal_rounds(src: StarSource) -> DataFrame:
+    """The same rounds on the test rows of every course."""
+    return rounded(proximal.proximal_rounds(_client_rows(src, PAIR), PAIR, rounds=3), *metrics.METRICS)
+
+
 @query
 def client_status(src: StarSource) -> DataFrame:
     """Eligible groups at three thresholds."""
@@ -632,6 +749,24 @@ def pooled_models(src: StarSource) -> DataFrame:
     return rounded(out, *metrics.METRICS)
 
 
+@query
+def pooled_audit(src: StarSource) -> DataFrame:
+    """Sizes, confusion sums and the one best of the three candidates on all nine features."""
+    found = pooled.compare_models(_pooled_rows(src.learners(), FEATURES["oulad"]), FEATURES["oulad"], pooled.SCALED_MODELS)
+    all_models = Window.partitionBy(F.lit(0))  # three rows
+    found = found.withColumns({"top": F.max("auc").over(all_models), "n_best": F.count_if("is_best").over(all_models)})
+    held = F.abs(F.col("accuracy") * F.col("n_test") - (F.col("tp") + F.col("tn"))) < 1e-6
+    return found.select(
+        "model",
+        "n_train",
+        (F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")).alias("n_cells"),
+        (F.col("tp") + F.col("fn")).alias("n_positive"),
+        held.cast("int").alias("consistent"),
+        (~F.col("is_best") | (F.col("auc") == F.col("top"))).cast("int").alias("best_is_top"),
+        "n_best",
+    )
+
+
 @query
 def pooled_models_scaled(src: StarSource) -> DataFrame:
     """L4-L7 on scaled, stratified rows."""

@@ -22,6 +22,7 @@ class DatasetSpec:
     schema: T.StructType | None = None
     # order in which a surviving row is preferred, largest first
     prefer: tuple[str, ...] = field(default=())
+    sep: str = ","
 
 
 # Files, required columns and deduplication keys of the four course tables.
@@ -99,6 +100,34 @@ COURSE_SPECS = {
     ),
 }
 
+# The engagement file, and the grades files of both subjects.
+ENGAGEMENT_SPEC = DatasetSpec(
+    "engagement",
+    "xapi/xAPI-Edu-Data.csv",
+    ("NationalITy", "raisedhands", "VisITedResources", "AnnouncementsView", "Discussion", "Class"),
+    (),
+    _schema(
+        *[(c, _STRING) for c in ("gender", "NationalITy", "PlaceofBirth", "StageID", "GradeID", "SectionID", "Topic", "Semester", "Relation")],
+        *[(c, _LONG) for c in ("raisedhands", "VisITedResources", "AnnouncementsView", "Discussion")],
+        *[(c, _STRING) for c in ("ParentAnsweringSurvey", "ParentschoolSatisfaction", "StudentAbsenceDays", "Class")],
+    ),
+)
+_GRADES = _schema(
+    *[(c, _STRING) for c in ("school", "sex")],
+    ("age", _INT),
+    *[(c, _STRING) for c in ("address", "famsize", "Pstatus")],
+    *[(c, _INT) for c in ("Medu", "Fedu")],
+    *[(c, _STRING) for c in ("Mjob", "Fjob", "reason", "guardian")],
+    *[(c, _INT) for c in ("traveltime", "studytime", "failures")],
+    *[(c, _STRING) for c in ("schoolsup", "famsup", "paid", "activities", "nursery", "higher", "internet", "romantic")],
+    *[(c, _INT) for c in ("famrel", "freetime", "goout", "Dalc", "Walc", "health", "absences", "G1", "G2", "G3")],
+)
+_GRADE_COLUMNS = ("school", "G1", "G2", "G3", "studytime", "failures", "Medu", "Fedu", "health", "absences", "schoolsup", "famsup")
+GRADE_SPECS = {
+    "math": DatasetSpec("math", "uci/student-mat.csv", _GRADE_COLUMNS, (), _GRADES, sep=";"),
+    "portuguese": DatasetSpec("portuguese", "uci/student-por.csv", _GRADE_COLUMNS, (), _GRADES, sep=";"),
+}
+
 # Accepted ranges, and the feature list of each dataset.
 RANGE_RULES = {"sum_click": (1, None), "date": (-100, 300), "score": (0, 100)}
 FEATURES = {

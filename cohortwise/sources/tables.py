@@ -16,12 +16,15 @@ SEPARATORS = (";", ",")
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, sep: str = ",") -> DataFrame:
-    """Header CSV scan. With a schema, columns are matched to the header by name; without, types are inferred."""
+    """Header CSV scan. With a schema, columns are matched to the header by name; without, types are inferred.
+
+    A token that does not fit its type is NULL; `tolerant.scan` also reports it.
+    """
     reader = spark.read.option("header", True).option("sep", sep)
     if schema is None:
         return reader.option("inferSchema", True).csv(path)
     raw = reader.csv(path)
-    return raw.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields if f.name in raw.columns])
+    return raw.select(*[F.col(f.name).try_cast(f.dataType) for f in schema.fields if f.name in raw.columns])
 
 
 def read_delimited(
@@ -75,22 +78,6 @@ def run_all(
     return {name: op(spec) for name, spec in specs.items()}
 
 
-def source_status(spark: SparkSession, paths: Mapping[str, str], fmt: str = "parquet") -> DataFrame:
-    """One row per source: readable or not, the row count, and the reader's message."""
-    parts = []
-    for name, path in paths.items():
-        try:  # counting reads every part file, so a broken one shows here and not later
-            n = spark.read.format(fmt).option("header", True).load(path).count()
-            row = (name, "ok", n, "")
-        except Exception as error:  # a missing or unreadable source becomes a report row
-            row = (name, "unreadable", None, str(error))
-        parts.append(spark.createDataFrame([row], "dataset string, status string, n_rows bigint, message string"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
-
-
 def register(spark: SparkSession, views: Mapping[str, DataFrame]) -> None:
     for name, df in views.items():
         df.createOrReplaceTempView(name)

