@@ -1,16 +1,25 @@
 """Masked pseudo-likelihood of documents with a bidirectional window network.
 
-The probability of a word given its neighbours is P(class | two words on either side) * P(word |
-class). Words are hashed into 2^18 buckets; the corpus counts of all buckets divide them into CLASSES
-classes of about equal mass, so frequent words have a class of their own. The first factor is a
-network: an embedding per class and relative position, their sum through tanh, and a softmax over
-classes. The second comes from the counts. Places beyond a document's ends are a class of their own.
-
-The network is trained in numpy on every token of the corpus: each task runs Adam over its documents
-from common starting weights, and the weights are averaged by tokens (one round of parameter
-averaging). Counts and weights are summed by Spark; what reaches the driver has a fixed size.
-
-A document's pseudo-log-likelihood is the sum over its words of the logarithm of that probability.
+Every word is predicted from the two words on either side. A word is reached in three steps, each
+with probabilities that add up to one: a group of leaves, a leaf of the group, the word in its leaf.
+
+1. Bundles. Documents are read once; about `BUNDLE_WORDS` words make one row: the different words as
+   64-bit hashes with their counts, and the text as positions in that list.
+2. Words. The exact count of every word of the corpus is a Spark table; it grows with the corpus.
+3. Leaves. V different words have at most 3 * sqrt(V) + 252 leaves: words with at least 1/sqrt(V) of
+   all occurrences have one each, the others are divided by frequency and, where many words are about
+   equally frequent, by hash. So leaves grow finer with the corpus, and the rule needs on the driver at
+   most sqrt(V) frequent words, 252 classes of frequency and the size of every leaf.
+4. Codes. Every bundle gets the counts of its own words by joins and stores the leaf of every word.
+   Neither the table of words nor a text reaches the driver or one task as a whole.
+5. Network. An embedding per leaf and relative position, their sum through tanh, a softmax over groups
+   and one over the leaves of the word's group. It is trained in numpy on every word of the corpus:
+   each task runs Adam over its bundles from common starting weights, and the weights are averaged by
+   words (one round of parameter averaging). Its weights grow with sqrt(V).
+
+P(word | leaf) is (n + 1) / (sum of n + number of words of the leaf + 1); what is left is for unseen
+words. Places beyond a document's ends are a context of their own. A document's pseudo-log-likelihood
+is the sum of the logarithms over its words.
 """
 
 from __future__ import annotations
@@ -20,75 +29,243 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortwise.llm.common import arrow_map, hash_words, split_words
+from cohortwise.llm.common import arrow_map, arrow_schema, hash_words, materialise, record_batch, split_words
 
-BUCKET_BITS = 18
-CLASSES, HIDDEN = 64, 16
+HIDDEN = 16
 OFFSETS = (-2, -1, 1, 2)
 SIDE = 2
-BATCH = 2_048
-RATE = 0.01
-SUB_BATCH = 200
+BUNDLE_WORDS = 2**18
+SMALLEST_BATCH = 2_048
+RATE = 0.02
+BINS = 4 * 63
+"""Classes of frequency: four for every doubling of the count."""
 HIGHEST = np.float32(60)
 """Logits are cut here, so that exponentials stay in range."""
 
+_BUNDLE = "bundle long, doc_ids array<long>, sizes array<long>, words array<long>, counts array<long>, places binary"
+_CODED = "doc_ids array<long>, sizes array<long>, inside array<double>, leaves binary"
+_SCORES = "doc_id long, n_words long, log_likelihood double, mean_log_likelihood double"
+
+
+def bundles_of(docs: DataFrame) -> DataFrame:
+    """Documents as rows of about BUNDLE_WORDS words; written, so that a bundle keeps its number."""
+
+    def bundle(number: int, ids: list, texts: list[list[bytes]]) -> dict:
+        words, places, counts = np.unique(
+            hash_words([w for t in texts for w in t]).view(np.int64), return_inverse=True, return_counts=True
+        )
+        return {
+            "bundle": [number],
+            "doc_ids": [ids],
+            "sizes": [[len(t) for t in texts]],
+            "words": [words],
+            "counts": [counts],
+            "places": [places.astype("<u4").tobytes()],
+        }
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        number = TaskContext.get().partitionId() << 33
+        ids, texts, size = [], [], 0
+        for batch in batches:
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids.append(doc)
+                texts.append(split_words(text))
+                size += len(texts[-1])
+                if size >= BUNDLE_WORDS:
+                    yield bundle(number, ids, texts)
+                    number, ids, texts, size = number + 1, [], [], 0
+        if ids:
+            yield bundle(number, ids, texts)
+
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return materialise(arrow_map(rows, work, _BUNDLE), "bundles")
+
+
+def word_counts(bundles: DataFrame) -> DataFrame:
+    """(word, n): exact occurrences of every word hash of the corpus."""
+    rows = bundles.selectExpr("inline(arrays_zip(words, counts))")
+    return materialise(rows.groupBy(F.col("words").alias("word")).agg(F.sum("counts").alias("n")), "word_counts")
+
+
+def bins_of(n: np.ndarray) -> np.ndarray:
+    return np.floor(4 * np.log2(np.maximum(n, 1))).astype(np.int64)
+
+
+@dataclass
+class Leaves:
+    """Rule from (word, count) to leaf, most frequent words first, and what every leaf holds."""
+
+    heads: np.ndarray  # sorted hashes of the words with a leaf of their own
+    head_leaf: np.ndarray
+    first: np.ndarray  # per class of frequency: its first leaf
+    splits: np.ndarray  # and its number of leaves
+    occurrences: np.ndarray  # per leaf
+    different: np.ndarray
+
+    @property
+    def size(self) -> int:
+        return int(len(self.heads) + self.splits.sum())
+
+    def of(self, words: np.ndarray, n: np.ndarray) -> np.ndarray:
+        bins = bins_of(n)
+        splits = np.maximum(self.splits[bins], 1)
+        leaf = self.first[bins] + (words.view(np.uint64) % splits.astype(np.uint64)).astype(np.int64)
+        if len(self.heads):
+            at = np.minimum(np.searchsorted(self.heads, words), len(self.heads) - 1)
+            leaf = np.where(self.heads[at] == words, self.head_leaf[at], leaf)
+        return leaf
 
-def buckets_of(words: list[bytes]) -> np.ndarray:
-    return (hash_words(words) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+    def log_inside(self, leaf: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """log P(word | leaf)."""
+        return np.log((n + 1) / (self.occurrences[leaf] + self.different[leaf] + 1))
 
+    def log_share(self) -> np.ndarray:
+        return np.log((self.occurrences + 1) / (self.occurrences + 1).sum())
 
-def corpus_counts(docs: DataFrame) -> np.ndarray:
-    """Occurrences per word bucket over all whole texts."""
+
+def _totals(words: DataFrame, size: int, place) -> tuple[np.ndarray, np.ndarray]:
+    """Occurrences and different words per place, at most `size` places; `place` maps words and counts to it."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        counts = np.zeros(1 << BUCKET_BITS, np.int64)
+        n, different = np.zeros(size, np.int64), np.zeros(size, np.int64)
         for batch in batches:
-            for text in batch.column(1).to_pylist():
-                np.add.at(counts, buckets_of(split_words(text)), 1)
-        used = np.flatnonzero(counts)
-        yield {"bucket": used, "n": counts[used]}
-
-    summed = arrow_map(docs, work, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(1 << BUCKET_BITS, np.int64)
-    out[summed.column("bucket").to_numpy()] = summed.column("n").to_numpy()
+            own = batch.column(1).to_numpy()
+            at = place(batch.column(0).to_numpy(), own)
+            np.add.at(n, at, own)
+            different += np.bincount(at, minlength=size)
+        used = np.flatnonzero(different)
+        yield {"place": used, "n": n[used], "different": different[used]}
+
+    rows = arrow_map(words.select("word", "n"), work, "place long, n long, different long").groupBy("place")
+    found = rows.agg(F.sum("n").alias("n"), F.sum("different").alias("different")).toArrow()
+    out = np.zeros(size, np.int64), np.zeros(size, np.int64)
+    for values, name in zip(out, ("n", "different"), strict=True):
+        values[found.column("place").to_numpy()] = found.column(name).to_numpy()
     return out
 
 
-def classes_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Class of each bucket, log P(bucket | class) with one added to each count, and log P(class)."""
-    order = np.lexsort((np.arange(len(counts)), -counts))
-    mass = np.cumsum(counts[order]) - counts[order] / 2
-    classes = np.empty(len(counts), np.uint8)
-    classes[order] = np.minimum(CLASSES * mass / max(mass[-1], 1), CLASSES - 1)
-    whole = np.bincount(classes, counts + 1, CLASSES)
-    inside = np.log((counts + 1) / whole[classes])
-    return classes, inside.astype(np.float32), np.log((whole + 1) / (whole + 1).sum())
+def leaves_of(words: DataFrame) -> Leaves:
+    different, total = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    wanted = max(8, int(np.ceil(np.sqrt(different))))
+    frequent = words.filter(F.col("n") * wanted >= total).toArrow()  # at most `wanted` words
+    heads, n = frequent.column("word").to_numpy(), frequent.column("n").to_numpy()
+    rank = np.empty(len(heads), np.int64)
+    rank[np.lexsort((heads, -n))] = np.arange(len(heads))
+    order = np.argsort(heads)
+    mass, count = _totals(words.filter(F.col("n") * wanted < total), BINS, lambda _, n: bins_of(n))
+    share = np.maximum(mass / max(total, 1), count / max(different, 1))
+    splits = np.clip(np.rint(wanted * share).astype(np.int64), np.minimum(count, 1), count)
+    splits[0] = max(splits[0], 1)  # for words the corpus does not hold
+    first = len(heads) + np.cumsum(splits[::-1])[::-1] - splits
+    none = np.zeros(0, np.int64)
+    rule = Leaves(heads[order], rank[order], first, splits, none, none)
+    rule.occurrences, rule.different = _totals(words, rule.size, rule.of)
+    return rule
+
+
+def _width(leaves: int) -> str:
+    """Type a leaf is stored in."""
+    return "<u2" if leaves < 2**16 else "<u4"
+
+
+def coded(bundles: DataFrame, words: DataFrame, leaves: Leaves) -> DataFrame:
+    """Bundles with the leaf of every word and every document's sum of log P(word | leaf); written."""
+    types = arrow_schema(_CODED)
+    width = _width(leaves.size)
+
+    def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        row = left.to_pylist()[0]
+        word, n = (right.column(c).to_numpy() for c in ("word", "n"))
+        order = np.argsort(word)  # as in the bundle
+        leaf = leaves.of(word[order], n[order])
+        inside = leaves.log_inside(leaf, n[order])
+        places = np.frombuffer(row["places"], "<u4")
+        out = {
+            "doc_ids": [row["doc_ids"]],
+            "sizes": [row["sizes"]],
+            "inside": [sums_of(inside[places], np.array(row["sizes"]))],
+            "leaves": [leaf[places].astype(width).tobytes()],
+        }
+        return pa.Table.from_batches([record_batch(out, types)])
+
+    own = bundles.select("bundle", F.explode("words").alias("word"))
+    counted = own.join(words, "word", "left").select("bundle", "word", F.coalesce("n", F.lit(0)).alias("n"))
+    texts = bundles.select(F.col("bundle").alias("whole"), "doc_ids", "sizes", "places")
+    rows = texts.groupBy("whole").cogroup(counted.groupBy("bundle")).applyInArrow(work, _CODED)
+    return materialise(rows, "coded_words")
+
+
+def sums_of(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of consecutive stretches, some of them empty."""
+    return np.diff(np.r_[0.0, np.cumsum(values)][np.r_[0, np.cumsum(sizes)]])
+
+
+def windows(leaf: np.ndarray, sizes: np.ndarray, outside: int) -> np.ndarray:
+    """Leaves around every word, a row per relative position."""
+    ends = np.cumsum(sizes)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    line = np.full(len(leaf) + SIDE * (len(sizes) + 1), outside, np.int64)
+    at = np.arange(ends[-1] if len(ends) else 0) + SIDE * (owner + 1)
+    line[at] = leaf
+    return np.stack([line[at + k] for k in OFFSETS])
+
+
+def _softmax(logits: np.ndarray) -> np.ndarray:
+    np.exp(np.minimum(logits, HIGHEST, out=logits), out=logits)
+    logits /= logits.sum(axis=1, keepdims=True)
+    return logits
 
 
 @dataclass
 class Network:
-    """Weights; `flat` and `shaped` turn them into one vector and back."""
+    """Weights; `flat` and `shaped` turn them into one vector and back. Leaf g * width + j is leaf j of group g."""
 
-    embeddings: np.ndarray  # (relative position, class or outside, hidden)
+    embeddings: np.ndarray  # (relative position, leaf or outside, hidden)
     hidden_bias: np.ndarray
-    output: np.ndarray  # (hidden, class)
-    output_bias: np.ndarray
+    outer: np.ndarray  # (hidden, group)
+    outer_bias: np.ndarray
+    inner: np.ndarray  # (group, hidden, leaf of the group)
+    inner_bias: np.ndarray
 
     @staticmethod
     def fresh(log_share: np.ndarray, seed: int = 11) -> Network:
         rng = np.random.default_rng(seed)
-        return Network(
-            rng.normal(0, 0.3, (len(OFFSETS), CLASSES + 1, HIDDEN)).astype(np.float32),
-            np.zeros(HIDDEN, np.float32),
-            rng.normal(0, 0.1, (HIDDEN, CLASSES)).astype(np.float32),
-            log_share.astype(np.float32),
+        leaves = len(log_share)
+        width = int(np.ceil(np.sqrt(leaves)))
+        groups = -(-leaves // width)
+        share = np.full(groups * width, np.exp(-30.0))  # places after the last leaf are never met
+        share[:leaves] = np.exp(log_share)
+        share = share.reshape(groups, width)
+        whole = share.sum(axis=1, keepdims=True)
+        parts = (
+            rng.normal(0, 0.3, (len(OFFSETS), leaves + 1, HIDDEN)),
+            np.zeros(HIDDEN),
+            rng.normal(0, 0.1, (HIDDEN, groups)),
+            np.log(whole[:, 0]),
+            rng.normal(0, 0.1, (groups, HIDDEN, width)),
+            np.log(share / whole),
         )
+        return Network(*(p.astype(np.float32) for p in parts))
+
+    @property
+    def outside(self) -> int:
+        return self.embeddings.shape[1] - 1
+
+    @property
+    def width(self) -> int:
+        return self.inner_bias.shape[1]
+
+    @property
+    def batch(self) -> int:
+        """Words of one step: more leaves, more words, so that steps over all weights stay cheap."""
+        return max(SMALLEST_BATCH, 8 * self.outside)
 
     def parts(self) -> list[np.ndarray]:
-        return [self.embeddings, self.hidden_bias, self.output, self.output_bias]
+        return [self.embeddings, self.hidden_bias, self.outer, self.outer_bias, self.inner, self.inner_bias]
 
     def flat(self) -> np.ndarray:
         return np.concatenate([p.ravel() for p in self.parts()])
@@ -106,31 +283,51 @@ class Network:
         total += self.hidden_bias
         return np.tanh(total, out=total)
 
+    def _stretches(self, group: np.ndarray) -> Iterator[tuple[int, slice]]:
+        """Groups of sorted targets and where they are."""
+        cuts = np.searchsorted(group, np.arange(len(self.outer_bias) + 1))
+        for g in np.flatnonzero(np.diff(cuts)).tolist():
+            yield g, slice(cuts[g], cuts[g + 1])
+
     def log_probabilities(self, around: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """log P(target | classes around); `around` has a row per relative position."""
-        logits = self.hidden(around) @ self.output
-        logits += self.output_bias
-        own = logits[np.arange(len(target)), target]
-        np.minimum(logits, HIGHEST, out=logits)
-        return np.minimum(own, HIGHEST) - np.log(np.exp(logits, out=logits).sum(axis=1))
+        """log P(target | leaves around); `around` has a row per relative position."""
+        order = np.argsort(target, kind="stable")
+        group, place = np.divmod(target[order], self.width)
+        h = self.hidden(around[:, order])
+        found = _softmax(h @ self.outer + self.outer_bias)[np.arange(len(group)), group]
+        for g, own in self._stretches(group):
+            inside = _softmax(h[own] @ self.inner[g] + self.inner_bias[g])
+            found[own] *= inside[np.arange(len(inside)), place[own]]
+        out = np.empty(len(target))
+        out[order] = np.log(np.maximum(found, np.finfo(np.float32).tiny))
+        return out
 
     def gradient(self, around: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Of the mean negative log-probability, as one vector."""
+        order = np.argsort(target, kind="stable")
+        around = around[:, order]
+        group, place = np.divmod(target[order], self.width)
+        scale = np.float32(1 / len(target))
         h = self.hidden(around)
-        p = h @ self.output
-        p += self.output_bias
-        np.exp(np.minimum(p, HIGHEST, out=p), out=p)
-        p *= np.float32(1 / len(target)) / p.sum(axis=1, keepdims=True)
-        rows = np.arange(len(target))
-        p[rows, target] -= np.float32(1 / len(target))
-        back = p @ self.output.T
+        p = _softmax(h @ self.outer + self.outer_bias)
+        p[np.arange(len(group)), group] -= 1
+        p *= scale
+        back = p @ self.outer.T
+        inner, inner_bias = np.zeros_like(self.inner), np.zeros_like(self.inner_bias)
+        for g, own in self._stretches(group):
+            q = _softmax(h[own] @ self.inner[g] + self.inner_bias[g])
+            q[np.arange(len(q)), place[own]] -= 1
+            q *= scale
+            back[own] += q @ self.inner[g].T
+            inner[g], inner_bias[g] = h[own].T @ q, q.sum(axis=0)
         back *= 1 - h * h
-        embeddings = np.empty_like(self.embeddings)
-        chosen = np.zeros((len(target), CLASSES + 1), np.float32)
-        for k, row in enumerate(around):
-            chosen[rows, row] = 1
-            embeddings[k] = chosen.T @ back
-            chosen[rows, row] = 0
-        return np.concatenate([embeddings.ravel(), back.sum(axis=0), (h.T @ p).ravel(), p.sum(axis=0)])
+        rows = self.outside + 1
+        cells = (around[:, :, None] * HIDDEN + np.arange(HIDDEN)).reshape(len(OFFSETS), -1)
+        flat = back.ravel()
+        embeddings = [np.bincount(c, flat, rows * HIDDEN) for c in cells]
+        return np.concatenate(
+            [*embeddings, back.sum(axis=0), (h.T @ p).ravel(), p.sum(axis=0), inner.ravel(), inner_bias.ravel()]
+        ).astype(np.float32)
 
 
 class Adam:
@@ -146,85 +343,90 @@ class Adam:
         return RATE / np.sqrt(1 + self.steps / 500) * unbiased / scale
 
 
-def windows(classes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Classes around every word of some documents (a row per relative position), and the words' own classes."""
-    gap = np.full(SIDE, CLASSES, np.uint8)
-    line = np.concatenate([gap, *(part for c in classes for part in (c, gap))])
-    at = np.flatnonzero(line < CLASSES)
-    return np.stack([line[at + k] for k in OFFSETS]), line[at]
+def _coded_rows(batches: Iterator[pa.RecordBatch], width: str) -> Iterator[tuple]:
+    """(ids, sizes, sums inside the leaves, leaves) of one bundle after the other."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            ids, sizes, inside = (batch.column(c)[k].values for c in range(3))
+            leaf = np.frombuffer(batch.column(3)[k].as_py(), width).astype(np.int64)
+            yield ids, sizes.to_numpy(), inside.to_numpy(), leaf
 
 
-def train(docs: DataFrame, classes: np.ndarray, log_share: np.ndarray) -> Network:
-    """One pass of Adam over all tokens, task by task, and the mean of the tasks' weights by tokens."""
+def train(rows: DataFrame, log_share: np.ndarray) -> Network:
+    """One pass of Adam over all words, task by task, and the mean of the tasks' weights by words."""
     start = Network.fresh(log_share)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        net, weights, adam, tokens = start, start.flat(), Adam(start.flat().size), 0
+        net, weights, words = start, start.flat(), 0
+        adam = Adam(weights.size)
         rng = np.random.default_rng(3)
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for k in range(0, len(texts), SUB_BATCH):
-                around, target = windows([classes[buckets_of(split_words(t))] for t in texts[k : k + SUB_BATCH]])
-                order = rng.permutation(len(target))
-                for j in range(0, len(order), BATCH):
-                    own = order[j : j + BATCH]
-                    weights = weights - adam.step(net.gradient(around[:, own], target[own])) * min(1, len(own) / BATCH)
-                    net = start.shaped(weights)
-                tokens += len(target)
-        yield {"part": np.arange(len(weights) + 1), "total": np.r_[weights.astype(np.float64) * tokens, tokens]}
-
-    summed = arrow_map(docs, work, "part int, total double").groupBy("part").agg(F.sum("total").alias("total"))
-    rows = summed.orderBy("part").toArrow()  # as many as the network has weights
-    total = rows.column("total").to_numpy()
-    if not len(total) or not total[-1]:
+        for _, sizes, _, leaf in _coded_rows(batches, _width(start.outside)):
+            around = windows(leaf, sizes, start.outside)
+            order = rng.permutation(len(leaf))
+            for j in range(0, len(order), start.batch):
+                own = order[j : j + start.batch]
+                step = adam.step(net.gradient(around[:, own], leaf[own]))
+                weights = weights - step * np.float32(len(own) / start.batch)
+                net = start.shaped(weights)
+            words += len(leaf)
+        if words:
+            yield {"part": np.arange(len(weights) + 1), "total": np.r_[weights.astype(np.float64) * words, words]}
+
+    summed = arrow_map(rows, work, "part long, total double").groupBy("part").agg(F.sum("total").alias("total"))
+    found = summed.toArrow()  # as many rows as the network has weights
+    if not found.num_rows:
         return start
+    total = np.empty(found.num_rows)
+    total[found.column("part").to_numpy()] = found.column("total").to_numpy()
     return start.shaped(total[:-1] / total[-1])
 
 
+def _scores(rows: DataFrame, network: Network) -> DataFrame:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for ids, sizes, inside, leaf in _coded_rows(batches, _width(network.outside)):
+            around = windows(leaf, sizes, network.outside)
+            logs = np.empty(len(leaf))
+            for j in range(0, len(leaf), network.batch):
+                own = slice(j, j + network.batch)
+                logs[own] = network.log_probabilities(around[:, own], leaf[own])
+            sums = sums_of(logs, sizes) + inside
+            mean = pa.array(sums / np.maximum(sizes, 1), mask=sizes == 0)
+            yield {"doc_id": ids, "n_words": sizes, "log_likelihood": sums, "mean_log_likelihood": mean}
+
+    return arrow_map(rows, work, _SCORES)
+
+
 @dataclass
 class Model:
-    classes: np.ndarray
-    inside: np.ndarray
+    words: DataFrame
+    """Exact counts of all words of the corpus: (word hash, n)."""
+    leaves: Leaves
     network: Network
 
-    def word_log_probabilities(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """log P of every word of the texts given its neighbours, and the texts' numbers of words."""
-        buckets = [buckets_of(split_words(t)) for t in texts]
-        around, target = windows([self.classes[b] for b in buckets])
-        out = np.concatenate(buckets) if buckets else np.zeros(0, np.int64)
-        out = self.inside[out].astype(np.float64)
-        for j in range(0, len(target), BATCH):
-            own = slice(j, j + BATCH)
-            out[own] += self.network.log_probabilities(around[:, own], target[own])
-        return out, np.array([len(b) for b in buckets], np.int64)
+
+def _fit(bundles: DataFrame) -> tuple[Model, DataFrame]:
+    words = word_counts(bundles)
+    leaves = leaves_of(words)
+    rows = coded(bundles, words, leaves)
+    return Model(words, leaves, train(rows, leaves.log_share())), rows
 
 
 def fit(docs: DataFrame) -> Model:
-    """Count, train and return the model of a corpus; an empty one has uniform counts and fresh weights."""
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    classes, inside, log_share = classes_of(corpus_counts(docs))
-    return Model(classes, inside, train(docs, classes, log_share))
+    """Count, train and return the model of a corpus; an empty one has one leaf and fresh weights."""
+    return _fit(bundles_of(docs))[0]
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """One row per row of `docs`: (doc_id, n_words, log_likelihood, mean_log_likelihood).
 
-    Words are UTF-8 strings between ASCII white space. A NULL text or one without words has the sum 0
-    and no mean. Repeated rows and NULL ids are rows as any other; other columns are ignored.
+    Words are UTF-8 strings between ASCII white space; those the model's corpus does not hold count as
+    seen 0 times. A NULL text or one without words has the sum 0 and no mean. Repeated rows and NULL ids
+    are rows as any other; other columns are ignored. An empty table gives no rows.
     """
+    return _scores(coded(bundles_of(docs), model.words, model.leaves), model.network)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for k in range(0, len(texts), SUB_BATCH):
-                logs, sizes = model.word_log_probabilities(texts[k : k + SUB_BATCH])
-                sums = np.diff(np.r_[0, np.cumsum(logs)][np.r_[0, np.cumsum(sizes)]])
-                yield {
-                    "doc_id": batch.column(0).slice(k, SUB_BATCH),
-                    "n_words": sizes,
-                    "log_likelihood": sums,
-                    "mean_log_likelihood": [s / n if n else None for s, n in zip(sums, sizes, strict=True)],
-                }
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return arrow_map(rows, work, "doc_id long, n_words long, log_likelihood double, mean_log_likelihood double")
+def score_corpus(docs: DataFrame) -> DataFrame:
+    """`score` of a corpus under the model fitted on it; texts are read once."""
+    model, rows = _fit(bundles_of(docs))
+    return _scores(rows, model.network)

@@ -33,8 +33,7 @@ def op2_url_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_masked_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(settle(spark), sf_dir, "documents")
-    return masked_lm.score(docs, masked_lm.fit(docs))
+    return masked_lm.score_corpus(table(settle(spark), sf_dir, "documents"))
 
 
 def op4_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -283,46 +283,81 @@ def test_block_max_search_equals_full_scores():
         assert all(abs(got[i] - whole[i]) < 1e-9 for i in got)
 
 
-def test_pseudo_likelihood_equals_word_by_word_sums(docs, rows, no_docs):
+def exact_log_softmax(logits: np.ndarray, at: int) -> float:
+    return logits[at] - np.log(np.exp(logits.astype(np.float64)).sum())
+
+
+def test_pseudo_likelihood_equals_word_by_word_sums(docs, rows, no_docs, monkeypatch):
+    monkeypatch.setattr(masked_lm, "BUNDLE_WORDS", 3_000)
     model = masked_lm.fit(docs)
-    got = by_id(masked_lm.score(docs, model), "n_words", "log_likelihood")
-    net = model.network
-    for doc, text in [*rows[:5], rows[-1], rows[-12]]:
+    net, leaves = model.network, model.leaves
+    counts = Counter(w for _, t in [*rows, (0, rows[1][1]), rows[2]] for w in (t or "").encode().split())
+    found = {r.word: r.n for r in model.words.collect()}
+    hashes = dict(zip(counts, masked_lm.hash_words(list(counts)).view(np.int64).tolist(), strict=True))
+    assert found == {hashes[w]: n for w, n in counts.items()}  # exact, whatever the size of the corpus
+
+    def brute(text):
         words = (text or "").encode().split()
-        buckets = masked_lm.buckets_of(words)
-        line = [masked_lm.CLASSES] * 2 + [int(model.classes[b]) for b in buckets] + [masked_lm.CLASSES] * 2
-        total = 0.0
+        n = np.array([counts[w] for w in words], np.int64)
+        own = masked_lm.hash_words(words).view(np.int64)
+        at = leaves.of(own, n) if words else n
+        line, total = [net.outside] * 2 + at.tolist() + [net.outside] * 2, 0.0
         for k in range(len(words)):
             around = [line[k + 2 + o] for o in masked_lm.OFFSETS]
             h = np.tanh(sum(net.embeddings[j][c] for j, c in enumerate(around)) + net.hidden_bias)
-            logits = (h @ net.output + net.output_bias).astype(np.float64)
-            total += logits[line[k + 2]] - np.log(np.exp(logits).sum()) + model.inside[buckets[k]]
-        assert got[doc][0] == len(words) and got[doc][1] == pytest.approx(total, rel=1e-4, abs=1e-4)
-    assert masked_lm.score(no_docs, masked_lm.fit(no_docs)).count() == 0
-    classes = model.classes.astype(np.int64)
-    mass = np.bincount(classes, np.exp(model.inside.astype(np.float64)), masked_lm.CLASSES)
-    assert np.allclose(mass[np.unique(classes)], 1, atol=1e-3)
+            group, place = divmod(line[k + 2], net.width)
+            total += exact_log_softmax(h @ net.outer + net.outer_bias, group)
+            total += exact_log_softmax(h @ net.inner[group] + net.inner_bias[group], place)
+        return len(words), total + float(leaves.log_inside(at, n).sum())
+
+    got, whole = (by_id(f, "n_words", "log_likelihood") for f in (masked_lm.score(docs, model), masked_lm.score_corpus(docs)))
+    for doc, text in [*rows[:5], rows[-1], rows[-12]]:
+        size, total = brute(text)
+        assert got[doc] == (size, pytest.approx(total, rel=1e-4, abs=1e-4))
+        assert whole[doc][0] == size
+    assert masked_lm.score(docs, model).count() == len(rows) + 3
+    assert masked_lm.score_corpus(no_docs).count() == 0
+    assert by_id(masked_lm.score(docs.limit(5), masked_lm.fit(no_docs)), "n_words")  # words never seen
+
+
+def test_leaves_cover_all_words_and_grow_with_them(spark):
+    """Words have one leaf each, P(word | leaf) adds up to one, and sixteen times the words give over 2.5 times the leaves."""
+    sizes = []
+    for different in (2_000, 32_000):
+        words = spark.range(different).selectExpr("xxhash64(id) word", "cast(1 + 200000 div (id * id + 1) as bigint) n")
+        leaves = masked_lm.leaves_of(words)
+        rows = words.toArrow()
+        word, n = rows.column("word").to_numpy(), rows.column("n").to_numpy()
+        at = leaves.of(word, n)
+        assert at.min() == 0 and at.max() < leaves.size
+        inside = np.bincount(at, np.exp(leaves.log_inside(at, n)), leaves.size)
+        unseen = 1 / (leaves.occurrences + leaves.different + 1)
+        assert np.allclose((inside + unseen)[np.unique(at)], 1)
+        assert np.bincount(at)[at[n == n.max()]].tolist() == [1]
+        sizes.append(leaves.size)
+    assert sizes[1] > 2.5 * sizes[0]
 
 
 def test_shuffled_words_score_lower(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     model = masked_lm.fit(docs)
-    rng, better = random.Random(1), []
-    for row in docs.limit(200).collect():
-        words = row.text.split()
-        if len(words) > 30:
-            mixed = rng.sample(words, len(words))
-            better.append(model.word_log_probabilities([row.text])[0].sum() > model.word_log_probabilities([" ".join(mixed)])[0].sum())
-    assert np.mean(better) > 0.6
+    rng = random.Random(1)
+    kept = [r for r in docs.limit(200).collect() if len(r.text.split()) > 30]
+    mixed = spark.createDataFrame([(r.doc_id, " ".join(rng.sample(r.text.split(), len(r.text.split())))) for r in kept], docs.schema)
+    whole, other = (by_id(masked_lm.score(d, model), "log_likelihood") for d in (docs, mixed))
+    assert np.mean([whole[i][0] > other[i][0] for i in other]) > 0.6
 
 
 def test_network_gradient():
-    net = masked_lm.Network.fresh(np.zeros(masked_lm.CLASSES))
+    leaves = 30  # five groups of six
+    net = masked_lm.Network.fresh(np.log(np.full(leaves, 1 / leaves)))
     rng = np.random.default_rng(0)
-    around, target = rng.integers(0, masked_lm.CLASSES + 1, (4, 50)), rng.integers(0, masked_lm.CLASSES, 50)
+    around, target = rng.integers(0, leaves + 1, (4, 50)), rng.integers(0, leaves, 50)
     flat, gradient = net.flat().astype(np.float64), net.gradient(around, target)
-    for k in rng.choice(np.flatnonzero(np.abs(gradient) > 1e-3), 10):
+    for k in rng.choice(np.flatnonzero(np.abs(gradient) > 1e-3), 20):
         step = np.zeros(len(flat))
         step[k] = 1e-2
         up, down = (-net.shaped(flat + s).log_probabilities(around, target).mean() for s in (step, -step))
         assert (up - down) / 2e-2 == pytest.approx(gradient[k], rel=0.05, abs=1e-4)
+    every = [net.log_probabilities(np.repeat(around[:, :1], leaves, axis=1), np.arange(leaves))]
+    assert np.exp(every).sum() == pytest.approx(1, abs=1e-4)
