@@ -29,6 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,7 +39,7 @@ from cohortwise.llm.common import arrow_map, arrow_schema, hash_words, materiali
 HIDDEN = 16
 OFFSETS = (-2, -1, 1, 2)
 SIDE = 2
-BUNDLE_WORDS = 2**18
+BUNDLE_WORDS = 2**20
 SMALLEST_BATCH = 2_048
 RATE = 0.02
 BINS = 4 * 63
@@ -51,20 +52,29 @@ _CODED = "doc_ids array<long>, sizes array<long>, inside array<double>, leaves b
 _SCORES = "doc_id long, n_words long, log_likelihood double, mean_log_likelihood double"
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers below 2^32, compressed by byte planes; `unpacked` gives them back."""
+    planes = numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
+    return planes.T.copy().view("<u4").ravel().astype(np.int64)
+
+
 def bundles_of(docs: DataFrame) -> DataFrame:
     """Documents as rows of about BUNDLE_WORDS words; written, so that a bundle keeps its number."""
 
-    def bundle(number: int, ids: list, texts: list[list[bytes]]) -> dict:
-        words, places, counts = np.unique(
-            hash_words([w for t in texts for w in t]).view(np.int64), return_inverse=True, return_counts=True
-        )
+    def bundle(number: int, ids: list, texts: list[np.ndarray]) -> dict:
+        words, places, counts = np.unique(np.concatenate(texts).view(np.int64), return_inverse=True, return_counts=True)
         return {
             "bundle": [number],
             "doc_ids": [ids],
             "sizes": [[len(t) for t in texts]],
             "words": [words],
             "counts": [counts],
-            "places": [places.astype("<u4").tobytes()],
+            "places": [packed(places)],
         }
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -73,7 +83,7 @@ def bundles_of(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids.append(doc)
-                texts.append(split_words(text))
+                texts.append(hash_words(split_words(text)))
                 size += len(texts[-1])
                 if size >= BUNDLE_WORDS:
                     yield bundle(number, ids, texts)
@@ -167,15 +177,9 @@ def leaves_of(words: DataFrame) -> Leaves:
     return rule
 
 
-def _width(leaves: int) -> str:
-    """Type a leaf is stored in."""
-    return "<u2" if leaves < 2**16 else "<u4"
-
-
 def coded(bundles: DataFrame, words: DataFrame, leaves: Leaves) -> DataFrame:
     """Bundles with the leaf of every word and every document's sum of log P(word | leaf); written."""
     types = arrow_schema(_CODED)
-    width = _width(leaves.size)
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
@@ -183,12 +187,12 @@ def coded(bundles: DataFrame, words: DataFrame, leaves: Leaves) -> DataFrame:
         order = np.argsort(word)  # as in the bundle
         leaf = leaves.of(word[order], n[order])
         inside = leaves.log_inside(leaf, n[order])
-        places = np.frombuffer(row["places"], "<u4")
+        places = unpacked(row["places"])
         out = {
             "doc_ids": [row["doc_ids"]],
             "sizes": [row["sizes"]],
             "inside": [sums_of(inside[places], np.array(row["sizes"]))],
-            "leaves": [leaf[places].astype(width).tobytes()],
+            "leaves": [packed(leaf[places])],
         }
         return pa.Table.from_batches([record_batch(out, types)])
 
@@ -343,13 +347,12 @@ class Adam:
         return RATE / np.sqrt(1 + self.steps / 500) * unbiased / scale
 
 
-def _coded_rows(batches: Iterator[pa.RecordBatch], width: str) -> Iterator[tuple]:
+def _coded_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """(ids, sizes, sums inside the leaves, leaves) of one bundle after the other."""
     for batch in batches:
         for k in range(batch.num_rows):
             ids, sizes, inside = (batch.column(c)[k].values for c in range(3))
-            leaf = np.frombuffer(batch.column(3)[k].as_py(), width).astype(np.int64)
-            yield ids, sizes.to_numpy(), inside.to_numpy(), leaf
+            yield ids, sizes.to_numpy(), inside.to_numpy(), unpacked(batch.column(3)[k].as_py())
 
 
 def train(rows: DataFrame, log_share: np.ndarray) -> Network:
@@ -360,7 +363,7 @@ def train(rows: DataFrame, log_share: np.ndarray) -> Network:
         net, weights, words = start, start.flat(), 0
         adam = Adam(weights.size)
         rng = np.random.default_rng(3)
-        for _, sizes, _, leaf in _coded_rows(batches, _width(start.outside)):
+        for _, sizes, _, leaf in _coded_rows(batches):
             around = windows(leaf, sizes, start.outside)
             order = rng.permutation(len(leaf))
             for j in range(0, len(order), start.batch):
@@ -383,7 +386,7 @@ def train(rows: DataFrame, log_share: np.ndarray) -> Network:
 
 def _scores(rows: DataFrame, network: Network) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for ids, sizes, inside, leaf in _coded_rows(batches, _width(network.outside)):
+        for ids, sizes, inside, leaf in _coded_rows(batches):
             around = windows(leaf, sizes, network.outside)
             logs = np.empty(len(leaf))
             for j in range(0, len(leaf), network.batch):
