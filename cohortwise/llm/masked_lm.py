@@ -218,12 +218,20 @@ def windows(leaf: np.ndarray, sizes: np.ndarray, outside: int) -> np.ndarray:
     return np.stack([line[at + k] for k in OFFSETS])
 
 
-def _softmax(logits: np.ndarray) -> np.ndarray:
-    np.exp(np.minimum(logits, HIGHEST, out=logits), out=logits)
+def _softmax(h: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    logits = h @ weights
+    logits += bias
+    np.minimum(logits, HIGHEST, out=logits)
+    np.exp(logits, out=logits)
     logits /= logits.sum(axis=1, keepdims=True)
     return logits
 
 
+def _slices(size: int) -> Iterator[slice]:
+    """Stretches short enough for a processor's cache."""
+    return (slice(k, min(k + SMALLEST_BATCH, size)) for k in range(0, size, SMALLEST_BATCH))
+
+
 @dataclass
 class Network:
     """Weights; `flat` and `shaped` turn them into one vector and back. Leaf g * width + j is leaf j of group g."""
@@ -298,9 +306,12 @@ class Network:
         order = np.argsort(target, kind="stable")
         group, place = np.divmod(target[order], self.width)
         h = self.hidden(around[:, order])
-        found = _softmax(h @ self.outer + self.outer_bias)[np.arange(len(group)), group]
+        found = np.empty(len(target), np.float32)
+        for own in _slices(len(target)):
+            p = _softmax(h[own], self.outer, self.outer_bias)
+            found[own] = p[np.arange(len(p)), group[own]]
         for g, own in self._stretches(group):
-            inside = _softmax(h[own] @ self.inner[g] + self.inner_bias[g])
+            inside = _softmax(h[own], self.inner[g], self.inner_bias[g])
             found[own] *= inside[np.arange(len(inside)), place[own]]
         out = np.empty(len(target))
         out[order] = np.log(np.maximum(found, np.finfo(np.float32).tiny))
@@ -311,27 +322,29 @@ class Network:
         order = np.argsort(target, kind="stable")
         around = around[:, order]
         group, place = np.divmod(target[order], self.width)
-        scale = np.float32(1 / len(target))
         h = self.hidden(around)
-        p = _softmax(h @ self.outer + self.outer_bias)
-        p[np.arange(len(group)), group] -= 1
-        p *= scale
-        back = p @ self.outer.T
+        back = np.empty_like(h)
+        outer, outer_bias = np.zeros_like(self.outer), np.zeros_like(self.outer_bias)
+        for own in _slices(len(target)):
+            p = _softmax(h[own], self.outer, self.outer_bias)
+            p[np.arange(len(p)), group[own]] -= 1
+            back[own] = p @ self.outer.T
+            outer += h[own].T @ p
+            outer_bias += p.sum(axis=0)
         inner, inner_bias = np.zeros_like(self.inner), np.zeros_like(self.inner_bias)
         for g, own in self._stretches(group):
-            q = _softmax(h[own] @ self.inner[g] + self.inner_bias[g])
+            q = _softmax(h[own], self.inner[g], self.inner_bias[g])
             q[np.arange(len(q)), place[own]] -= 1
-            q *= scale
             back[own] += q @ self.inner[g].T
             inner[g], inner_bias[g] = h[own].T @ q, q.sum(axis=0)
         back *= 1 - h * h
-        rows = self.outside + 1
-        cells = (around[:, :, None] * HIDDEN + np.arange(HIDDEN)).reshape(len(OFFSETS), -1)
-        flat = back.ravel()
-        embeddings = [np.bincount(c, flat, rows * HIDDEN) for c in cells]
-        return np.concatenate(
-            [*embeddings, back.sum(axis=0), (h.T @ p).ravel(), p.sum(axis=0), inner.ravel(), inner_bias.ravel()]
-        ).astype(np.float32)
+        embeddings = np.empty_like(self.embeddings)
+        columns = np.ascontiguousarray(back.T, np.float64)
+        for k, row in enumerate(around):
+            for j, column in enumerate(columns):
+                embeddings[k, :, j] = np.bincount(row, column, self.outside + 1)
+        parts = (embeddings, back.sum(axis=0), outer, outer_bias, inner, inner_bias)
+        return np.concatenate([part.ravel() for part in parts]) * np.float32(1 / len(target))
 
 
 class Adam:
