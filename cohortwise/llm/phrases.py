@@ -126,9 +126,10 @@ def _met(rows: DataFrame, keys: list[str], low: str, high: str) -> DataFrame:
 
 
 def automaton(phrases: Iterator[bytes]) -> ahocorasick.Automaton | None:
-    found = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+    """Of phrases as four symbols a word: a node's children are searched in turn, and words would give the root thousands."""
+    found = ahocorasick.Automaton(ahocorasick.STORE_ANY)
     for phrase in phrases:
-        found.add_word(tuple(np.frombuffer(phrase, "<u4").tolist()), True)
+        found.add_word(phrase.decode("latin-1"), True)
     if not len(found):
         return None
     found.make_automaton()
@@ -139,8 +140,9 @@ def candidates(texts: Texts, found: ahocorasick.Automaton, width: int, seed: int
     """Starts of the windows whose chosen phrase, the one of smallest hash, the automaton finds in them."""
     if len(texts.hashes) < width:
         return np.zeros(0, np.int64)
-    symbols = tuple(texts.hashes.astype("<u4").tolist())
-    hits = np.fromiter((last for last, _ in found.iter(symbols)), np.int64) + 1 - seed
+    symbols = texts.hashes.astype("<u4").tobytes().decode("latin-1")
+    ends = np.fromiter((last for last, _ in found.iter(symbols)), np.int64) + 1
+    hits = ends[ends % 4 == 0] // 4 - seed  # the others lie across words
     phrase = rolling(texts.hashes, seed, _BASES[0])
     repeated = np.full(len(phrase), np.iinfo(np.uint64).max)
     repeated[hits] = phrase[hits]
