@@ -1,8 +1,9 @@
 """Train/test splits that give the same rows on any partitioning.
 
-Rows are ordered by an md5 of their key. A small stratum is sorted whole. In a large one the leading
-hex digits of the hash, which are uniform, make even buckets: their counts locate the bucket that
-holds the cut, and only that bucket is sorted. Every row then compares its hash with the cut-off.
+Rows are ordered by an md5 of their key. A stratum's cut is found by refining hash prefixes: the leading
+hex digits, as many as the stratum's count asks for, make even cells, whose counts tell which one holds
+the cut; that cell is divided in the same way until it is small, and only its rows are sorted. Every row
+then compares its hash with the cut-off.
 """
 
 from __future__ import annotations
@@ -17,9 +18,11 @@ from cohortwise.operators.attach import attach, join_small
 from cohortwise.operators.selection import order_statistics
 from cohortwise.session import materialise
 
-BUCKET_DIGITS = 3
-# strata up to this size are sorted whole
-SORTED_WHOLE = 10_000
+# rows of one stratum that a task sorts
+CELL_ROWS = 8_192
+# hex digits of the hash, and of them in one pass: 4,096 counts a stratum
+HASH_DIGITS = 32
+PASS_DIGITS = 3
 # cut-off column of each stratum: a class, or -1 for both classes together
 CUTS = {"__cut_neg": 0, "__cut_pos": 1, "__cut_any": -1}
 
@@ -78,25 +81,7 @@ def stratified_split(
     known = _all_known([*by, "__label"])
     counts = rows.filter(known).groupBy(*by, "__label").agg(F.count("*").alias("__c"))
     strata = materialise(_strata(counts, by, test, fallback), "strata")
-    drawn = strata.filter("__k > 0")
-    small, large = drawn.filter(F.col("__n_s") <= SORTED_WHOLE), drawn.filter(F.col("__n_s") > SORTED_WHOLE)
-
-    hashed = rows.filter(known).select(*by, "__label", "__h")
-    near = hashed.join(_per_class(small), [*by, "__label"]).select(
-        *by, "__s", F.lit("").alias("__b"), "__h", F.col("__k").alias("__need")
-    )
-    if not large.isEmpty():
-        bucketed = hashed.withColumn("__b", F.substring("__h", 1, BUCKET_DIGITS))
-        edges = materialise(_edge_buckets(bucketed, _per_class(large), by), "edges")
-        edge_rows = bucketed.join(_per_class(edges), [*by, "__label", "__b"])
-        near = near.unionByName(edge_rows.select(*near.columns))
-    in_order = Window.partitionBy(*by, "__s", "__b").orderBy("__h")
-    cuts = (
-        near.withColumn("__rank", F.row_number().over(in_order))
-        .filter(F.col("__rank") == F.col("__need"))
-        .groupBy(*by)
-        .agg(*[F.max(F.when(F.col("__s") == s, F.col("__h"))).alias(n) for n, s in CUTS.items()])
-    )
+    cuts = _cut_offs(rows.filter(known).select(*by, "__label", "__h"), strata.filter("__k > 0"), by)
     # one row per group; a stratum without a cut has no test rows
     rules = join_small(strata.select(*by, "__split_mode").distinct(), cuts, by, "left")
     of_class = F.when(F.col("__label") == 1, F.col("__cut_pos")).otherwise(F.col("__cut_neg"))
@@ -133,16 +118,48 @@ def _per_class(strata: DataFrame) -> DataFrame:
     return strata.drop("__label").withColumn("__label", F.explode(labels))
 
 
-def _edge_buckets(rows: DataFrame, strata: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Rows (by..., stratum, bucket, need): the bucket of each stratum's last test row and its rank in there."""
-    upto = Window.partitionBy(*by, "__s").orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        rows.join(strata, [*by, "__label"])
-        .groupBy(*by, "__s", "__b", "__k")
-        .agg(F.count("*").alias("__c"))
-        .withColumn("__upto", F.sum("__c").over(upto))
-        .filter((F.col("__upto") >= F.col("__k")) & (F.col("__upto") - F.col("__c") < F.col("__k")))
-        .select(*by, "__s", "__b", (F.col("__k") - F.col("__upto") + F.col("__c")).alias("__need"))
+def _cut_offs(hashed: DataFrame, strata: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rows (by..., cut-off per stratum): the hash of each stratum's last test row."""
+    cells = cut_cells(hashed, strata, by)
+    # rows of one full hash are equal: there is nothing to sort
+    alike = F.length("__prefix") == HASH_DIGITS
+    inside = _in_cells(hashed, cells.filter(~alike), by)
+    rank = F.row_number().over(Window.partitionBy(*by, "__s").orderBy("__h"))
+    last = inside.withColumn("__rank", rank).filter(F.col("__rank") == F.col("__need"))
+    found = last.select(*by, "__s", "__h").unionByName(cells.filter(alike).select(*by, "__s", F.col("__prefix").alias("__h")))
+    return found.groupBy(*by).agg(*[F.max(F.when(F.col("__s") == s, F.col("__h"))).alias(n) for n, s in CUTS.items()])
+
+
+def cut_cells(hashed: DataFrame, strata: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rows (by..., stratum, prefix, size, need): the cell with the last test row of each stratum, and its rank in there.
+
+    A cell holds the rows of its stratum whose hash starts with `prefix`: at most CELL_ROWS, unless all
+    of them share one hash. Every pass counts the rows of the cells that are still too large, with
+    partial counts before the shuffle, so n rows take about log(n / CELL_ROWS) / log(4,096) passes.
+    """
+    cells = strata.select(*by, "__s", F.lit("").alias("__prefix"), F.col("__n_s").alias("__size"), F.col("__k").alias("__need"))
+    large = (F.col("__size") > CELL_ROWS) & (F.length("__prefix") < HASH_DIGITS)
+    while not cells.filter(large).isEmpty():
+        divided = _divide(_in_cells(hashed, cells.filter(large), by), by)
+        cells = materialise(cells.filter(~large).unionByName(divided), "cells")
+    return cells
+
+
+def _in_cells(hashed: DataFrame, cells: DataFrame, by: Sequence[str]) -> DataFrame:
+    return hashed.join(_per_class(cells), [*by, "__label"]).filter(F.col("__h").startswith(F.col("__prefix")))
+
+
+def _divide(inside: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The part of each cell that holds its last test row, by as many further digits as half-full parts need."""
+    digits = F.ceil(F.log(16.0, 2.0 * F.col("__size") / F.lit(CELL_ROWS))).cast("int")
+    length = F.least(F.length("__prefix") + F.greatest(F.lit(1), F.least(digits, F.lit(PASS_DIGITS))), F.lit(HASH_DIGITS))
+    upto = Window.partitionBy(*by, "__s").orderBy("__part").rowsBetween(Window.unboundedPreceding, 0)
+    counts = inside.groupBy(*by, "__s", F.substring("__h", F.lit(1), length).alias("__part"), "__need")
+    parts = counts.agg(F.count("*").alias("__c")).withColumn("__upto", F.sum("__c").over(upto))
+    before = F.col("__upto") - F.col("__c")
+    held = parts.filter((F.col("__upto") >= F.col("__need")) & (before < F.col("__need")))
+    return held.select(
+        *by, "__s", F.col("__part").alias("__prefix"), F.col("__c").alias("__size"), (F.col("__need") - before).alias("__need")
     )
 
 

@@ -49,9 +49,9 @@ def expected_test(rows, fallback):
     return {i for c in (0, 1) for i in sorted(classes[c], key=key.get)[: take[c]]}
 
 
-@pytest.mark.parametrize("parts, whole", [(1, 10_000), (13, 10_000), (13, 50)])
-def test_stratified_split_equals_a_full_sort(spark, monkeypatch, parts, whole):
-    monkeypatch.setattr(splitting, "SORTED_WHOLE", whole)  # 50: most strata are cut by bucket
+@pytest.mark.parametrize("parts, cell", [(1, 8_192), (13, 8_192), (13, 50), (13, 1)])
+def test_stratified_split_equals_a_full_sort(spark, monkeypatch, parts, cell):
+    monkeypatch.setattr(splitting, "CELL_ROWS", cell)  # 50: most strata are divided; 1: down to single rows
     df = skewed(spark).repartition(parts).cache()
     got = by_group(splitting.stratified_split(df, "id", by=["grp"], fallback=True))
     assert sum(map(len, got.values())) == 6000
@@ -60,18 +60,19 @@ def test_stratified_split_equals_a_full_sort(spark, monkeypatch, parts, whole):
     df.unpersist()
 
 
-@pytest.mark.parametrize("whole", [10_000, 50])
-def test_pooled_split_and_sizes(spark, monkeypatch, whole):
-    monkeypatch.setattr(splitting, "SORTED_WHOLE", whole)
+@pytest.mark.parametrize("cell, digits", [(8_192, 3), (50, 1)])
+def test_pooled_split_and_sizes(spark, monkeypatch, cell, digits):
+    monkeypatch.setattr(splitting, "CELL_ROWS", cell)
+    monkeypatch.setattr(splitting, "PASS_DIGITS", digits)  # 1: several passes
     df = skewed(spark)
     rows = splitting.stratified_split(df, "id").collect()
     assert {r["id"] for r in rows if r["is_test"] == 1} == expected_test(rows, False)
     assert sum(r["is_test"] for r in rows) == 1200
 
 
-@pytest.mark.parametrize("whole", [10_000, 1])
-def test_random_fallback_for_a_class_of_one(spark, monkeypatch, whole):
-    monkeypatch.setattr(splitting, "SORTED_WHOLE", whole)
+@pytest.mark.parametrize("cell", [8_192, 1])
+def test_random_fallback_for_a_class_of_one(spark, monkeypatch, cell):
+    monkeypatch.setattr(splitting, "CELL_ROWS", cell)
     df = spark.createDataFrame([(i, "a", int(i == 0)) for i in range(10)], "id long, grp string, label int")
     rows = splitting.stratified_split(df, "id", by=["grp"], fallback=True).collect()
     assert {r["id"] for r in rows if r["is_test"] == 1} == expected_test(rows, True) and len(rows) == 10
@@ -154,3 +155,23 @@ def test_rows_without_key_or_label_are_in_no_part(spark):
     assert got[outside].is_test.isna().all() and got[~outside].is_test.notna().all()
     for _, part in got[~outside].groupby("label"):
         assert abs(part.is_test.mean() - 0.2) < 0.01
+
+
+def test_a_hot_class_is_cut_inside_a_small_cell(spark):
+    """Ten million rows of one class: under ten thousand of them are sorted."""
+    hashed = spark.range(10_000_000).select(F.lit(1).alias("__label"), F.md5(F.col("id").cast("string")).alias("__h"))
+    strata = spark.createDataFrame([(1, 10_000_000, 2_000_000)], "__s int, __n_s long, __k long")
+    cell = splitting.cut_cells(hashed, strata, []).first()
+    assert 0 < cell["__need"] <= cell["__size"] <= splitting.CELL_ROWS and cell["__prefix"]
+    below = hashed.filter(F.substring("__h", 1, len(cell["__prefix"])) < cell["__prefix"]).count()
+    assert below + cell["__need"] == 2_000_000
+
+
+def test_copies_of_one_row_end_at_its_full_hash(spark, monkeypatch):
+    """A cell of equal hashes cannot be divided: all copies fall on the same side."""
+    monkeypatch.setattr(splitting, "CELL_ROWS", 10)
+    df = spark.range(300).select(F.greatest(F.col("id"), F.lit(199)).alias("id"), (F.col("id") % 2).cast("int").alias("label"))
+    got = splitting.stratified_split(df, "id").groupBy("id").agg(F.count("*").alias("n"), F.count_distinct("is_test").alias("sides"))
+    assert got.agg(F.max("sides"), F.sum("n")).first() == (1, 300)
+    same = df.withColumn("id", F.lit(7))
+    assert splitting.stratified_split(same, "id").agg(F.sum("is_test")).first()[0] == 300
