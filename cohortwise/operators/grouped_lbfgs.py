@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from cohortwise.operators.cleaning import union_all
 from cohortwise.operators.combining import resize_coef
 from cohortwise.operators.grouped_lr import NewtonSums
+from cohortwise.operators.layout import by_group
 from cohortwise.operators.scaling import class_weights
 from cohortwise.session import materialise
 
@@ -130,13 +131,14 @@ def fit_grouped_lbfgs(
         F.lit(float("nan")).alias("loss"), F.lit(1.0).alias("step"), none.alias("moves"), none.alias("turns"),
         F.lit(0).alias("n_steps"), F.lit(False).alias("done"), F.lit(False).alias("converged"),
     )
+    laid_out = by_group(rows, key, groups.select(key, "n_train"), 1, p + 1)
     sums = NewtonSums(key, features, label, "trial", hessian=False)
     update = _update(key, p, l2, budget, tol)
     solved: list[DataFrame] = []
     evaluation = 0
     while True:
         offered = state.select(key, F.lit(0.0).alias("mu"), "w_pos", "w_neg", "trial")
-        moved = state.join(sums(rows.join(offered, key)).drop("mu"), key).mapInPandas(update, schema)
+        moved = state.join(sums(laid_out.with_groups(offered)).drop("mu"), key).mapInPandas(update, schema)
         moved = materialise(moved, f"evaluation_{evaluation}")
         evaluation += 1
         solved.append(moved.filter("done"))

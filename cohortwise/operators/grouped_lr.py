@@ -1,7 +1,7 @@
 """One logistic regression per group, all groups and penalties solved together by Newton steps.
 
-Rows stay distributed and are never collected per group. An iteration joins them to the small
-(group, mu, coefficients) table and sums the loss, the gradient and the upper Hessian triangle per
+Rows stay distributed and are never collected per group. An iteration joins them to the
+(group, mu, coefficients) table, which moves to the rows (`layout`), and sums the loss, the gradient and the upper Hessian triangle per
 (group, mu) with map-side partial sums, so a group holding a third of the rows adds a few partial
 rows per task. The p x p systems are solved in batches where the sums land. The coefficient table
 is written between iterations; solved groups drop out of the next one.
@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortwise.operators.cleaning import union_all
+from cohortwise.operators.layout import by_group
 from cohortwise.operators.scaling import class_weights
 from cohortwise.session import materialise
 
@@ -170,11 +171,12 @@ def fit_grouped_lr(
         F.lit(False).alias("converged"),
     )
     schema = state.schema
+    laid_out = by_group(rows, key, groups.select(key, "n_train").distinct(), len(mus), p + 1)
     sums = NewtonSums(key, features, label, "trial")
     update = _update(p, l2, tol, prox, center if center is not None else [0.0] * (p + 1))
     solved: list[DataFrame] = []
     for iteration in range(max_iter):
-        at_trial = sums(rows.join(state.select(key, "mu", "w_pos", "w_neg", "trial"), key))
+        at_trial = sums(laid_out.with_groups(state.select(key, "mu", "w_pos", "w_neg", "trial")))
         moved = materialise(state.join(at_trial, [key, "mu"]).mapInPandas(update, schema), f"step_{iteration}")
         state = moved.filter(~F.col("done"))
         last = iteration == max_iter - 1 or state.isEmpty()
