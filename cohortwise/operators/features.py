@@ -99,8 +99,11 @@ def activity_features(df: DataFrame) -> DataFrame:
     )
 
 
-def grade_features(df: DataFrame) -> DataFrame:
-    """Label, client key and derived columns of the grades table (one row per student and subject)."""
+def grade_features(df: DataFrame, absence_rate: bool = True) -> DataFrame:
+    """Label, client key and derived columns of the grades table (one row per student and subject).
+
+    `absence_rate` needs each subject's maximum, a pass over the table of its own; leave it out where nothing reads it.
+    """
     df = with_client_id(with_label(df, "G3", threshold=PASS_GRADE), ["school", "subject"])
     df = df.withColumns(
         {
@@ -111,7 +114,8 @@ def grade_features(df: DataFrame) -> DataFrame:
             "support": scalar.flag("schoolsup", "yes") + scalar.flag("famsup", "yes"),
         }
     )
-    df = max_normalise(df, "absences", "absence_rate", by=["subject"])
+    if absence_rate:
+        df = max_normalise(df, "absences", "absence_rate", by=["subject"])
     return df.withColumns(
         {
             "total_clicks": F.col("avg_grade") * 100,

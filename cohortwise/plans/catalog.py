@@ -99,13 +99,14 @@ def zone_pipeline(src: StarSource) -> DataFrame:
 
 @query
 def delimited_scan(src: StarSource) -> DataFrame:
-    """Probe encodings and separators of one semicolon file per subject, then stack them."""
+    """One semicolon file per subject, probed and by its fixed separator, then stacked."""
     parts = []
     for subject in ("math", "portuguese"):
         path = scratch_path(src.spark, subject)
         rows = src.uci().filter(F.col("subject") == subject).drop("subject")
         rows.write.options(header=True, sep=";").csv(path)
-        parts.append(tables.read_delimited(src.spark, path, "G3").withColumn("subject", F.lit(subject)))
+        found = tables.read_delimited(src.spark, path, "G3") if subject == "math" else tables.read_semicolon(src.spark, path)
+        parts.append(found.withColumn("subject", F.lit(subject)))
     return cleaning.union_all(parts, allow_missing=True).groupBy("subject").agg(
         F.count("*").alias("n"), bigint(F.sum("G3")).alias("sum_g3"), bigint(F.max("absences")).alias("max_absences")
     )
@@ -362,7 +363,8 @@ def class_distribution(src: StarSource) -> DataFrame:
 @query
 def grade_profile(src: StarSource) -> DataFrame:
     """Per subject."""
-    out = profiling.profile_by_label(features.grade_features(src.uci()), GRADE_METRICS, by=["subject"])
+    rows = features.grade_features(src.uci(), absence_rate=False)
+    out = profiling.profile_by_label(rows, GRADE_METRICS, by=["subject"])
     return rounded(out, "pos", "neg", "diff", "ratio")
 
 
@@ -530,9 +532,8 @@ def _client_rows(src: StarSource, cols: list[str]) -> DataFrame:
     return prepare.client_rows(materialise(src.learners(), "learners"), cols)
 
 
-def _engagement_rows(src: StarSource) -> DataFrame:
-    rows = features.engagement_features(src.xapi())
-    return prepare.client_rows(rows, ENGAGEMENT_PAIR, min_rows=ENGAGEMENT_MIN_ROWS)
+def _engagement_rows(src: StarSource, cols: list[str] = ENGAGEMENT_PAIR) -> DataFrame:
+    return prepare.client_rows(features.engagement_features(src.xapi()), cols, min_rows=ENGAGEMENT_MIN_ROWS)
 
 
 def _train(rows: DataFrame) -> DataFrame:
@@ -682,8 +683,7 @@ def fed_rounds_full(src: StarSource) -> DataFrame:
 def fed_rounds_engagement(src: StarSource) -> DataFrame:
     """G4-G11 on the engagement table, whose small groups include idle and degenerate ones."""
     cols = FEATURES["xapi"]
-    rows = prepare.client_rows(features.engagement_features(src.xapi()), cols, min_rows=ENGAGEMENT_MIN_ROWS)
-    return rounded(rounds.run_rounds(rows, cols), *metrics.METRICS)
+    return rounded(rounds.run_rounds(_engagement_rows(src, cols), cols), *metrics.METRICS)
 
 
 @query
@@ -729,14 +729,14 @@ def _pooled_rows(learners: DataFrame, cols: list[str]) -> DataFrame:
     return materialise(splitting.stratified_split(rows, ["client_id", "id_student"]), "pooled_rows")
 
 
-def _pooled_lr(learners: DataFrame, cols: list[str]) -> DataFrame:
-    return pooled.compare_models(_pooled_rows(learners, cols), cols, {"LR": pooled.SCALED_MODELS["LR"]})
+def _pooled(learners: DataFrame, cols: list[str], models: list[str]) -> DataFrame:
+    return pooled.compare_models(_pooled_rows(learners, cols), cols, {m: pooled.SCALED_MODELS[m] for m in models})
 
 
 @query
 def pooled_lr(src: StarSource) -> DataFrame:
     """L4, M1, M3, M5: pooled regression on two features."""
-    out = _pooled_lr(src.learners(), PAIR).select("model", *metrics.METRICS, "tn", "fp", "fn", "tp", "n_train", "n_test")
+    out = _pooled(src.learners(), PAIR, ["LR"]).select("model", *metrics.METRICS, "tn", "fp", "fn", "tp", "n_train", "n_test")
     return rounded(out, *metrics.METRICS)
 
 
@@ -801,25 +801,27 @@ def pooled_models_engagement(src: StarSource) -> DataFrame:
 _STORED: dict[tuple, dict[str, str]] = {}
 
 
-def _stored_results(src: StarSource) -> dict[str, str]:
+def _stored_results(src: StarSource, full: bool) -> dict[str, str]:
     """Train on both datasets, write the results as JSON; the report queries read them.
 
-    Results are reused while the tables they come from are unchanged and the files still exist.
+    `full`: on the whole feature lists with all three pooled models; else on two features each and the
+    pooled regression, which SQL can check. Results are reused while the tables they come from are
+    unchanged and the files still exist.
     """
-    key = (src.spark.sparkContext.applicationId, src.root, path_state(src.spark, f"{src.root}/*.parquet"))
+    key = (src.spark.sparkContext.applicationId, src.root, full, path_state(src.spark, f"{src.root}/*.parquet"))
     known = _STORED.get(key)
     if known and all(path_state(src.spark, f"{path}/_SUCCESS") for path in known.values()):
         return known
     paths = {name: scratch_path(src.spark, name) for name in ("history", "pooled")}
-    runs = {
-        "courses": (_client_rows(src, PAIR), src.learners(), PAIR),
-        "engagement": (_engagement_rows(src), features.engagement_features(src.xapi()), ENGAGEMENT_PAIR),
-    }
+    lists = {"courses": FEATURES["oulad"], "engagement": FEATURES["xapi"]} if full else {"courses": PAIR, "engagement": ENGAGEMENT_PAIR}
+    learners = {"courses": src.learners(), "engagement": features.engagement_features(src.xapi())}
+    rows = {"courses": _client_rows(src, lists["courses"]), "engagement": _engagement_rows(src, lists["engagement"])}
+    names = list(pooled.SCALED_MODELS) if full else ["LR"]
     history, models = [], []
-    for dataset, (rows, learners, cols) in runs.items():
+    for dataset, cols in lists.items():
         name = F.lit(dataset).alias("dataset")
-        history.append(rounds.run_rounds(rows, cols, sweep=rounds.SWEEP).select(name, "*"))
-        models.append(_pooled_lr(learners, cols).select(name, "*"))
+        history.append(rounds.run_rounds(rows[dataset], cols, sweep=rounds.SWEEP).select(name, "*"))
+        models.append(_pooled(learners[dataset], cols, names).select(name, "*"))
     tables.write_results(cleaning.union_all(history), paths["history"])
     tables.write_results(cleaning.union_all(models), paths["pooled"])
     _STORED[key] = paths
@@ -827,10 +829,10 @@ def _stored_results(src: StarSource) -> dict[str, str]:
 
 
 class Report:
-    """The stored histories and pooled results of the two-feature runs."""
+    """The stored histories and pooled results, of the two-feature runs or the full ones."""
 
-    def __init__(self, src: StarSource):
-        paths = _stored_results(src)
+    def __init__(self, src: StarSource, full: bool = False):
+        paths = _stored_results(src, full)
         values = ", ".join(f"{m} double" for m in metrics.METRICS)
         self.history = tables.read_results(
             src.spark,
@@ -949,6 +951,47 @@ def series_strategies(src: StarSource) -> DataFrame:
     return rounded(results.series_strategies(Report(src).finals), "auc")
 
 
+@query
+def result_long_full(src: StarSource) -> DataFrame:
+    """R4 on the whole feature lists: every pooled model, strategy and strength of both datasets."""
+    report = Report(src, full=True)
+    return results.result_table(report.pooled, report.finals, report.sweep)
+
+
+@query
+def pooled_table_full(src: StarSource) -> DataFrame:
+    """R10 with the regression and both ensembles."""
+    return rounded(results.pooled_table(Report(src, full=True).pooled), "LR", "RF", "GBT")
+
+
+@query
+def mu_table_full(src: StarSource) -> DataFrame:
+    """G12, R9 on the whole feature lists."""
+    return rounded(results.mu_table(Report(src, full=True).sweep), "auc")
+
+
+@query
+def series_bars_full(src: StarSource) -> DataFrame:
+    """Three pooled models and the strategies."""
+    report = Report(src, full=True)
+    return rounded(results.series_bars(report.pooled, report.finals), "auc")
+
+
+@query
+def report_audit(src: StarSource) -> DataFrame:
+    """What the full reports rest on: rounds or models, values within 0 and 1, groups or rows, and the best."""
+    report = Report(src, full=True)
+    within = F.forall(F.array(*metrics.METRICS), lambda m: (m >= 0) & (m <= 1))
+    runs = report.history.groupBy("dataset", F.col("strategy").alias("name"), "mu").agg(
+        F.count_if(within).alias("n_within"), F.min("n_clients").alias("size"), F.lit(0).cast("bigint").alias("n_best")
+    )
+    each = report.pooled.groupBy("dataset", F.col("model").alias("name"), F.lit(None).cast("double").alias("mu")).agg(
+        F.count_if(within).alias("n_within"), F.max(F.col("n_train") + F.col("n_test")).alias("size")
+    )
+    best = report.pooled.groupBy("dataset").agg(F.count_if("is_best").alias("n_best"))
+    return runs.unionByName(each.join(best, "dataset"))
+
+
 @query
 def best_course(src: StarSource) -> DataFrame:
     """O3: per module the course with the highest pass rate, ties by the smaller presentation number."""

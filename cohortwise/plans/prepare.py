@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortwise.operators.cleaning import clean_table, complete_features, min_group, union_all
+from cohortwise.operators.cleaning import available_features, clean_table, complete_features, min_group, union_all
 from cohortwise.operators.features import build_features
 from cohortwise.operators.scaling import standardise
 from cohortwise.operators.splitting import stratified_split
@@ -59,8 +59,10 @@ def client_rows(
     """Rows (key, id, label, is_test, features...) of the groups with at least `min_rows` rows.
 
     Small groups go first, then incomplete rows; what is left is split within each group and scaled
-    by the statistics of the group's own training rows.
+    by the statistics of the group's own training rows. Features that `df` lacks are left out; where it
+    has none of them the default ones take their place.
     """
+    features = available_features(df, features)
     rows = df.select(key, id_col, "label", *features)
     rows = complete_features(min_group(rows, key, min_rows), [*features, "label"])
     rows = materialise(rows, "complete_rows")

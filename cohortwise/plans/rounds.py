@@ -6,6 +6,7 @@ is solved once per strength, and rounds become recurrences on vectors of p + 1 n
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -130,9 +131,11 @@ def run_rounds(
     sweep: Sequence[float] = (),
     exclude_degenerate: bool = False,
     bias_correction: bool = False,
+    unconverged: str = "warn",
 ) -> DataFrame:
     """Rows (strategy, mu, round, n_clients, auc, accuracy, f1, precision, recall).
 
+    Local models that did not converge are combined with a warning; `unconverged="raise"` refuses them.
     `rows` come from `client_rows`. With `sweep` the proximal strategy is also run for those strengths.
     Fewer than two groups cannot be combined and give an empty history (see `client_status`).
     """
@@ -141,11 +144,21 @@ def run_rounds(
     mus = sorted({0.0, *([prox_mu] if "FedProx" in strategies else []), *sweep})
     train, test = rows.filter(F.col("is_test") == 0), rows.filter(F.col("is_test") == 1)
     models = materialise(fit_grouped_lr(train, key, features, mus=mus), "models")
+    _check_converged(models, unconverged)
     paths = model_paths(models, key, rounds, strategies, prox_mu, sweep, bias_correction)
     scored = evaluate_paths(test, paths, features, key, exclude_degenerate)
     return weighted_round_mean(scored, ["strategy", "mu", "round"])
 
 
+def _check_converged(models: DataFrame, unconverged: str) -> None:
+    open_ones = models.filter("trainable AND NOT converged").count()
+    if open_ones:
+        message = f"{open_ones} local models did not converge"
+        if unconverged == "raise":
+            raise RuntimeError(message)
+        warnings.warn(message, stacklevel=3)
+
+
 def mu_sweep(
     rows: DataFrame, features: Sequence[str], mus: Sequence[float] = SWEEP, key: str = "client_id", rounds: int = ROUNDS
 ) -> DataFrame:

@@ -10,9 +10,15 @@ from pyspark.sql import types as T
 
 from cohortwise.sources.specs import DatasetSpec
 
-# Encodings tried for delimited files, in order, and the separators.
-ENCODINGS = ("ISO-8859-1", "windows-1252", "UTF-8")
+# Encodings tried for delimited files and the separators. The strictest encoding comes
+# first: UTF-8 refuses most other bytes, windows-1252 five of them, and ISO-8859-1 none.
+ENCODINGS = ("UTF-8", "windows-1252", "ISO-8859-1")
 SEPARATORS = (";", ",")
+# what stands for bytes that an encoding cannot read
+REPLACEMENT = "\ufffd"
+# Spark has no windows-1252: it is ISO-8859-1 with other characters in place of the upper control codes
+_CONTROLS = "".join(map(chr, range(0x80, 0xA0)))
+_IN_WINDOWS = _CONTROLS.encode("latin-1").decode("cp1252", "replace")
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, sep: str = ",") -> DataFrame:
@@ -35,21 +41,41 @@ def read_delimited(
     encodings: Iterable[str] = ENCODINGS,
     min_rows: int = 10,
 ) -> DataFrame:
-    """First (encoding, separator) reading of the file that has column `must_have` and more than `min_rows` rows."""
+    """First (encoding, separator) reading of the file that has column `must_have`, more than `min_rows` rows
+    and no byte that the encoding cannot read."""
     paths = [paths] if isinstance(paths, str) else list(paths)
     for encoding in encodings:
         for sep in seps:
-            options = {"header": True, "sep": sep, "encoding": encoding}
-            try:
-                probe = spark.read.options(**options).csv(paths)
-                accepted = must_have in probe.columns and probe.limit(min_rows + 1).count() > min_rows
-            except Exception:  # an encoding or layout Spark cannot read is just not the right candidate
-                continue
-            if accepted:
-                return spark.read.options(inferSchema=True, **options).csv(paths)
+            probe = _read_encoded(spark, paths, encoding, sep)
+            accepted = must_have in probe.columns and probe.limit(min_rows + 1).count() > min_rows
+            if accepted and _readable(probe):
+                return _read_encoded(spark, paths, encoding, sep, infer=True)
     raise ValueError(f"no candidate encoding and separator gives column {must_have!r} in {paths}")
 
 
+def _read_encoded(spark: SparkSession, paths: Sequence[str], encoding: str, sep: str, infer: bool = False) -> DataFrame:
+    windows = encoding == "windows-1252"
+    options = {"header": True, "sep": sep, "encoding": "ISO-8859-1" if windows else encoding, "inferSchema": infer}
+    df = spark.read.options(**options).csv(list(paths))
+    if not windows:
+        return df
+    names = [name.translate(str.maketrans(_CONTROLS, _IN_WINDOWS)) for name in df.columns]
+    values = [F.translate(f"`{c}`", _CONTROLS, _IN_WINDOWS) if t == "string" else F.col(f"`{c}`") for c, t in df.dtypes]
+    return df.select(*[value.alias(name) for value, name in zip(values, names, strict=True)])
+
+
+def _readable(probe: DataFrame) -> bool:
+    if any(REPLACEMENT in name for name in probe.columns):
+        return False
+    whole = F.concat_ws("", *[F.col(f"`{name}`") for name in probe.columns])
+    return probe.filter(F.contains(whole, F.lit(REPLACEMENT))).isEmpty()
+
+
+def read_semicolon(spark: SparkSession, paths: str | Sequence[str], must_have: str = "G3") -> DataFrame:
+    """A `;` file of any length in the first encoding that reads it."""
+    return read_delimited(spark, paths, must_have, seps=(";",), min_rows=0)
+
+
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 

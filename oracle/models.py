@@ -247,6 +247,23 @@ add(
       1 AS consistent, 1 AS best_is_top, CAST(1 AS BIGINT) AS n_best
     FROM (VALUES ('LR'), ('RF'), ('GBT')) AS v(model)""",
 )
+add(
+    "report_audit",
+    "\nUNION ALL ".join(
+        f"""SELECT '{dataset}' AS dataset, name, CAST(mu AS DOUBLE) AS mu, CAST(n_within AS BIGINT) AS n_within,
+          CASE WHEN n_within = 1 THEN (SELECT COUNT(*) FROM {table} WHERE {whole})
+            ELSE (SELECT COUNT(*) FROM (SELECT client_id FROM {table} GROUP BY client_id
+              HAVING COUNT(*) >= {least} AND COUNT_IF({whole}) >= 2)) END AS size,
+          CAST(n_best AS BIGINT) AS n_best
+        FROM (VALUES ('LR', NULL, 1, 1), ('RF', NULL, 1, 1), ('GBT', NULL, 1, 1), ('FedAvg', 0, {ROUNDS}, 0), ('FedAdam', 0, {ROUNDS}, 0),
+          ('FedMedian', 0, {ROUNDS}, 0), ('FedProx', 0.01, {ROUNDS}, 0), ('FedProx', 0.1, {ROUNDS}, 0), ('FedProx', 1, {ROUNDS}, 0))
+          AS v(name, mu, n_within, n_best)"""
+        for dataset, table, least, whole in (
+            ("courses", "feat", 20, "avg_score IS NOT NULL"),
+            ("engagement", "xfeat", 5, "total_engagement IS NOT NULL"),
+        )
+    ),
+)
 add("pooled_lr", f"SELECT model, {ROUNDED_METRICS}, tn, fp, fn, tp, n_train, n_test FROM pooled_lr")
 add(
     "round_deltas",

@@ -193,3 +193,23 @@ def test_reports_of_two_datasets_stay_apart(spark):
     assert {(r["dataset"], r["strategy"], round(r["diff_vs_lr"], 6), r["note"]) for r in table.collect()} == {
         ("one", "FedAvg", -0.1, "best"), ("one", "FedProx", -0.2, ""), ("two", "FedAvg", -0.1, ""), ("two", "FedProx", -0.05, "best"),
     }
+
+
+def test_default_features_where_none_is_there(spark):
+    rows = spark.range(60).select(
+        (F.col("id") % 2).cast("string").alias("client_id"), F.col("id").alias("id_student"), (F.col("id") % 3 == 0).cast("int").alias("label"),
+        F.col("id").alias("total_clicks"), (F.col("id") % 7).alias("days_active"),
+    )
+    got = prepare.client_rows(rows, ["raisedhands"])
+    assert {"total_clicks", "days_active"} <= set(got.columns) and "raisedhands" not in got.columns and got.count() == 60
+    some = prepare.client_rows(rows, ["days_active", "raisedhands"])
+    assert "days_active" in some.columns and "total_clicks" not in some.columns
+
+
+def test_unconverged_models_are_named(spark):
+    models = spark.createDataFrame([("a", True, False), ("b", False, False)], "client_id string, trainable boolean, converged boolean")
+    with pytest.warns(UserWarning, match="1 local models"):
+        rounds._check_converged(models, "warn")
+    with pytest.raises(RuntimeError, match="did not converge"):
+        rounds._check_converged(models, "raise")
+    rounds._check_converged(models.filter("client_id = 'b'"), "raise")

@@ -35,6 +35,22 @@ def test_delimited_probe_refuses_short_files(spark, tmp_path):
         tables.read_delimited(spark, str(path), "G3")
 
 
+@pytest.mark.parametrize("encoding, name", [("utf-8", "João–Zoë"), ("cp1252", "João–Zoë"), ("latin-1", "João\x81")])
+def test_every_encoding_can_be_found(spark, tmp_path, encoding, name):
+    path = tmp_path / "grades.csv"
+    path.write_bytes("\n".join(["name;G3", *["a;1"] * 11, f"{name};2"]).encode(encoding))
+    for df in (tables.read_delimited(spark, str(path), "G3"), tables.read_semicolon(spark, str(path))):
+        assert df.filter("G3 = 2").first()["name"] == name and df.count() == 12
+
+
+def test_semicolon_files_of_any_length(spark, tmp_path):
+    path = tmp_path / "grades.csv"
+    path.write_text("name;G3\na;1\n")
+    assert tables.read_semicolon(spark, str(path)).first() == ("a", 1)
+    with pytest.raises(ValueError):
+        tables.read_semicolon(spark, str(path), "G4")
+
+
 def test_source_status(spark, tmp_path):
     spark.range(3).write.parquet(str(tmp_path / "good"))
     got = tolerant.source_status(spark, {"good": str(tmp_path / "good"), "bad": str(tmp_path / "none")})
