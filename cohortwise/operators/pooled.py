@@ -46,6 +46,9 @@ def fit_pooled(train: DataFrame, test: DataFrame, kind: str, params: Mapping[str
         weight = train.agg(F.sum("class_weight").alias("s")).first()["s"]
         params["regParam"] = 1.0 / (params.pop("C") * weight)
     model = KINDS[kind](labelCol=label, featuresCol="features", **params).fit(train)
+    # a training summary holds the session, which no task can be sent once it has an observation
+    if getattr(model, "hasSummary", False):
+        model._java_obj.setSummary(train.sparkSession._jvm.scala.Option.empty())
     out = model.transform(test).withColumn("prob", vector_to_array("probability")[1])
     return out.withColumn("pred", F.col("prediction").cast("int"))
 

@@ -7,6 +7,7 @@ import pytest
 from cohortwise.operators import combining, grouped_lr, pooled
 from cohortwise.plans import prepare, results, rounds
 from pyspark.ml.classification import LogisticRegression
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 COLS = ["x0", "x1", "x2"]
@@ -213,3 +214,13 @@ def test_unconverged_models_are_named(spark):
     with pytest.raises(RuntimeError, match="did not converge"):
         rounds._check_converged(models, "raise")
     rounds._check_converged(models.filter("client_id = 'b'"), "raise")
+
+
+@pytest.mark.parametrize("kind", ["LR", "RF", "GBT"])
+def test_models_score_in_a_session_with_observations(spark, train, kind):
+    seen = Observation()
+    train.observe(seen, F.count(F.lit(1)).alias("n")).write.format("noop").mode("overwrite").save()
+    assert seen.get["n"] == 1200
+    rows = pooled.assemble(train, COLS)
+    params = {"LR": {}, "RF": {"numTrees": 3}, "GBT": {"maxIter": 2}}[kind]
+    assert pooled.fit_pooled(rows, rows, kind, params).agg(F.count("prob")).first()[0] == 1200
