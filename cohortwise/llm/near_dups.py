@@ -13,25 +13,26 @@ are frequent enough to matter, which bounds the table that is sent to the tasks.
    samples agree with probability equal to the weighted Jaccard similarity. Texts that agree on a
    whole band meet in a bucket; two of similarity 0.8 do so with probability 0.9997.
 3. In a group of at most `SMALL` members all pairs of different classes are candidates. In a larger
-   one all members meet `HUBS` members drawn by hash, never each other. Candidates whose samples
-   agree too rarely for the similarity are left out; of the others the weighted Jaccard similarity is
+   one all members meet `HUBS` members drawn by hash, never each other. A text's weight summed in `BINS`
+   bins of shingles bounds what it can share with another text; candidates whose bound is below the
+   similarity are left out, which loses none. Of the others the weighted Jaccard similarity is
    computed from the texts, and links are joined into classes by spreading the smallest id.
 4. Members of large groups that still hold several classes are grouped anew, by longer keys out of
-   `POOL` further samples and by more of them: `LEVELS` names (keys, samples a key). Two texts of
-   similarity 0.8 share a key of these levels with probability 0.998, 0.99, 0.84 and 0.36; the longer
-   keys only decide about texts that are in large groups of the level before, where texts agree on so
-   many samples that hubs link them. Step 3 runs on every level.
-5. Of groups that are large on the last level all pairs of different classes are compared, which are
-   few: their members agree on 24 further samples without being linked.
-
-Work and rows are members times hubs and keys. Nothing depends on the square of a group's size but
-step 5, which only texts reach that are nearly equal and still in different classes.
+   `POOL` further samples and by more of them: `LEVELS` names (keys, samples a key). Step 3 runs on
+   every level. This joins most classes of a crowd of near copies with few comparisons.
+5. The large groups of step 2 that hold several classes after that are compared whole, so that no link
+   of a bucket is lost: their members are dealt into blocks of some `BLOCK` characters, those of a large
+   class together, and every two blocks meet in a task of their own. Of all pairs of different classes
+   that their bins do not rule out the similarity is computed, in the first band that they share, until
+   they are in one class.
+
+Rows are members times hubs and keys, and blocks. The work of step 5 alone grows with the square of a
+group's size, less the pairs inside a class; it needs the memory of two blocks.
 """
 
 from __future__ import annotations
 
 import functools
-import math
 import random
 import struct
 from collections.abc import Iterator
@@ -43,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortwise.llm.common import arrow_map, hash_words, materialise
+from cohortwise.llm.common import arrow_map, arrow_schema, hash_words, materialise, record_batch
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -51,8 +52,10 @@ BANDS, ROWS = 8, 2
 SMALL, HUBS = 16, 2
 POOL = 64
 LEVELS = ((12, 4), (24, 8), (64, 16), (96, 24))
-SPREADS = 3.7
-"""Standard deviations below the mean number of agreeing samples from which on a pair is left out: less than one in 5,000."""
+BINS = 128
+BLOCK, SLICE = 8_000_000, 16
+ROW_CHARS = 1_024
+"""Characters that a text counts for in a block besides its own."""
 RARE, HIGHEST = 100, 1.5
 CHUNK_SHINGLES = 2_000_000
 SEEN_BITS = 20
@@ -205,8 +208,33 @@ def drawn(parts: list[tuple], idf: Idf, number: int, first: int = 0) -> np.ndarr
     return samples(found, log_weight, starts, number, first)
 
 
+def profiles(parts: list[tuple], idf: Idf) -> tuple[np.ndarray, np.ndarray]:
+    """Of texts given by their `features`: the weight in each bin of shingles, rounded up, and in all."""
+    found = np.concatenate([f for f, _ in parts])
+    weight = np.concatenate([c for _, c in parts]) * idf.of(found).astype(np.float64)
+    at = np.repeat(np.arange(len(parts)), [len(f) for f, _ in parts])
+    exact = np.bincount(at * BINS + (found % np.uint64(BINS)).astype(np.int64), weight, len(parts) * BINS)
+    with np.errstate(over="ignore"):  # infinity is a bound, too
+        near = exact.astype(np.float16)
+        bins = np.where(near < exact, np.nextafter(near, np.float16(np.inf)), near)
+    return bins.reshape(len(parts), BINS), np.bincount(at, weight, len(parts))
+
+
+def possible(bins: np.ndarray, weight: np.ndarray, other: np.ndarray, others: np.ndarray, similarity: float) -> np.ndarray:
+    """How far the largest overlap that the bins allow is above the one `similarity` needs; pairs below 0 are no links.
+
+    Texts share at most the smaller weight of every bin.
+    """
+    shared = np.minimum(bins, other).sum(axis=-1, dtype=np.float32)
+    return shared - np.float32(similarity / (1 + similarity) * (1 - 1e-5)) * (weight + others).astype(np.float32)
+
+
+def _unpacked(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.float16).astype(np.float32).reshape(-1, BINS)
+
+
 def _signatures(docs: DataFrame, idf: Idf) -> DataFrame:
-    """(doc_id, t1, t2, sketch): 128-bit hash of the words and the samples; only texts with words."""
+    """(doc_id, t1, t2, sketch, bins, weight): 128-bit hash of the words, samples and profile; only texts with words."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
@@ -217,14 +245,18 @@ def _signatures(docs: DataFrame, idf: Idf) -> DataFrame:
                 if not known:
                     continue
                 same = [text_hash(w) for _, w in known]
+                parts = [features(w) for _, w in known]
+                bins, weight = profiles(parts, idf)
                 yield {
                     "doc_id": [i for i, _ in known],
                     "t1": [s for s, _ in same],
                     "t2": [s for _, s in same],
-                    "sketch": list(drawn([features(w) for _, w in known], idf, BANDS * ROWS).view(np.int64)),
+                    "sketch": list(drawn(parts, idf, BANDS * ROWS).view(np.int64)),
+                    "bins": [row.tobytes() for row in bins],
+                    "weight": weight,
                 }
 
-    return arrow_map(docs, work, "doc_id long, t1 long, t2 long, sketch array<long>")
+    return arrow_map(docs, work, "doc_id long, t1 long, t2 long, sketch array<long>, bins binary, weight double")
 
 
 def _pools(texts: DataFrame, idf: Idf) -> DataFrame:
@@ -326,41 +358,47 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     own = signed.groupBy("doc_id").agg(F.min(F.struct("t1", "t2")).alias("t")).select("doc_id", "t.t1", "t.t2")
     own = materialise(own, "own_texts")
     unique = own.groupBy("t1", "t2").agg(F.min("doc_id").alias("rep"))
-    sketches = signed.groupBy("t1", "t2").agg(F.first("sketch").alias("sketch"))  # equal for equal words
+    sketches = signed.groupBy("t1", "t2").agg(F.first(F.struct("sketch", "bins", "weight")).alias("s"))  # equal for equal words
+    sketches = sketches.select("t1", "t2", "s.*")
     unique = materialise(unique.join(sketches, ["t1", "t2"]), "texts")
     bands = [range(k * ROWS, k * ROWS + ROWS) for k in range(BANDS)]
-    groups = _grouped(unique, bands)
+    groups = buckets = _grouped(unique, bands)
     classes = materialise(groups.select("rep").distinct().select("rep", F.col("rep").alias("class")), "classes")
     wanted = unique.select("t1", "t2", "rep").join(classes, "rep").select(F.col("rep").alias("doc_id"), "t1", "t2")
     texts = materialise(_same_words(docs, wanted), "candidate_texts")
-    sketch = unique.select("rep", "sketch")
+    profile = unique.select("rep", "bins", "weight")
     links = texts.sparkSession.createDataFrame([], "a long, b long, similarity double")
     seen, pools, draw = links.select("a", "b"), None, random.Random(17)
-    for level in range(len(LEVELS) + 2):
-        last = level > len(LEVELS)
-        pairs = _all_pairs(groups, classes) if last else _pairs(groups, classes)
-        pairs = _likely(pairs.join(seen, ["a", "b"], "left_anti"), sketch, similarity)
+
+    def compare(pairs: DataFrame) -> None:
+        nonlocal links, seen, classes
         pairs = materialise(pairs, "pairs")
         found = materialise(_verified(pairs, texts, idf, similarity), "links")
         seen = seen.union(pairs)
         if not found.isEmpty():
             links = links.union(found)
             classes = materialise(_spread(classes, found), "classes")
-        if last:
+
+    for level in range(len(LEVELS) + 1):
+        compare(_likely(_pairs(groups, classes).join(seen, ["a", "b"], "left_anti"), profile, similarity))
+        if level == len(LEVELS):
             break
         left = materialise(_mixed(groups, classes), "mixed")
         if left.isEmpty():
             break
-        if level == len(LEVELS):
-            groups = left
-            continue
         reps = left.select("rep").distinct()
         if pools is None:
             bodies = texts.join(reps.withColumnRenamed("rep", "doc_id"), "doc_id").select("doc_id", "text")
-            sketch = pools = materialise(_pools(bodies, idf), "pools")
+            pools = materialise(_pools(bodies, idf), "pools")
         keys, size = LEVELS[level]
         chosen = [draw.sample(range(POOL), size) for _ in range(keys)]
         groups = _grouped(pools.join(reps, "rep"), chosen)
+    left = materialise(_mixed(buckets, classes), "mixed")
+    if not left.isEmpty():
+        found = materialise(_across(left, classes, texts, idf, similarity), "links")
+        if not found.isEmpty():
+            links = links.union(found).dropDuplicates(["a", "b"])
+            classes = materialise(_spread(classes, found), "classes")
     degrees = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n"))
     reps = unique.select("t1", "t2", "rep").join(classes, "rep", "left").join(degrees, "rep", "left")
     known = own.join(reps, ["t1", "t2"]).select("doc_id", "rep", "class", "n")
@@ -404,7 +442,7 @@ def _grouped(sketches: DataFrame, chosen: list) -> DataFrame:
 def _pairs(groups: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs a < b of different classes: all of a small group, of a large one those with one of its hubs."""
     rows = groups.join(classes, "rep")
-    hubs = [F.min(F.struct(F.xxhash64("rep", "band", F.lit(k)).alias("at"), "rep", "class")) for k in range(HUBS)]
+    hubs = [F.min(F.struct(F.xxhash64("rep", F.lit(k)).alias("at"), "rep", "class")) for k in range(HUBS)]
     sized = rows.groupBy("band", "key").agg(
         F.count("*").alias("n"), F.min("class").alias("__lo"), F.max("class").alias("__hi"), F.array(*hubs).alias("hubs")
     )
@@ -421,27 +459,92 @@ def _pairs(groups: DataFrame, classes: DataFrame) -> DataFrame:
     return inside.union(across).distinct()
 
 
-def _all_pairs(groups: DataFrame, classes: DataFrame) -> DataFrame:
-    """All pairs a < b of different classes in a group."""
-    rows = groups.join(classes, "rep")
-    one = rows.select("band", "key", F.col("rep").alias("a"), F.col("class").alias("ca"))
-    two = rows.select("band", "key", F.col("rep").alias("b"), F.col("class").alias("cb"))
-    return one.join(two, ["band", "key"]).filter("a < b AND ca <> cb").select("a", "b").distinct()
-
+def _likely(pairs: DataFrame, profile: DataFrame, similarity: float) -> DataFrame:
+    """Pairs that the profiles of their texts do not rule out."""
+    left = profile.select(F.col("rep").alias("a"), F.col("bins").alias("ba"), F.col("weight").alias("wa"))
+    right = profile.select(F.col("rep").alias("b"), F.col("bins").alias("bb"), F.col("weight").alias("wb"))
+    rows = pairs.join(right, "b").join(left, "a").select("a", "b", "ba", "bb", "wa", "wb")
 
-def least_agreement(number: int, similarity: float) -> int:
-    """Agreeing samples of `number` that a pair of at least `similarity` has, but for `SPREADS`."""
-    return max(0, math.ceil(number * similarity - SPREADS * math.sqrt(number * similarity * (1 - similarity))))
-
-
-def _likely(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
-    """Pairs whose sketches agree often enough."""
-    left = sketches.select(F.col("rep").alias("a"), F.col("sketch").alias("sa"))
-    right = sketches.select(F.col("rep").alias("b"), F.col("sketch").alias("sb"))
-    sizes = {n: least_agreement(n, similarity) for n in (BANDS * ROWS, POOL)}
-    least = F.expr(f"CASE size(sa) {' '.join(f'WHEN {n} THEN {least}' for n, least in sizes.items())} END")
-    same = F.size(F.expr("filter(zip_with(sa, sb, (x, y) -> x = y), v -> v)"))
-    return pairs.join(right, "b").join(left, "a").filter(same >= least).select("a", "b")
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            ba, bb = (_unpacked(batch.column(k)) for k in (2, 3))
+            wa, wb = (batch.column(k).to_numpy() for k in (4, 5))
+            keep = np.flatnonzero(possible(ba, wa, bb, wb, similarity) >= 0)
+            yield {"a": batch.column(0).take(pa.array(keep)), "b": batch.column(1).take(pa.array(keep))}
+
+    return arrow_map(rows, work, "a long, b long")
+
+
+def _across(left: DataFrame, classes: DataFrame, texts: DataFrame, idf: Idf, similarity: float) -> DataFrame:
+    """(a, b, similarity): links a < b that join all classes of a group of `left` that have any link."""
+    group = ["band", "key"]
+    bodies = texts.select(F.col("doc_id").alias("rep"), "text")
+    # a text's keys by band; its own id, which no other text has, where it is in no such group
+    keys = left.groupBy("rep").agg(*[F.max(F.when(F.col("band") == k, F.col("key"))).alias(f"k{k}") for k in range(BANDS)])
+    keys = keys.join(bodies, "rep").select(
+        "rep", (F.length("text") + ROW_CHARS).alias("size"), F.array(*[F.coalesce(f"k{k}", "rep") for k in range(BANDS)]).alias("keys")
+    )
+    rows = left.join(classes, "rep").join(keys, "rep")
+    whole = rows.groupBy(*group).agg(F.ceil(F.sum("size") / BLOCK).alias("n"))
+    parts = rows.groupBy(*group, "class").agg(F.ceil(F.sum("size") / BLOCK).alias("c"))
+    block = F.expr("pmod(pmod(xxhash64(class), n) + pmod(xxhash64(rep), c), n)").alias("block")
+    rows = rows.join(whole, group).join(parts, [*group, "class"]).select(*group, block, "rep", "class", "keys")
+    rows = materialise(rows, "members")
+    blocks = rows.groupBy(*group, "block").agg(F.min("class").alias("lo"), F.max("class").alias("hi"))
+    one = blocks.select(*group, F.col("block").alias("one"), F.col("lo").alias("l1"), F.col("hi").alias("h1"))
+    two = blocks.select(*group, F.col("block").alias("two"), F.col("lo").alias("l2"), F.col("hi").alias("h2"))
+    meet = one.join(two, group).filter("one <= two AND least(l1, l2) < greatest(h1, h2)")
+    sides = meet.select(*group, "one", "two", F.explode(F.array_distinct(F.array("one", "two"))).alias("block"))
+    met = sides.join(rows, [*group, "block"]).join(bodies, "rep")
+    types = arrow_schema("a long, b long, similarity double")
+
+    def work(table: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([record_batch(_block_links(table, idf, similarity), types)])
+
+    found = met.groupBy(*group, "one", "two").applyInArrow(work, "a long, b long, similarity double")
+    return found.dropDuplicates(["a", "b"])
+
+
+def _block_links(table: pa.Table, idf: Idf, similarity: float) -> dict:
+    """Links between the classes of one block, or between those of two, as many as it takes to join them."""
+    rep, block, group = (table.column(c).to_numpy() for c in ("rep", "block", "class"))
+    parts = [features(words_of(t)) for t in table.column("text").to_pylist()]
+    bins, weight = profiles(parts, idf)
+    order = np.argsort(weight, kind="stable")
+    keys = table.column("keys").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)[:, : table.column("band")[0].as_py()]
+    one, two = table.column("one")[0].as_py(), table.column("two")[0].as_py()
+    mine, others = order[block[order] == one], order[block[order] == two]
+    bins = bins.astype(np.float32)
+    right, above = bins[others], weight[others]
+    class_of = {c: c for c in group.tolist()}
+
+    def root(c: int) -> int:
+        while class_of[c] != c:
+            class_of[c] = c = class_of[class_of[c]]
+        return c
+
+    links = {"a": [], "b": [], "similarity": []}
+    for k in range(0, len(mine), SLICE):
+        at = mine[k : k + SLICE]
+        # a weight below `similarity` times the other one is too small for a link
+        lo, hi = np.searchsorted(above, [weight[at[0]] * similarity * (1 - 1e-9), weight[at[-1]] / similarity * (1 + 1e-9)])
+        excess = possible(bins[at, None], weight[at, None], right[None, lo:hi], above[None, lo:hi], similarity)
+        now = np.array([root(c) for c in group.tolist()])
+        fits = (excess >= 0) & (now[at, None] != now[None, others[lo:hi]])
+        if one == two:
+            fits &= rep[at, None] < rep[None, others[lo:hi]]
+        i, j = np.nonzero(fits)
+        best = np.argsort(-excess[i, j], kind="stable")
+        i, j = at[i[best]], others[lo:hi][j[best]]
+        first = ~(keys[i] == keys[j]).any(axis=1)  # pairs that share an earlier band are compared there
+        for x, y in zip(i[first].tolist(), j[first].tolist(), strict=True):
+            c, d = root(group[x]), root(group[y])
+            if c != d and (found := weighted_jaccard(parts[x], parts[y], idf)) >= similarity:
+                class_of[max(c, d)] = min(c, d)
+                links["a"].append(min(rep[x], rep[y]))
+                links["b"].append(max(rep[x], rep[y]))
+                links["similarity"].append(found)
+    return links
 
 
 def _mixed(groups: DataFrame, classes: DataFrame) -> DataFrame:

@@ -153,6 +153,43 @@ def test_pairs_of_one_template_meet_between_outsiders(spark):
     assert {d: c for d, (c,) in got.items()} == expected
 
 
+def test_no_link_of_a_large_bucket_is_lost(spark, monkeypatch):
+    """Pairs of one template whose longer keys never agree, and two classes with only one link among many near misses."""
+    monkeypatch.setattr(near_dups, "LEVELS", ((1, near_dups.POOL),))
+    monkeypatch.setattr(near_dups, "BLOCK", 80_000)
+    rng = random.Random(8)
+    fresh = lambda n: [f"f{rng.randrange(10**9)}" for _ in range(n)]
+    template, rows = fresh(400), []
+    for i in range(60):
+        shared = fresh(20)
+        rows += [(1_000 * k + i, " ".join([*template, *shared, *fresh(20)])) for k in (1, 2)]
+    front, back = fresh(45), fresh(45)
+    rows += [(3_000 + i, " ".join([*front, *template, *fresh(5)])) for i in range(30)]
+    rows += [(4_000 + i, " ".join([*template, *back, *fresh(5)])) for i in range(30)]
+    rows += [(5_000, " ".join([*front[25:], *template, *back[:20]]))]
+    expected, _ = components(rows, near_dups.SIMILARITY)
+    got = by_id(near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")), "class_id")
+    assert {d: c for d, (c,) in got.items()} == expected
+
+
+def test_profiles_rule_out_no_link():
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(40)}" for _ in range(rng.choice([1, 3, 30, 31, 3_000]))) for _ in range(60)]
+    texts += [t + " tail" for t in texts] + ["x " * 90_000, "x " * 88_000]
+    parts = [near_dups.features(near_dups.words_of(t)) for t in texts]
+    idf = near_dups.idf_of({int(parts[0][0][0]): 50}, len(texts))
+    bins, weight = near_dups.profiles(parts, idf)
+    bins = bins.astype(np.float32)
+    links = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            found = near_dups.weighted_jaccard(parts[i], parts[j], idf)
+            if found >= near_dups.SIMILARITY:
+                links += 1
+                assert near_dups.possible(bins[i], weight[i], bins[j], weight[j], found) >= 0
+    assert links > 20
+
+
 def test_large_mixed_group_is_not_compared_pair_by_pair(spark, monkeypatch):
     """400 texts of one template, most of them just below the similarity of each other, some linked."""
     rng = random.Random(3)
