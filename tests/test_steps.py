@@ -138,3 +138,42 @@ def test_binned_area_is_within_its_bound(spark, bins):
     merged = score_histogram.merge_histograms(parts[0].union(parts[1]), ["g"])
     assert sorted(map(tuple, merged.collect())) == sorted(map(tuple, score_histogram.score_histogram(df, by=["g"], bins=bins).collect()))
     assert merged.count() <= 5 * bins
+
+
+def test_features_are_worked_out_once(spark, tmp_path, monkeypatch):
+    """Of all tables that the course models and the reports write, one reads the activity rows."""
+    from pyspark.sql import DataFrameWriter
+
+    from cohortwise.plans import catalog
+
+    people = spark.range(240)
+    tables = {
+        "nation": spark.range(2).selectExpr("id AS n_nationkey", "concat('N', id) AS n_name", "id AS n_regionkey"),
+        "customer": people.selectExpr(
+            "id AS c_custkey", "id % 2 AS c_nationkey", "'AUTOMOBILE' AS c_mktsegment", "cast(id * 40 AS double) AS c_acctbal"
+        ),
+        "orders": spark.range(1_200).selectExpr(
+            "id AS o_orderkey", "id % 240 AS o_custkey", "if(hash(id) % 2 = 0, 'F', 'O') AS o_orderstatus", "'1-URGENT' AS o_orderpriority"
+        ),
+        "lineitem": spark.range(4_800).selectExpr(
+            "id % 1200 AS l_orderkey", "id % 17 AS l_partkey", "date_add(date'1995-01-01', cast(pmod(hash(id), 90) AS int)) AS l_shipdate",
+            "cast(pmod(hash(id, 1), 50) AS double) AS l_quantity",
+        ),
+        "events": spark.range(9_600).selectExpr(
+            "pmod(hash(id, 2), 240) AS user_id", "element_at(array('click', 'view', 'signup', 'purchase', 'error'), cast(1 + pmod(hash(id), 5) AS int)) AS event_type"
+        ),
+    }
+    for name, table in tables.items():
+        table.coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    read, write = [], DataFrameWriter.parquet
+
+    def counted(self, path, *args, **options):
+        read.extend(t for t in ("lineitem", "events") if any(f"/{t}.parquet" in f for f in self._df.inputFiles()))
+        return write(self, path, *args, **options)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", counted)
+    monkeypatch.setattr(catalog, "_STORED", {})
+    for name, expected in {"course_logit": ["lineitem"], "course_steps": ["lineitem"], "result_long": ["events", "lineitem"]}.items():
+        read.clear()
+        assert catalog.QUERIES[name](spark, str(tmp_path)).count()
+        assert sorted(read) == expected, name
