@@ -58,6 +58,8 @@ ROW_CHARS = 1_024
 """Characters that a text counts for in a block besides its own."""
 RARE, HIGHEST = 100, 1.5
 CHUNK_SHINGLES = 2_000_000
+TASK_DOCUMENTS = 64 * RARE
+"""Documents that a task counts at least, on average: in smaller ones a shingle of one text is not yet rare."""
 SEEN_BITS = 20
 TABLE_BITS = 14
 SUB_BATCH = 100
@@ -135,8 +137,9 @@ def document_frequencies(docs: DataFrame) -> Idf:
 
     A task counts runs of documents exactly and passes on the shingles that more than one in 16 * RARE
     of a run's documents and of its own hold. What is left out makes a frequency too small by less than
-    an eighth of the N / RARE documents from which on it matters; tasks of fewer than 16 * RARE documents
-    leave out none.
+    an eighth of the N / RARE documents from which on it matters. Tasks of fewer than 16 * RARE documents
+    leave out none, so small partitions are counted together, `TASK_DOCUMENTS` documents or more to a task:
+    how many rows a text adds does not depend on how finely the table is dealt.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -164,7 +167,8 @@ def document_frequencies(docs: DataFrame) -> Idf:
             yield {"shingle": found[often].view(np.int64), "n": n[often]}
 
     documents = docs.count()
-    rows = arrow_map(docs.select(F.col("text").cast("string")), work, "shingle long, n long")
+    dealt = docs.select(F.col("text").cast("string")).coalesce(max(1, documents // TASK_DOCUMENTS))
+    rows = arrow_map(dealt, work, "shingle long, n long")
     summed = rows.groupBy("shingle").agg(F.sum("n").alias("n"))
     often = summed.filter(F.col("n") > documents / RARE).toArrow()  # bounded, see the module's text
     keys, n = (often.column(c).to_numpy() for c in ("shingle", "n"))

@@ -228,6 +228,23 @@ def test_document_frequencies_are_those_of_the_shingles(spark, rows):
     assert near_dups.idf_of({1: 30, 2: 1}, 30).of(np.array([0, 1, 2], np.uint64)).tolist() == pytest.approx([1.5, 1.0, 1.3693], abs=1e-3)
 
 
+def test_small_partitions_pass_on_frequent_shingles_only(spark, monkeypatch):
+    """However finely the table is dealt: shingles of one text are left out where they are counted."""
+    made, keep = [], near_dups.arrow_map
+
+    def counting(df, work, schema):
+        out = keep(df, work, schema)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dups, "arrow_map", counting)
+    texts = [(i, " ".join([*(["a b c d e"] if i % 8 == 0 else []), *(f"w{i}_{k}" for k in range(10))])) for i in range(3_200)]
+    got = near_dups.document_frequencies(spark.createDataFrame(texts, "doc_id long, text string").repartition(40))
+    common = near_dups.shingles(near_dups.words_of("a b c d e"))
+    assert got.keys.tolist() == common.tolist() and made == [1]
+    assert got.values.tolist() == near_dups.idf_of({int(common[0]): 400}, 3_200).values.tolist()
+
+
 def test_samples_agree_as_often_as_texts_are_similar():
     rng = np.random.default_rng(1)
     words = [f"w{k}".encode() for k in rng.integers(0, 50, 400)]
