@@ -62,6 +62,8 @@ TASK_DOCUMENTS = 64 * RARE
 """Documents that a task counts at least, on average: in smaller ones a shingle of one text is not yet rare."""
 SEEN_BITS = 20
 TABLE_BITS = 14
+TASK_ROWS, TASK_TEXTS = 50_000, 500
+"""Rows of ids and keys, and texts with their pairs, that a task takes on average, where a shuffle deals out fewer."""
 SUB_BATCH = 100
 KEPT_FEATURES = 256
 
@@ -310,22 +312,30 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf: Idf, similarity: float) -
     return arrow_map(rows, work, "a long, b long, similarity double")
 
 
-def _spread(classes: DataFrame, links: DataFrame) -> DataFrame:
-    """`classes` (rep, class) after merging the classes that `links` (a, b) connect; smallest id wins."""
+def _kept(df: DataFrame, name: str, most: int, task: int = TASK_ROWS) -> DataFrame:
+    """`materialise` for a step that takes in or passes on at most `most` rows, in no more tasks than these fill.
+
+    A shuffle deals a short table to as many tasks as a long one; each would write a file of its own, to be read again.
+    """
+    return materialise(df.coalesce(max(1, -(-most // task))), name)
+
+
+def _spread(classes: DataFrame, links: DataFrame, most: int) -> DataFrame:
+    """`classes` (rep, class) after merging the classes that `links` (a, b), at most `most`, connect; smallest id wins."""
     one = classes.select(F.col("rep").alias("a"), F.col("class").alias("ca"))
     two = classes.select(F.col("rep").alias("b"), F.col("class").alias("cb"))
     edges = links.join(one, "a").join(two, "b").filter("ca <> cb").select("ca", "cb")
     both = edges.union(edges.select("cb", "ca")).toDF("u", "v").distinct()
-    both = materialise(both, "class_links")
+    both = _kept(both, "class_links", 2 * most)
     labels = both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("label"))
-    labels = materialise(labels, "labels")
+    labels = _kept(labels, "labels", 2 * most)
     while True:
         near = labels.select(F.col("u").alias("v"), F.col("label").alias("near"))
         low = both.join(near, "v").groupBy("u").agg(F.min("near").alias("near"))
         stepped = labels.join(low, "u").select("u", F.least("label", "near").alias("stepped"), "label")
         jump = labels.select(F.col("u").alias("stepped"), F.col("label").alias("jumped"))  # to the label's label
         moved = stepped.join(jump, "stepped").select("u", F.col("jumped").alias("new"), (F.col("jumped") != F.col("label")).alias("moved"))
-        moved = materialise(moved, "labels")
+        moved = _kept(moved, "labels", 2 * most)
         labels = moved.select("u", F.col("new").alias("label"))
         if moved.filter("moved").isEmpty():
             break
@@ -367,7 +377,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     unique = materialise(unique.join(sketches, ["t1", "t2"]), "texts")
     bands = [range(k * ROWS, k * ROWS + ROWS) for k in range(BANDS)]
     groups = buckets = _grouped(unique, bands)
-    classes = materialise(groups.select("rep").distinct().select("rep", F.col("rep").alias("class")), "classes")
+    members = in_buckets = groups.count()
+    classes = _kept(groups.select("rep").distinct().select("rep", F.col("rep").alias("class")), "classes", members)
+    candidates = classes.count()
     wanted = unique.select("t1", "t2", "rep").join(classes, "rep").select(F.col("rep").alias("doc_id"), "t1", "t2")
     texts = materialise(_same_words(docs, wanted), "candidate_texts")
     profile = unique.select("rep", "bins", "weight")
@@ -377,17 +389,17 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     def compare(pairs: DataFrame) -> None:
         nonlocal links, seen, classes
         pairs = materialise(pairs, "pairs")
-        found = materialise(_verified(pairs, texts, idf, similarity), "links")
+        found = _kept(_verified(pairs, texts, idf, similarity), "links", pairs.count() + candidates, TASK_TEXTS)
         seen = seen.union(pairs)
-        if not found.isEmpty():
+        if number := found.count():
             links = links.union(found)
-            classes = materialise(_spread(classes, found), "classes")
+            classes = _kept(_spread(classes, found, number), "classes", candidates)
 
     for level in range(len(LEVELS) + 1):
-        compare(_likely(_pairs(groups, classes).join(seen, ["a", "b"], "left_anti"), profile, similarity))
+        compare(_likely(_pairs(groups, classes, members).join(seen, ["a", "b"], "left_anti"), profile, similarity))
         if level == len(LEVELS):
             break
-        left = materialise(_mixed(groups, classes), "mixed")
+        left = _kept(_mixed(groups, classes), "mixed", members)
         if left.isEmpty():
             break
         reps = left.select("rep").distinct()
@@ -397,12 +409,13 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         keys, size = LEVELS[level]
         chosen = [draw.sample(range(POOL), size) for _ in range(keys)]
         groups = _grouped(pools.join(reps, "rep"), chosen)
-    left = materialise(_mixed(buckets, classes), "mixed")
+        members = groups.count()
+    left = _kept(_mixed(buckets, classes), "mixed", in_buckets)
     if not left.isEmpty():
         found = materialise(_across(left, classes, texts, idf, similarity), "links")
-        if not found.isEmpty():
+        if number := found.count():
             links = links.union(found).dropDuplicates(["a", "b"])
-            classes = materialise(_spread(classes, found), "classes")
+            classes = _kept(_spread(classes, found, number), "classes", candidates)
     degrees = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n"))
     reps = unique.select("t1", "t2", "rep").join(classes, "rep", "left").join(degrees, "rep", "left")
     known = own.join(reps, ["t1", "t2"]).select("doc_id", "rep", "class", "n")
@@ -440,17 +453,18 @@ def _crowded(rows: DataFrame) -> DataFrame:
 
 
 def _grouped(sketches: DataFrame, chosen: list) -> DataFrame:
-    return materialise(_crowded(materialise(_keyed(sketches, chosen), "keys")), "groups")
+    keys = materialise(_keyed(sketches, chosen), "keys")
+    return _kept(_crowded(keys), "groups", keys.count())
 
 
-def _pairs(groups: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs a < b of different classes: all of a small group, of a large one those with one of its hubs."""
+def _pairs(groups: DataFrame, classes: DataFrame, most: int) -> DataFrame:
+    """Pairs a < b of different classes: all of a small group, of a large one those with one of its hubs. `most`: rows of `groups`."""
     rows = groups.join(classes, "rep")
     hubs = [F.min(F.struct(F.xxhash64("rep", F.lit(k)).alias("at"), "rep", "class")) for k in range(HUBS)]
     sized = rows.groupBy("band", "key").agg(
         F.count("*").alias("n"), F.min("class").alias("__lo"), F.max("class").alias("__hi"), F.array(*hubs).alias("hubs")
     )
-    sized = materialise(sized.filter("__lo < __hi").select("band", "key", "n", "hubs"), "sized")
+    sized = _kept(sized.filter("__lo < __hi").select("band", "key", "n", "hubs"), "sized", most)
     small = rows.join(sized.filter(F.col("n") <= SMALL).select("band", "key"), ["band", "key"])
     held = small.groupBy("band", "key").agg(F.collect_list(F.struct("rep", "class")).alias("m"))
     every = F.expr(

@@ -217,6 +217,32 @@ def test_large_mixed_group_is_not_compared_pair_by_pair(spark, monkeypatch):
     assert sum(written) < 40 * len(rows)
 
 
+def test_short_tables_are_written_in_one_file(spark, monkeypatch):
+    """Where shuffles have many partitions, a table of a few rows is not spread over all of them."""
+    files, keep = [], near_dups.materialise
+
+    def counting(frame, name):
+        out = keep(frame, name)
+        files.append((name, len(out.inputFiles())))
+        return out
+
+    monkeypatch.setattr(near_dups, "materialise", counting)
+    many = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in many}
+    rows = [(2 * i + k, " ".join([*(f"w{i}_{j}" for j in range(100)), f"x{i}_{k}"])) for i in range(40) for k in range(2)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    try:
+        for k, v in many.items():
+            spark.conf.set(k, v)
+        got = by_id(near_dups.near_duplicates(frame), "class_id")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {d: c for d, (c,) in got.items()} == {d: d - d % 2 for d, _ in rows}
+    short = [n for name, n in files if name in ("groups", "classes", "class_links", "labels", "links")]
+    assert len(short) >= 6 and max(short) == 1
+
+
 def test_document_frequencies_are_those_of_the_shingles(spark, rows):
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     counts = Counter(f for _, t in rows for f in near_dups.features(near_dups.words_of(t))[0].tolist())
