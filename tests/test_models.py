@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import threading
+from types import SimpleNamespace
+
 import numpy as np
 import pytest
 from cohortwise.operators import combining, grouped_lr, pooled
-from cohortwise.plans import prepare, results, rounds
+from cohortwise.plans import catalog, prepare, results, rounds
 from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
@@ -224,3 +227,26 @@ def test_models_score_in_a_session_with_observations(spark, train, kind):
     rows = pooled.assemble(train, COLS)
     params = {"LR": {}, "RF": {"numTrees": 3}, "GBT": {"maxIter": 2}}[kind]
     assert pooled.fit_pooled(rows, rows, kind, params).agg(F.count("prob")).first()[0] == 1200
+
+
+def test_reports_train_datasets_and_kinds_at_once(spark, monkeypatch, tmp_path):
+    """Rounds and pooled models of both datasets wait until the others have begun; each lands under its dataset."""
+    meet, empty = threading.Barrier(4, timeout=60), spark.range(3).withColumn("client_id", F.lit("a"))
+
+    def begun(kind):
+        def run(rows, cols, *args, **options):
+            meet.wait()
+            return spark.range(1).select(F.lit(kind).alias("kind"), F.lit(len(cols)).alias("n_cols"))
+
+        return run
+
+    monkeypatch.setattr(catalog, "_STORED", {})
+    monkeypatch.setattr(catalog.features, "engagement_features", lambda df: df)
+    monkeypatch.setattr(catalog.prepare, "client_rows", lambda df, cols, **options: df)
+    monkeypatch.setattr(catalog.rounds, "run_rounds", begun("rounds"))
+    monkeypatch.setattr(catalog, "_pooled", begun("pooled"))
+    source = SimpleNamespace(spark=spark, root=str(tmp_path), learners=lambda: empty, xapi=lambda: empty)
+    paths = catalog._stored_results(source, full=True)
+    for name, kind in (("history", "rounds"), ("pooled", "pooled")):
+        rows = spark.read.json(paths[name]).collect()
+        assert sorted((r["dataset"], r["kind"], r["n_cols"]) for r in rows) == [("courses", kind, 9), ("engagement", kind, 8)]
