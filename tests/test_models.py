@@ -229,6 +229,16 @@ def test_models_score_in_a_session_with_observations(spark, train, kind):
     assert pooled.fit_pooled(rows, rows, kind, params).agg(F.count("prob")).first()[0] == 1200
 
 
+def test_candidates_are_fitted_at_once(spark, train, monkeypatch):
+    """Each fit waits until the others have begun."""
+    meet, fit = threading.Barrier(3, timeout=60), pooled.fit_pooled
+    monkeypatch.setattr(pooled, "fit_pooled", lambda *args: meet.wait() is not None and fit(*args))
+    candidates = {"GBT": {"maxIter": 2, "seed": 42}, "LR": {"weighted": True}, "RF": {"numTrees": 3, "seed": 42}}
+    df = train.withColumn("is_test", (F.col("id") % 5 == 0).cast("int"))
+    rows = pooled.compare_models(df, COLS, candidates).collect()
+    assert [r["model"] for r in rows] == ["GBT", "LR", "RF"] and sum(r["is_best"] for r in rows) == 1
+
+
 def test_reports_train_datasets_and_kinds_at_once(spark, monkeypatch, tmp_path):
     """Rounds and pooled models of both datasets wait until the others have begun; each lands under its dataset."""
     meet, empty = threading.Barrier(4, timeout=60), spark.range(3).withColumn("client_id", F.lit("a"))
