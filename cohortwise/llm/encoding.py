@@ -15,6 +15,8 @@ from array import array
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel
 
+from cohortwise.llm.common import drop_between_operators
+
 PIECES, WORDS = 400_000, 600_000
 """Entries of a process's caches of pieces and of the words in them; what is met after that is encoded each time."""
 
@@ -103,3 +105,6 @@ class _Cache(dict):
 def encoder(path: str) -> Encoder:
     """The process's encoder for a vocabulary file."""
     return Encoder(path)
+
+
+drop_between_operators(encoder.cache_clear)

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortwise.llm.common import arrow_map, arrow_schema, hash_words, materialise, record_batch, split_words
+from cohortwise.llm.common import arrow_map, arrow_schema, hash_words, materialise, record_batch, split_words, take_turn
 
 HIDDEN = 16
 OFFSETS = (-2, -1, 1, 2)
@@ -182,6 +182,7 @@ def coded(bundles: DataFrame, words: DataFrame, leaves: Leaves) -> DataFrame:
     types = arrow_schema(_CODED)
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        take_turn(__name__)
         row = left.to_pylist()[0]
         word, n = (right.column(c).to_numpy() for c in ("word", "n"))
         order = np.argsort(word)  # as in the bundle

@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortwise.llm.common import arrow_map, arrow_schema, hash_words, materialise, record_batch
+from cohortwise.llm.common import arrow_map, arrow_schema, hash_words, materialise, record_batch, take_turn
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -517,6 +517,7 @@ def _across(left: DataFrame, classes: DataFrame, texts: DataFrame, idf: Idf, sim
     types = arrow_schema("a long, b long, similarity double")
 
     def work(table: pa.Table) -> pa.Table:
+        take_turn(__name__)
         return pa.Table.from_batches([record_batch(_block_links(table, idf, similarity), types)])
 
     found = met.groupBy(*group, "one", "two").applyInArrow(work, "a long, b long, similarity double")

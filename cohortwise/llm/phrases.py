@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortwise.llm.common import arrow_map, arrow_schema, hash_words, materialise, record_batch, split_words
+from cohortwise.llm.common import arrow_map, arrow_schema, hash_words, materialise, record_batch, split_words, take_turn
 
 WIDTH, SEED = 50, 8
 SHARD_CHARACTERS = 6 * 2**20
@@ -162,6 +162,7 @@ def _candidate_rows(docs: DataFrame, phrases: DataFrame, width: int, seed: int)
     types = arrow_schema(schema)
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        take_turn(__name__)
         out = []
         found = automaton(right.column("phrase").to_pylist()) if right.num_rows else None
         for texts in _batches(left) if found else ():
@@ -185,6 +186,7 @@ def _strip(docs: DataFrame, repeated: DataFrame, width: int, with_text: bool) ->
     types = arrow_schema(schema)
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        take_turn(__name__)
         h1, h2, first = (right.column(c).to_numpy() for c in ("h1", "h2", "first"))
         order = np.lexsort((h2, h1))
         h1, h2, first = h1[order], h2[order], first[order]
